@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .near_dedup import near_groups
 from .packing import pack
+from .pitman_yor import score_documents
 from .quality import fit, score_quality
 from .url_filter import judge_urls
 from .winnowing import compare_edits
@@ -28,6 +29,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).drop("_row", "label")
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, *fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_exact_dedup, op4_near_dedup, op6_packing, op7_url_filter, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_exact_dedup, op4_near_dedup, op5_lm_scores, op6_packing, op7_url_filter, op9_quality_classifier)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
