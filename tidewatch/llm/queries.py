@@ -9,6 +9,7 @@ from .near_dedup import near_groups
 from .packing import pack
 from .pitman_yor import score_documents
 from .quality import fit, score_quality
+from .suffix_dedup import cut_repeats
 from .url_filter import judge_urls
 from .winnowing import compare_edits
 
@@ -17,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, *fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_exact_dedup, op4_near_dedup, op5_lm_scores, op6_packing, op7_url_filter, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_exact_dedup, op4_near_dedup, op5_lm_scores, op6_packing, op7_url_filter, op9_quality_classifier)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
