@@ -1,0 +1,92 @@
+"""Surrogates keep type and form, are distinct and consistent, and leave everything else alone."""
+
+import re
+
+import pytest
+
+from tidewatch.llm import surrogates as sg
+
+TEXTS = {
+    1: "write to bosbt.42@mail8.example.com or BOSBT.42@mail8.example.com, call +1 (988) 555-2485.",
+    2: "card 4041894974608795 and 4041-8949-7460-8795 from 42.144.35.254; token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\"",
+    3: "Mrs Maria and Mr. John and Mrs. Julia met; again bosbt.42@mail8.example.com",
+    4: "clean text, version 1.2.3, year 1999, 10 of 12 items; Maria alone stays",
+    5: None,
+    6: "",
+    7: "SSN 123-45-6789, IBAN DE89 3704 0044 0532 0130 00 and +1 988 555-2485",
+    8: "1.2.3.4 5.6.7.8 9.9.9.9 " + " ".join(f"{i}.{j}.1.1" for i in range(10) for j in range(10)),
+    9: "Frau Анна и Dr Иван",
+}
+
+
+@pytest.fixture(scope="module")
+def got(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("pii") / "d")
+    spark.createDataFrame([(i, t, "x", "y") for i, t in TEXTS.items()] + [(3, TEXTS[3], None, None)], "doc_id long, text string, kind string, entity string").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    out = sg.replace_entities(docs)
+    assert out.columns == [*docs.columns, "n_entities", "entities"]
+    assert sg.replace_entities(docs.limit(0)).count() == 0
+    return {r.doc_id: r for r in out.collect()}, out.count()
+
+
+def test_rows_and_clean_texts(got):
+    rows, n = got
+    assert n == len(TEXTS) + 1
+    for i in (4, 5, 6):
+        assert rows[i].text == TEXTS[i] and rows[i].n_entities == 0 and rows[i].entities == []
+
+
+def test_nothing_is_left_and_the_rest_is_as_before(got):
+    for i, r in got[0].items():
+        if r.n_entities:
+            rest_before, rest_after = TEXTS[i], r.text
+            for e in r.entities:
+                assert e.entity in rest_before and e.surrogate in rest_after and e.entity != e.surrogate
+                rest_before, rest_after = rest_before.replace(e.entity, "#", 1), rest_after.replace(e.surrogate, "#", 1)
+            assert rest_before == rest_after
+
+
+def test_types_and_forms(got):
+    shape = lambda s: re.sub("[a-z]", "a", re.sub("[0-9]", "9", s))
+    kinds = {}
+    for r in got[0].values():
+        for e in r.entities or []:
+            kinds.setdefault(e.kind, []).append(e)
+            if e.kind not in ("mail", "name", "secret"):
+                assert shape(e.entity).replace("A", "a").lower()[-4:] == shape(e.surrogate).replace("A", "a").lower()[-4:] or e.kind == "iban"
+                assert len(e.entity) == len(e.surrogate)
+    assert set(kinds) == {"mail", "secret", "address", "card", "ssn", "phone", "iban", "name"}
+    for e in kinds["card"]:
+        d = [int(c) for c in e.surrogate if c.isdigit()][::-1]
+        assert sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2]) and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+        assert re.sub("[0-9]", "9", e.entity) == re.sub("[0-9]", "9", e.surrogate)
+    for e in kinds["address"]:
+        assert all(str(int(x)) == x and 0 <= int(x) <= 255 for x in e.surrogate.split("."))
+    for e in kinds["name"]:
+        own = next(k for k, names in sg.NAMES.items() if e.entity.split(" ")[-1] in names)
+        assert e.surrogate.split(" ")[-1] in sg.NAMES[own] and e.surrogate.split(" ")[0] == e.entity.split(" ")[0]
+    for e in kinds["secret"]:
+        assert re.fullmatch("[0-9a-f]+", e.surrogate) and len(e.surrogate) == len(e.entity)
+
+
+def test_coreference_and_distinctness(got):
+    rows = got[0]
+    mails = [e.surrogate for i in (1, 3) for e in rows[i].entities if e.kind == "mail"]
+    assert len(mails) == 3 and len(set(mails)) == 1
+    cards = [e.surrogate for e in rows[2].entities if e.kind == "card"]
+    assert len({c.replace("-", "") for c in cards}) == 1
+    assert {re.sub("[^0-9+]", "", e.surrogate) for i in (1, 7) for e in rows[i].entities if e.kind == "phone"}.__len__() == 1
+    seen = {}
+    for r in rows.values():
+        for e in r.entities or []:
+            if e.kind == "address":
+                seen.setdefault(e.entity, set()).add(e.surrogate)
+    assert len(seen) == 104 and all(len(x) == 1 for x in seen.values())
+    assert len({x for v in seen.values() for x in v}) == 104 and not set(seen) & {x for v in seen.values() for x in v}
+
+
+def test_a_crowded_space_stays_distinct(spark):
+    rows = [("address", f"{a}.{b}.1.1") for a in range(10) for b in range(10)] + [("name", n) for names in sg.NAMES.values() for n in names]
+    made = sg.mapping(spark.createDataFrame(rows, "kind string, norm string")).collect()
+    assert len(made) == len(rows) and len({(r.kind, r.surrogate) for r in made}) == len(rows)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .mixing import mix_report
 from .near_dedup import near_groups
 from .packing import pack
 from .pitman_yor import score_documents
 from .quality import fit, score_quality
 from .suffix_dedup import cut_repeats
+from .surrogates import replace_entities
 from .url_filter import judge_urls
 from .winnowing import compare_edits
 
@@ -46,12 +49,21 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, *fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_exact_dedup, op4_near_dedup, op5_lm_scores, op6_packing, op7_url_filter, op9_quality_classifier)}
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "text", "n_entities", F.array_join(F.transform("entities", lambda e: e["kind"]), ",").alias("kinds"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_exact_dedup, op4_near_dedup, op5_lm_scores, op6_packing, op7_url_filter, op8_mixing, op9_quality_classifier, op10_pii_surrogates)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
