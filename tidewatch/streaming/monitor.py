@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import verdict_rank
@@ -60,7 +61,7 @@ def payload(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("body", F.to_json(F.struct(*alerts.columns)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def signature(body: pd.Series, secret: pd.Series) -> pd.Series:
     """HMAC-SHA256 of a message's bytes, in hexadecimal."""
     return pd.Series([None if b is None else hmac.new(k.encode(), b.encode(), hashlib.sha256).hexdigest() for b, k in zip(body, secret)])
