@@ -5,11 +5,12 @@ and the greatest value are kept, so PERMUTATIONS hash evaluations give 2 * PERMU
 signature values, cut into BANDS bands of ROWS values. Documents that agree in a band are
 candidates; a pair at the threshold 0.75 is missed with probability (1 - 0.75**5)**40 = 2e-5.
 
-Documents with equal sets are one node. Links are confirmed on the full sets, in two passes:
-first each member of a bucket with the bucket's leader (as many pairs as members), then, only
-where a bucket still spans several components, the pairs across components whose sizes allow
-a link. Members of one component need no further comparison, so the pairs of a large group
-of near copies are not formed.
+Documents with equal sets are one node. Links are confirmed on the full sets, in three passes:
+1. each member of a bucket with the bucket's leader, the node that shares most buckets;
+2. in buckets that still span several components, the members outside the usual one with their own leader;
+3. what is left, across components, where sizes allow a link. Before that, members go that have too
+   few shingles in common with all other candidates to be similar to any.
+The first two have as many pairs as members; the pairs of a large group of near copies are not formed.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, written
+from .common import LOWER, UPPER, partitions, written
 from .components import components
 
 WORDS, PERMUTATIONS, ROWS, BANDS = 5, 100, 5, 40
 #: A link: 100 * intersection >= 75 * union.
 PERCENT = 75
+#: In the last pass: permutations of the finer signature, least share of agreeing values, members of a block.
+FINE, LIKELY, BLOCK = 500, 0.69, 2000
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -138,6 +141,120 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: i
     return pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b").mapInArrow(linked, "a long, b long")
 
 
+def _stars(scored: DataFrame) -> DataFrame:
+    """(a, b), a < b: each member of a bucket with the bucket's leader."""
+    leaders = scored.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("top"))
+    pairs = scored.join(leaders.select("bucket", (-F.col("top.minus")).alias("leader")), "bucket").where("node <> leader")
+    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
+def _mixed(scored: DataFrame, label: DataFrame) -> DataFrame:
+    """The members of buckets that span several components, with their label and the most usual one of the bucket."""
+    labelled = scored.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    kinds = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n_label"), F.min("size").alias("least"))
+    usual = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max_by("label", F.struct("n_label", "label")).alias("usual"), F.min("least").alias("least"))
+    return written(labelled.join(usual.where("kinds > 1"), "bucket").select("bucket", "node", "size", "score", "label", "usual", "least"), "mixed")
+
+
+def _able(mixed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """mixed without the members that can have no link, and without buckets that are not mixed then.
+
+    A member outside its bucket's usual component can only share those shingles that some other text among the
+    candidates has. Where these are too few for a link with a text of any size that occurs, it goes. Exact: no link is lost.
+    """
+    per_node = mixed.groupBy("node").agg(F.max(F.col("label") != F.col("usual")).alias("outside"), F.min("least").alias("least"), F.min("size").alias("size"))
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
+        for batch in batches:
+            nodes, sides, hashes, size = [], [], [], 0
+            for node, side, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                s = shingles(text.as_py())
+                nodes.append(np.full(len(s), node)), sides.append(np.full(len(s), side)), hashes.append(s.view(np.int64))
+                size += len(s)
+                if size > 500_000:
+                    yield packed(nodes, sides, hashes)
+                    nodes, sides, hashes, size = [], [], [], 0
+            if nodes:
+                yield packed(nodes, sides, hashes)
+
+    def packed(nodes, sides, hashes):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sides)), pa.array(np.concatenate(hashes))], ["node", "outside", "shingle"])
+
+    found = texts.join(per_node, "node").select("node", "outside", "text").mapInArrow(exploded, "node long, outside boolean, shingle long")
+    common = found.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("outside").alias("asked")).where("asked and lo < hi").select("shingle")
+    shared = found.where("outside").join(common, "shingle").groupBy("node").agg(F.count("*").alias("shared"))
+    partner = F.greatest(F.ceil(F.col("size") * percent / 100), F.col("least"))
+    weak = 100 * F.col("shared") < percent * (F.col("size") + partner - F.col("shared"))
+    judged = per_node.join(shared, "node", "left").withColumn("shared", F.when(F.col("outside"), F.coalesce("shared", F.lit(0))).otherwise(F.col("size")))
+    left = mixed.drop("least").join(judged.where(~weak).select("node", "shared"), "node")
+    still = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    return left.join(still, "bucket", "left_semi").select("bucket", "node", "size", "shared", "label")
+
+
+def _finer(mixed: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(node, low): a byte of each value of a signature by FINE permutations, for the nodes of mixed."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, minmax = Shingles(words), MinMax(FINE)
+        for batch in batches:
+            low = [(minmax.signature(shingles(t.as_py())) & np.uint64(255)).astype(np.uint8).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["node", "low"])
+
+    return texts.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(made, "node long, low binary")
+
+
+def _across(mixed: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, once each: members of one bucket in different components that may be linked.
+
+    Sizes and shared shingles must allow a link, and at least LIKELY of the finer signature's values must agree; at a similarity
+    of 0.75 less than that has a probability of 1e-5. A large bucket is cut into blocks of about BLOCK members, and
+    each two of its blocks are compared in a group of their own, so no group is larger than two blocks. Only
+    pairs that pass are rows.
+    """
+    counts = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.hash("node"), F.col("blocks"))
+    placed = mixed.join(counts, "bucket").withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = placed.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "size", "shared", "label").join(sketched, "node")
+
+    def compared(group):
+        node, size, shared, label, own = (np.array([r[k] for r in group], np.int64) for k in (4, 5, 6, 7, 3))
+        if label.min() == label.max():
+            return
+        bucket, p, q = group[0][0], group[0][1], group[0][2]
+        bands, low = np.stack([np.asarray(r[8], np.int64) for r in group]), np.stack([np.frombuffer(r[9], np.uint8) for r in group])
+        for i in range(len(group)):
+            ok = (label != label[i]) & (node > node[i]) & ((own != own[i]) if p != q else True)
+            most = np.minimum(shared, shared[i])
+            at = np.flatnonzero(ok & (100 * most >= percent * (size + size[i] - most)))
+            if len(at):
+                at = at[(low[at] == low[i]).sum(axis=1) >= LIKELY * low.shape[1]]
+            if len(at):  # a pair is a row of the first bucket that it shares
+                first = bands[i][(bands[at] == bands[i]).argmax(axis=1)]
+                yield from ((int(node[i]), int(node[j])) for j in at[first == bucket])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, pairs = [], []
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:8]]
+            bands = np.asarray(batch.column(8).flatten()).reshape(batch.num_rows, -1) if batch.num_rows else ()
+            for row in zip(*columns, bands, batch.column(9).to_pylist()):
+                if group and row[:3] != group[0][:3]:
+                    pairs += compared(group)
+                    group = []
+                    if len(pairs) > 10_000:
+                        yield packed()
+                        pairs = []
+                group.append(row)
+        pairs += compared(group) if group else ()
+        if pairs:
+            yield packed()
+
+    ready = dealt.select("bucket", "p", "q", "own", "node", "size", "shared", "label", "bands", "low")
+    return ready.repartition(partitions(mixed.sparkSession), "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(found, "a long, b long")
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per row of docs: _row, doc_id, n_shingles, component_id, kept.
 
@@ -151,24 +268,27 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, per
         F.min("_row").alias("node"), F.min("doc_id").alias("least"), F.min("n_shingles").alias("size"), F.min(F.struct("_row", "bands")).alias("first"))
     nodes = written(nodes.select("set_id", "node", "least", "size", F.col("first.bands").alias("bands")), "nodes")
     each = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    buckets = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").drop("n")
+    buckets = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = written(each.join(buckets, "bucket"), "members")
-    wanted = members.select("node").distinct()
     numbered = docs.select(F.monotonically_increasing_id().alias("node"), "text")
-    texts = written(numbered.join(wanted, "node", "left_semi"), "texts")
+    texts = written(numbered.join(members.select("node").distinct(), "node", "left_semi"), "texts")
 
-    star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    tested = written(star, "star-pairs")
+    # a bucket's leader is the member that shares most buckets with others: the origin of a group of copies, if it is there
+    scores = members.groupBy("node").agg(F.sum("n").alias("score"))
+    scored = written(members.join(scores, "node"), "scored-members")
+    tested = written(_stars(scored), "star-pairs")
     links = written(confirmed(tested, texts, words, percent), "star-links")
     label = components(links)
 
-    labelled = members.join(label, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    spans = written(labelled.join(mixed, "bucket", "left_semi"), "mixed")
-    x, y = spans.alias("x"), spans.alias("y")
-    # each pair once, from the bucket's members whose sizes allow a link and that are in different components
-    across = x.join(y, F.expr(f"x.bucket = y.bucket and x.label <> y.label and (x.size < y.size or x.size = y.size and x.node < y.node) and 100 * x.size >= {percent} * y.size"))
-    pairs = across.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    mixed = _mixed(scored, label)
+    second = written(_stars(mixed.where("label <> usual")).join(tested, ["a", "b"], "left_anti"), "second-pairs")
+    tested, more = tested.unionByName(second), written(confirmed(second, texts, words, percent), "second-links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        label = components(links)
+        mixed = _mixed(scored, label)
+    mixed = written(_able(mixed, texts, words, percent), "able-members")
+    pairs = _across(mixed, _finer(mixed, texts, words).join(nodes.select("node", "bands"), "node"), percent).join(tested, ["a", "b"], "left_anti")
     more = written(confirmed(written(pairs, "cross-pairs"), texts, words, percent), "cross-links")
     if not more.isEmpty():
         label = components(links.unionByName(more))
