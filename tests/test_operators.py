@@ -282,3 +282,47 @@ def test_health_metrics_signature(spark):
     assert [r.healthy for r in h] == [True, False]
     s = frame(spark, "b string, k string", ("x", "key")).select(monitor.signature("b", "k").alias("s")).first().s
     assert len(s) == 64
+
+
+def test_pep440(spark):
+    right = ["0.9", "1.0.dev1", "1.0a1.dev2", "1.0a1", "1.0alpha2", "1.0b1", "1.0rc1", "1.0", "1.0.post1.dev3", "1.0.post1", "1.0.1", "1.1", "1.10", "1!0.1"]
+    df = frame(spark, "v string", *((x,) for x in reversed(right)))
+    assert [r.v for r in df.orderBy(T.pep440_key(F.col("v"))).collect()] == right
+
+    same = [("1.0", "1.0.0"), ("v1.0", "1"), ("1.0-1", "1.0.post1"), ("1.0c1", "1.0rc1")]
+    for a, b in same:
+        assert spark.createDataFrame([(a, b)], "a string, b string").select((T.pep440_key(F.col("a")) == T.pep440_key(F.col("b"))).alias("x")).first().x, (a, b)
+
+
+def test_kept_tables(spark):
+    from tidewatch.operators import tables
+
+    t = frame(spark, "id string, v int", ("a", 1), ("b", 2))
+    n = frame(spark, "id string, v int", ("b", 3), ("c", 4), ("c", 4))
+    assert sorted(map(tuple, tables.insert_absent(t, n, ("id",)).collect())) == [("a", 1), ("b", 2), ("c", 4)]
+    assert sorted(map(tuple, tables.upsert(t, n, ("id",), "v").collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    assert sorted(map(tuple, tables.replace_of(t, n, "id").collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    assert [r.id for r in tables.remove_ids(t, n).collect()] == ["a"]
+    assert one(spark, tables.file_name(F.col("t")), t="../a b/") == "a_b" and one(spark, tables.file_name(F.col("t")), t="..") == "tenant"
+    assert one(spark, tables.finding_severity(F.col("v")), v="BENIGN") is None
+    m = json.loads(one(spark, tables.chat_message(F.lit("r"), F.lit("MALICIOUS"), F.lit("HIGH"), F.lit(0.974), F.array(*map(F.lit, "abcdefg"))), z=1))
+    assert m["text"] == "r: MALICIOUS (HIGH, 97%)" and m["attachments"][0]["text"] == "a\nb\nc\nd\ne"
+    d = frame(spark, "r int, path string, content string, is_new boolean, is_deleted boolean, is_binary boolean", (1, "b", "+x", True, False, False), (1, "a", None, False, False, True))
+    assert tables.diff_markdown(d, "r").first().text == "## a\n\nbinary file\n\n## b (new)\n\n```diff\n+x\n```\n"
+
+
+def test_known_bad_sources(spark, tmp_path):
+    from tidewatch.sources import known_bad as kb
+
+    (tmp_path / "k.json").write_text(json.dumps([{"name": "a", "version": "1", "ecosystem": "npm", "verdict": "MALICIOUS"}, {"name": "a", "version": "1", "ecosystem": "npm"}, {"name": "x"}]))
+    assert kb.read_known_bad(spark, str(tmp_path / "k.json")).count() == 1
+    body = json.dumps({"vulns": [{"id": "MAL-1", "summary": "s", "aliases": ["GHSA-1", "CVE-2024-1"]}, {"id": "GHSA-2", "details": "d", "severity": [{"type": "CVSS_V3", "score": "7.5"}]}]})
+    got = [tuple(r) for r in kb.advisories(frame(spark, "name string, version string, ecosystem string, body string", ("a", "1", "npm", body), ("b", "1", "npm", "no"))).orderBy("advisory_id").collect()]
+    assert got == [("a", "1", "npm", "GHSA-2", "HIGH", "SUSPICIOUS", None, "d"), ("a", "1", "npm", "MAL-1", "HIGH", "MALICIOUS", "CVE-2024-1", "s")]
+    b = kb.batches(frame(spark, "name string, version string, ecosystem string", *((f"p{i}", "1", "npm") for i in range(250))).coalesce(1))
+    assert sorted(r.n for r in b.collect()) == [50, 100, 100]
+
+
+def test_snippets(spark):
+    got = one(spark, T.snippets(F.col("t"), r"exec\("), t="0123456789abcd exec(payload) and more text follows")
+    assert got == ["56789abcd exec(payload) and more te"]

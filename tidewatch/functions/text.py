@@ -134,3 +134,26 @@ def stripped_spec(spec: Column) -> Column:
 def gap_days(earlier: Column, later: Column) -> Column:
     """Whole days from earlier to later, rounded down; timestamps."""
     return F.floor((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(86_400_000_000.0)).cast("long")
+
+
+def pep440_key(version: Column) -> Column:
+    """A sortable key of a PyPI version: epoch, release without zeros at its end, pre, post and dev release, local part; invalid ones first.
+
+    A development release comes before a pre-release, that before the release, and a post-release after it.
+    """
+    low = F.lower(F.trim(version))
+    pattern = r"^v?(?:(\d{1,18})!)?(\d{1,18}(?:\.\d{1,18})*)(?:[._-]?(alpha|a|beta|b|preview|pre|c|rc)[._-]?(\d{0,18}))?((?:-(\d{1,18}))|(?:[._-]?(?:post|rev|r)[._-]?(\d{0,18})))?([._-]?dev[._-]?(\d{0,18}))?(?:\+([a-z0-9]+(?:[._-][a-z0-9]+)*))?$"
+    part = lambda i: F.regexp_extract(low, pattern, i)
+    number = lambda i, other: F.coalesce(F.nullif(part(i), F.lit("")).try_cast("long"), F.lit(other))
+    release = F.transform(F.split(F.regexp_replace(part(2), r"(?:\.0+)+$", ""), r"\."), lambda x: F.coalesce(x.try_cast("long"), F.lit(0)))
+    kind, dev, post = part(3), part(8) != "", part(5) != ""
+    stage = F.when(kind.isin("a", "alpha"), 1).when(kind.isin("b", "beta"), 2).when(kind != "", 3).when(dev & ~post, 0).otherwise(4)
+    after = F.when(post, F.coalesce(F.nullif(part(6), F.lit("")).try_cast("long"), F.nullif(part(7), F.lit("")).try_cast("long"), F.lit(0))).otherwise(-1)
+    local = F.transform(F.filter(F.split(part(10), r"[._-]"), lambda x: x != ""), lambda x: F.struct(x.rlike("^[0-9]+$").cast("int").alias("kind"), F.coalesce(x.try_cast("long"), F.lit(0)).alias("number"), x.alias("word")))
+    return F.struct(low.rlike(pattern).alias("valid"), number(1, 0).alias("epoch"), release.alias("release"), stage.alias("stage"), number(4, 0).alias("pre"), after.alias("post"), F.when(dev, number(9, 0)).otherwise(F.lit((1 << 63) - 1)).alias("dev"), local.alias("local"))
+
+
+def snippets(text: Column, pattern: str) -> Column:
+    """Distinct surroundings of the matches of a pattern: up to 10 characters before and 20 after, at most 60 in all."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?s)(.{{0,10}}(?:{pattern}).{{0,20}})"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.left(F.trim(x), F.lit(60))))
