@@ -572,3 +572,60 @@ def q_stream_sessions(spark, sf_dir):
     from ..streaming.monitor import sessions
 
     return _streamed(spark, sf_dir, sessions).groupBy("name").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n"))
+
+
+# --- more of verdicts, versions and kept tables -----------------------------------------------------------------
+@query("""WITH v AS (SELECT p_brand, p_partkey, p_partkey % 3 AS a, p_size AS b, p_partkey % 2 AS final, p_partkey % 5 AS rc FROM part)
+    SELECT p_partkey, a || '.' || b || CASE WHEN final = 1 THEN '' ELSE 'rc' || rc END AS version, row_number() OVER (PARTITION BY p_brand ORDER BY a, b, final, CASE WHEN final = 1 THEN 0 ELSE rc END, p_partkey)::INTEGER AS place FROM v""")
+def q_version_sort_pep440(spark, sf_dir):
+    k = F.col("p_partkey")
+    v = B.table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.concat((k % 3).cast("string"), F.lit("."), F.col("p_size").cast("string"), F.when(k % 2 == 1, "").otherwise(F.concat(F.lit("rc"), (k % 5).cast("string")))).alias("version"))
+    keyed = v.withColumn("key", T.pep440_key(F.col("version")))
+    return keyed.select("p_partkey", "version", F.row_number().over(Window.partitionBy("p_brand").orderBy("key", "p_partkey")).alias("place"))
+
+
+@query("""SELECT user_id::VARCHAR AS name, CASE WHEN event_id % 2 = 0 THEN 'MAL-' ELSE 'GHSA-' END || event_id AS advisory_id, CASE WHEN event_id % 2 = 0 THEN 'MALICIOUS' ELSE 'SUSPICIOUS' END AS verdict,
+    CASE WHEN event_id % 3 = 0 THEN 'CVE-2024-' || event_id END AS cve, CASE WHEN event_id % 10 >= 9 THEN 'CRITICAL' WHEN event_id % 10 >= 7 THEN 'HIGH' WHEN event_id % 10 >= 4 THEN 'MEDIUM' WHEN event_id % 2 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM events""")
+def q_advisories(spark, sf_dir):
+    from ..sources.known_bad import advisories
+
+    i = F.col("event_id")
+    text = i.cast("string")
+    v = F.struct(F.concat(F.when(i % 2 == 0, "MAL-").otherwise("GHSA-"), text).alias("id"), F.when(i % 3 == 0, F.array(F.lit("GHSA-x"), F.concat(F.lit("CVE-2024-"), text))).otherwise(F.array(F.lit("GHSA-x"))).alias("aliases"), F.array(F.struct(F.lit("CVSS_V3").alias("type"), (i % 10).cast("string").alias("score"))).alias("severity"))
+    bodies = B.table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("name")).agg(F.to_json(F.struct(F.collect_list(v).alias("vulns"))).alias("body"))
+    return advisories(bodies.select("name", F.lit("1").alias("version"), F.lit("npm").alias("ecosystem"), "body")).select("name", "advisory_id", "verdict", "cve", "severity")
+
+
+@query("""SELECT 'release-npm-' || user_id || '-' || coalesce(json_extract_string(props, '$.k'), '') AS node, max(event_id) AS seq, arg_max(event_type, event_id) AS kind FROM events GROUP BY ALL""")
+def q_upsert_nodes(spark, sf_dir):
+    from ..operators import tables
+
+    e = B.table(spark, sf_dir, "events")
+    rows = e.select(tables.release_node(F.lit("npm"), F.col("user_id").cast("string"), F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))).alias("node"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
+    return tables.upsert(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"), ("node",), "seq")
+
+
+FIND = "find AS (SELECT l_orderkey AS release_id, l_linenumber AS chunk_index, 'f' || l_suppkey % 3 AS file, CASE l_partkey % 5 WHEN 0 THEN 'EXECUTION' WHEN 1 THEN 'NETWORK' WHEN 2 THEN 'OBFUSCATION' WHEN 3 THEN 'EXFILTRATION' ELSE 'UNHEARD_OF' END AS category, CASE WHEN l_partkey % 2 = 0 THEN l_quantity::INTEGER % 4 END AS line_start, l_returnflag AS evidence, CASE WHEN l_tax > 0.045 THEN 'HIGH' ELSE 'LOW' END AS severity FROM lineitem)"
+
+
+@query(f"""WITH {FIND}, one AS (SELECT *, row_number() OVER (PARTITION BY release_id, file, category, line_start, CASE WHEN line_start IS NULL THEN evidence END ORDER BY chunk_index) AS n FROM find WHERE category <> 'UNHEARD_OF'), f AS (SELECT * FROM one WHERE n = 1),
+    m AS (SELECT DISTINCT release_id, 'f0' AS file, category, 1 AS line_start FROM find WHERE chunk_index = 1)
+    SELECT release_id, file, category, line_start, severity, 'analyzer' AS origin FROM f UNION ALL
+    SELECT release_id, file, category, line_start, 'HIGH', 'rule' FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.release_id = m.release_id AND f.file = m.file AND f.category = m.category AND f.line_start IS NOT DISTINCT FROM m.line_start)""")
+def q_findings_merge(spark, sf_dir):
+    li, p = B.table(spark, sf_dir, "lineitem"), F.col("l_partkey")
+    cat = F.when(p % 5 == 0, "EXECUTION").when(p % 5 == 1, "NETWORK").when(p % 5 == 2, "OBFUSCATION").when(p % 5 == 3, "EXFILTRATION").otherwise("UNHEARD_OF")
+    line = F.when(p % 2 == 0, F.col("l_quantity").cast("int") % 4)
+    found = li.select(F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").alias("chunk_index"), F.lit(0).alias("position"), F.concat(F.lit("f"), (F.col("l_suppkey") % 3).cast("string")).alias("file"), cat.alias("category"), line.alias("line_start"), line.alias("line_end"),
+                      F.col("l_returnflag").alias("evidence"), F.when(F.col("l_tax") > 0.045, "HIGH").otherwise("LOW").alias("severity"))
+    match = found.where("chunk_index = 1").select("release_id", F.lit("f0").alias("file"), "category", F.lit(1).alias("line_number"), F.lit("HIGH").alias("severity")).distinct()
+    return verdicts.with_rules(verdicts.distinct_findings(found, ("release_id",)), match, ("release_id",))
+
+
+@query("""SELECT n.n_name AS tenant, CASE WHEN trim(n.n_name) = '' THEN 'tenant' ELSE replace(n.n_name, ' ', '_') END AS file_name, count(*) AS n FROM supplier JOIN nation n ON n.n_nationkey = s_nationkey GROUP BY n.n_name""")
+def q_tenant_files(spark, sf_dir):
+    from ..operators import tables
+
+    n = B.table(spark, sf_dir, "nation")
+    s = B.table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.groupBy(F.col("n_name").alias("tenant")).agg(F.count("*").alias("n")).select("tenant", tables.file_name(F.col("tenant")).alias("file_name"), "n")
