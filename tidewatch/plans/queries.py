@@ -480,15 +480,17 @@ def q_rot13_hex(spark, sf_dir):
 
 @query("SELECT b.item_id, count(*) AS n_files, min(doc_id) AS first_file FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def q_known_bad_passages(spark, sf_dir):
-    """Documents that hold a text of the known-bad list: candidates share a line of it, then the whole text is looked for."""
+    """Documents that hold a text of the known-bad list: candidates share its longest inner word, then the whole text is looked for."""
     b = B.table(spark, sf_dir, "benchmark").where("text is not null")
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    # the item's longest inner word is whole in any document that holds the item
+    # the longest inner word of an item is a whole word of any document that holds the item
     inner = F.slice(words(F.col("text")), F.lit(2), F.greatest(F.size(words(F.col("text"))) - 2, F.lit(0)))
     key = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
     keyed = b.select("item_id", F.col("text").alias("item"), F.when(F.size(inner) > 0, key).alias("word"))
-    docs = B.documents(spark, sf_dir).select("doc_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    hit = docs.join(keyed, "word").where(F.col("text").contains(F.col("item")))
+    docs = B.documents(spark, sf_dir).select("doc_id", "text")
+    said = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))  # without the texts
+    likely = said.join(keyed.select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
+    hit = docs.join(likely, "doc_id").join(keyed.select("item_id", "item"), "item_id").where(F.col("text").contains(F.col("item")))
     return hit.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_files"), F.min("doc_id").alias("first_file"))
 
 
@@ -605,10 +607,10 @@ def q_upsert_nodes(spark, sf_dir):
     return tables.upsert(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"), ("node",), "seq")
 
 
-FIND = "find AS (SELECT l_orderkey AS release_id, l_linenumber AS chunk_index, 'f' || l_suppkey % 3 AS file, CASE l_partkey % 5 WHEN 0 THEN 'EXECUTION' WHEN 1 THEN 'NETWORK' WHEN 2 THEN 'OBFUSCATION' WHEN 3 THEN 'EXFILTRATION' ELSE 'UNHEARD_OF' END AS category, CASE WHEN l_partkey % 2 = 0 THEN l_quantity::INTEGER % 4 END AS line_start, l_returnflag AS evidence, CASE WHEN l_tax > 0.045 THEN 'HIGH' ELSE 'LOW' END AS severity FROM lineitem)"
+FIND = "find AS (SELECT l_orderkey AS release_id, l_linenumber AS chunk_index, (l_partkey * 1000 + l_suppkey) * 100 + round(l_tax * 100)::BIGINT AS position, 'f' || l_suppkey % 3 AS file, CASE l_partkey % 5 WHEN 0 THEN 'EXECUTION' WHEN 1 THEN 'NETWORK' WHEN 2 THEN 'OBFUSCATION' WHEN 3 THEN 'EXFILTRATION' ELSE 'UNHEARD_OF' END AS category, CASE WHEN l_partkey % 2 = 0 THEN l_quantity::INTEGER % 4 END AS line_start, l_returnflag AS evidence, CASE WHEN l_tax > 0.045 THEN 'HIGH' ELSE 'LOW' END AS severity FROM lineitem)"
 
 
-@query(f"""WITH {FIND}, one AS (SELECT *, row_number() OVER (PARTITION BY release_id, file, category, line_start, CASE WHEN line_start IS NULL THEN evidence END ORDER BY chunk_index) AS n FROM find WHERE category <> 'UNHEARD_OF'), f AS (SELECT * FROM one WHERE n = 1),
+@query(f"""WITH {FIND}, one AS (SELECT *, row_number() OVER (PARTITION BY release_id, file, category, line_start, CASE WHEN line_start IS NULL THEN evidence END ORDER BY chunk_index, position) AS n FROM find WHERE category <> 'UNHEARD_OF'), f AS (SELECT * FROM one WHERE n = 1),
     m AS (SELECT DISTINCT release_id, 'f0' AS file, category, 1 AS line_start FROM find WHERE chunk_index = 1)
     SELECT release_id, file, category, line_start, severity, 'analyzer' AS origin FROM f UNION ALL
     SELECT release_id, file, category, line_start, 'HIGH', 'rule' FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.release_id = m.release_id AND f.file = m.file AND f.category = m.category AND f.line_start IS NOT DISTINCT FROM m.line_start)""")
@@ -616,7 +618,7 @@ def q_findings_merge(spark, sf_dir):
     li, p = B.table(spark, sf_dir, "lineitem"), F.col("l_partkey")
     cat = F.when(p % 5 == 0, "EXECUTION").when(p % 5 == 1, "NETWORK").when(p % 5 == 2, "OBFUSCATION").when(p % 5 == 3, "EXFILTRATION").otherwise("UNHEARD_OF")
     line = F.when(p % 2 == 0, F.col("l_quantity").cast("int") % 4)
-    found = li.select(F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").alias("chunk_index"), F.lit(0).alias("position"), F.concat(F.lit("f"), (F.col("l_suppkey") % 3).cast("string")).alias("file"), cat.alias("category"), line.alias("line_start"), line.alias("line_end"),
+    found = li.select(F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").alias("chunk_index"), ((p * 1000 + F.col("l_suppkey")) * 100 + F.round(F.col("l_tax") * 100).cast("long")).alias("position"), F.concat(F.lit("f"), (F.col("l_suppkey") % 3).cast("string")).alias("file"), cat.alias("category"), line.alias("line_start"), line.alias("line_end"),
                       F.col("l_returnflag").alias("evidence"), F.when(F.col("l_tax") > 0.045, "HIGH").otherwise("LOW").alias("severity"))
     match = found.where("chunk_index = 1").select("release_id", F.lit("f0").alias("file"), "category", F.lit(1).alias("line_number"), F.lit("HIGH").alias("severity")).distinct()
     return verdicts.with_rules(verdicts.distinct_findings(found, ("release_id",)), match, ("release_id",))
