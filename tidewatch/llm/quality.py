@@ -15,7 +15,7 @@ from .common import crc_mod
 
 #: Features are places of a vector of 2**BITS weights: words, pairs of words, the forms of words, repeats and length.
 BITS = 18
-#: At most so many labelled documents are learned from: those whose ids hash lowest. They are the only rows that reach the driver.
+#: At most so many labelled documents are learned from: those whose ids hash lowest. They are trained on in one task.
 SAMPLE = 12_000
 EPOCHS, ALPHA, BETA, L1, L2, SHORT = 4, 0.5, 1.0, 0.02, 1.0, 2.0
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
@@ -94,10 +94,22 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMP
     chosen = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1))
               .groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    of = Features(bits)
-    known = sorted((r.doc_id, r.text or "", int(r.quality > 0)) for r in docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toLocalIterator())
-    order = np.random.default_rng(7).permutation(len(known))
-    return train([(*of(known[i][1]), known[i][2]) for i in order], bits)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "quality")
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, found = Features(bits), []
+        for batch in batches:
+            for doc_id, text, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                place, value = of(text.as_py())
+                found.append((doc_id, int(y > 0), place.astype(np.int32), value.astype(np.float32)))
+        found.sort(key=lambda r: (r[0], r[1], len(r[2])))
+        order = np.random.default_rng(7).permutation(len(found))
+        w, b = train([(found[i][2], found[i][3], found[i][1]) for i in order], bits)
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b])], ["weights", "bias"])
+
+    # one task has the sample, whose size is bounded; the driver gets the weights
+    made = rows.repartition(1).mapInArrow(trained, "weights binary, bias double").first()
+    return (np.frombuffer(made["weights"], np.float32), made["bias"]) if made else (np.zeros(1 << bits, np.float32), 0.0)
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, bias: float, bits: int = BITS) -> DataFrame:
