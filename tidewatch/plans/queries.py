@@ -170,6 +170,21 @@ def q_file_diff(spark, sf_dir):
     return s.select("release_id", "files_changed", F.size("new_files").cast("long").alias("n_new"), F.size("deleted_files").cast("long").alias("n_deleted"), F.nullif(F.array_join("new_files", ","), F.lit("")).alias("new_files"))
 
 
+_SQL_SIDES = """v AS (SELECT source || '/' || doc_id // 1000 AS release_id, lang || '/' || doc_id AS path, doc_id, coalesce(text, '') AS text FROM documents),
+    o AS (SELECT release_id, path, text AS content FROM v WHERE doc_id % 10 <> 3), n AS (SELECT release_id, path, CASE WHEN doc_id % 3 = 0 THEN text || '\n# ' || doc_id ELSE text END AS content FROM v WHERE doc_id % 10 <> 7)"""
+
+
+@query(f"""WITH {_SQL_SIDES} SELECT release_id, count(*) AS files_changed, count(*) FILTER (o.content IS NULL) AS n_new, count(*) FILTER (n.content IS NULL) AS n_deleted, string_agg(path, ',' ORDER BY path) FILTER (o.content IS NULL) AS new_files
+    FROM o FULL JOIN n USING (release_id, path) WHERE o.content IS DISTINCT FROM n.content GROUP BY release_id""")
+def q_file_diff_whole(spark, sf_dir):
+    """q_file_diff with every document as a file of its own: files, releases and compared lines grow with the table."""
+    c = F.coalesce("text", F.lit(""))
+    d = B.documents(spark, sf_dir).select(F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string")).alias("release_id"), F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("path"), c.alias("content"), F.lit(False).alias("is_binary"), "doc_id")
+    changed = F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.lit("\n# "), F.col("doc_id").cast("string"))).otherwise(F.col("content"))
+    s = lines.diff_stats(d.where("doc_id % 10 <> 3"), d.where("doc_id % 10 <> 7").withColumn("content", changed))
+    return s.select("release_id", "files_changed", F.size("new_files").cast("long").alias("n_new"), F.size("deleted_files").cast("long").alias("n_deleted"), F.nullif(F.array_join("new_files", ","), F.lit("")).alias("new_files"))
+
+
 @query("""SELECT l_orderkey, sum(l_quantity)::BIGINT AS added, (sum(l_linenumber) - 1)::BIGINT AS removed,
     concat_ws(',', CASE WHEN sum(l_linenumber) - 1 > 0 AND sum(l_quantity) > 5 * (sum(l_linenumber) - 1) AND sum(l_quantity) > 50 THEN 'LARGE_ADDITION' END, CASE WHEN sum(l_linenumber) - 1 = 0 AND sum(l_quantity) > 100 THEN 'PURE_ADDITION' END) AS signals FROM lineitem GROUP BY l_orderkey""")
 def q_diff_stats_signals(spark, sf_dir):
