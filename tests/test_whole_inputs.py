@@ -12,3 +12,9 @@ def test_file_diff_takes_every_document(spark):
     d = B.documents(spark, SF)
     changed = d.where("doc_id % 10 = 3 or doc_id % 10 = 7 or doc_id % 3 = 0").count()
     assert q.QUERIES["q_file_diff_whole"](spark, SF).agg(F.sum("files_changed")).first()[0] == changed
+
+
+def test_rot13_and_hex_take_whole_texts(spark):
+    made = q.QUERIES["q_rot13_hex_whole"](spark, SF).join(B.documents(spark, SF).select("doc_id", "text"), "doc_id")
+    assert made.where("again <> text or length(turned) <> length(text)").isEmpty()
+    assert made.agg(F.max(F.length("turned"))).first()[0] > 40

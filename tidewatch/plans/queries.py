@@ -493,6 +493,12 @@ def q_rot13_hex(spark, sf_dir):
     return B.documents(spark, sf_dir).select("doc_id", T.rot13(head).alias("turned"), T.from_hex(F.hex(F.encode(F.left("text", F.lit(30)), "utf-8"))).alias("again"))
 
 
+@query("SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS turned, text AS again FROM documents")
+def q_rot13_hex_whole(spark, sf_dir):
+    """q_rot13_hex over whole texts."""
+    return B.documents(spark, sf_dir).select("doc_id", T.rot13(F.col("text")).alias("turned"), T.from_hex(F.hex(F.encode("text", "utf-8"))).alias("again"))
+
+
 @query("SELECT b.item_id, count(*) AS n_files, min(doc_id) AS first_file FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def q_known_bad_passages(spark, sf_dir):
     """Documents that hold a text of the known-bad list: candidates share its longest inner word, then the whole text is looked for."""
