@@ -11,6 +11,8 @@ in about 75 bytes. The windows that share an anchor are a run of starts; their b
    sorting, see suffix_sort). A window that starts o bytes before the anchor occurs again exactly
    if another context agrees with it in o bytes to the left and SPAN - o to the right: classes of
    neighbours in the two sorted orders.
+   K-grams of more than about HOT anchors are never one group: their anchors are dealt out by context (those
+   of one very common context by place), and their windows are counted by hashes, added up before the shuffle.
 3. The marked windows of a document are joined with its text, which is cut.
 """
 
@@ -32,6 +34,8 @@ from .suffix_sort import deep_shallow_sort
 SPAN, K = 200, 48
 #: A text is searched in parts of so many bytes (with SPAN - 1 more); contexts are sorted about so many at once.
 PART, BATCH = 1 << 22, 40_000
+#: Anchors of a k-gram from which it is no group of one task; found in one anchor of RATE, which only decides where rows go.
+HOT, RATE = 40_000, 64
 _PLACE = np.uint64((1 << 23) - 1)
 
 
@@ -126,6 +130,52 @@ def sorted_windows(contexts: DataFrame, span: int) -> DataFrame:
     return contexts.mapInArrow(found, "_row long, start long, end long")
 
 
+def dealt_anchors(anchors: DataFrame) -> DataFrame:
+    """anchors with many (the context occurs again), lead (one anchor of each context), kinds (contexts of the k-gram, 2 if hot) and hot."""
+    least = max(2, HOT // RATE)  # two of a context in the sample are a proof that it occurs again
+    sample = anchors.where(F.pmod(F.xxhash64("_row", "place"), F.lit(RATE)) == 0)
+    grams = sample.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("gram", F.lit(True).alias("is_hot"))
+    common = sample.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("_row", "place")).alias("first")).where(F.col("n") >= least).drop("n")
+    found = anchors.join(written(grams, "hot-grams"), "gram", "left").join(written(common, "hot-contexts"), ["gram", "context"], "left")
+    hot, proven = F.coalesce("is_hot", F.lit(False)), F.col("first").isNotNull()
+    part = F.when(proven, F.xxhash64("_row", "place")).when(hot, F.xxhash64("gram", "context")).otherwise(F.col("gram"))
+    parts = found.withColumn("hot", hot).withColumn("part", part).repartition(partitions(anchors.sparkSession), "part")
+    same, gram = Window.partitionBy("part", "gram", "context"), Window.partitionBy("part", "gram")
+    counted = parts.withColumn("many", proven | (F.count("*").over(same) > 1)).withColumn("nth", F.row_number().over(same.orderBy("_row", "place")))
+    lead = F.when(proven, (F.col("first._row") == F.col("_row")) & (F.col("first.place") == F.col("place"))).otherwise(F.col("nth") == 1)
+    kinds = counted.withColumn("lead", lead).withColumn("kinds", F.sum(F.col("lead").cast("int")).over(gram))
+    return kinds.withColumn("kinds", F.when(F.col("hot"), F.lit(2).cast("long")).otherwise(F.col("kinds")))
+
+
+def counted_windows(contexts: DataFrame, span: int) -> DataFrame:
+    """(_row, start, end) like sorted_windows, without a group: windows are counted by hash, and those that occur once are taken from the rest."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = Rolling(41)
+        for batch in batches:
+            parts, size = [], 0
+            for gram, row, place, reach, _, body in zip(*(c.to_pylist() for c in batch.columns)):
+                h = whole.windows(whole.sums(np.frombuffer(body, np.uint8)), span)
+                parts.append((np.full(len(h), gram), np.full(len(h), row), np.full(len(h), place), (reach >> 16) - np.arange(len(h)), h.view(np.int64)))
+                size += len(h)
+                if size > 50_000:
+                    yield packed(parts)
+                    parts, size = [], 0
+            if parts:
+                yield packed(parts)
+
+    def packed(parts):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts)], ["gram", "_row", "place", "back", "hash"])
+
+    windows = contexts.mapInArrow(found, "gram long, _row long, place long, back long, hash long")
+    once = windows.groupBy("gram", "back", "hash").agg(F.count("*").alias("n"), F.min("_row").alias("_row"), F.min("place").alias("place")).where("n = 1")
+    alone = once.groupBy("_row", "place").agg(F.collect_list("back").alias("alone"))
+    back, runs = F.shiftright("reach", 16), F.col("reach").bitwiseAND(0xFFFF)
+    asked = contexts.where("not many").select("_row", "place", F.sequence(back - runs, back).alias("backs"))
+    again = asked.join(alone, ["_row", "place"], "left").select("_row", "place", F.explode(F.array_except("backs", F.coalesce("alone", F.array().cast("array<bigint>")))).alias("back"))
+    return again.select("_row", (F.col("place") - F.col("back")).alias("start"), (F.col("place") - F.col("back") + span).alias("end"))
+
+
 def cut_repeats(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed runs), and kept (the bytes left).
 
@@ -136,15 +186,12 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    same, gram = Window.partitionBy("gram", "context"), Window.partitionBy("gram")
-    anchors = find_anchors(texts, span, k).repartition(n, "gram")
-    counted = anchors.withColumn("many", F.count("*").over(same) > 1).withColumn("nth", F.row_number().over(same.orderBy("_row", "place")))
-    kinds = counted.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(gram))
-    repeats = written(kinds.where("many or kinds > 1").select("_row", "place", "reach", "gram", "many", (F.col("nth") == 1).alias("lead"), "kinds"), "anchors")
+    kinds = dealt_anchors(written(find_anchors(texts, span, k), "anchors"))
+    repeats = written(kinds.where("many or kinds > 1").select("_row", "place", "reach", "gram", "many", "lead", "kinds", "hot"), "repeated-anchors")
 
     back, runs = F.shiftright("reach", 16), F.col("reach").bitwiseAND(0xFFFF)
     whole = repeats.where("many").select("_row", (F.col("place") - back).alias("start"), (F.col("place") - back + runs + span).alias("end"))
-    wanted = repeats.where("kinds > 1 and lead").groupBy("_row").agg(F.collect_list(F.struct("gram", "place", "reach", "many")).alias("at"))
+    leads = repeats.where("kinds > 1 and lead")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "_row", "place", "reach", "many", "bytes"]
@@ -165,9 +212,15 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-    cut = texts.join(wanted, "_row").select("_row", "doc_id", "body", "at").mapInArrow(contexts, "gram long, _row long, place long, reach long, many boolean, bytes binary")
-    marked = sorted_windows(cut.repartition(n, "gram").sortWithinPartitions("gram"), span)
-    spans = whole.unionByName(marked).groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
+    def cut(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy("_row").agg(F.collect_list(F.struct("gram", "place", "reach", "many")).alias("at"))
+        return texts.join(wanted, "_row").select("_row", "doc_id", "body", "at").mapInArrow(contexts, "gram long, _row long, place long, reach long, many boolean, bytes binary")
+
+    marked = whole.unionByName(sorted_windows(cut(leads.where("not hot")).repartition(n, "gram").sortWithinPartitions("gram"), span))
+    hot = leads.where("hot")
+    if not hot.isEmpty():
+        marked = marked.unionByName(counted_windows(written(cut(hot), "hot-cuts"), span))
+    spans = marked.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
