@@ -23,9 +23,8 @@ KINDS = {
     "ALIASED_EXEC": ("CRITICAL", "OBFUSCATION", 506), "ATEXIT_REGISTER": ("HIGH", "EXECUTION", 693), "THREADING_TIMER": ("MEDIUM", "EXECUTION", 693),
     "CI_SANDBOX_CHECK": ("HIGH", "EXECUTION", 693), "TIME_BOMB_CHECK": ("HIGH", "EXECUTION", 693), "CREDENTIAL_FILE_CHECK": ("HIGH", "EXFILTRATION", 200), "FSTRING_ENV_EMBED": ("MEDIUM", "EXFILTRATION", 200),
 }
-#: A cheap sign that a file may have a finding; others never reach Python.
-SIGN = r"exec|eval|compile|getattr|__import__|atexit|Timer|if |f['\"]"
-LIMIT = 1_000_000  # characters: longer files are reported as too long, see `status`
+#: A cheap sign that a file may have a finding; others never reach Python. Names outside ASCII may be other forms of one of these.
+SIGN = r"exec|eval|compile|getattr|__import__|atexit|Timer|if|[fF][rR]?['\"]|[^\x00-\x7F]"
 
 
 def _string(call: ast.Call, i: int):
@@ -110,20 +109,17 @@ def parse_lines(numbers: list[int], lines: list[str]) -> dict[tuple[str, int], s
 
 def syntax_findings(added: DataFrame, key: str) -> DataFrame:
     """key, finding_id, severity, category, cwe, line_number, evidence; added: key, seq, line_number, line of Python files."""
-    gathered = added.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_number", "line"))).alias("lines"), F.max(F.col("line").rlike(SIGN)).alias("sign"), F.sum(F.length("line")).alias("size"))
+    gathered = added.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_number", "line"))).alias("lines"), F.max(F.col("line").rlike(SIGN)).alias("sign"))
     schema = f"{key} string, finding_id string, severity string, category string, cwe string, line_number long, evidence string"
 
     def found(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for k, numbers, lines, size in zip(part[key], part["numbers"], part["texts"], part["size"]):
-                if size > LIMIT:
-                    rows.append((k, "TOO_LONG", "NONE", "OTHER", "", None, f"{size} characters"))
-                    continue
+            for k, numbers, lines in zip(part[key], part["numbers"], part["texts"]):
                 for (kind, line), evidence in parse_lines([int(n) for n in numbers], list(lines)).items():
                     severity, category, cwe = KINDS[kind]
                     rows.append((k, kind, severity, category, f"CWE-{cwe}", line, evidence))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"line_number": "Int64"})
 
-    shaped = gathered.where("sign").select(F.col(key).cast("string").alias(key), F.transform("lines", lambda x: x["line_number"]).alias("numbers"), F.transform("lines", lambda x: x["line"]).alias("texts"), "size")
+    shaped = gathered.where("sign").select(F.col(key).cast("string").alias(key), F.transform("lines", lambda x: x["line_number"]).alias("numbers"), F.transform("lines", lambda x: x["line"]).alias("texts"))
     return shaped.mapInPandas(found, schema)
