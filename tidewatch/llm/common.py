@@ -29,6 +29,11 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """docs with a number of each row in the column `name`, as a written table: a second scan of docs may be split otherwise and number anew."""
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, written
+from .common import BLANK, numbered, written
 
 BLOCK = 4096
 
@@ -33,14 +33,14 @@ def _named(segments: DataFrame, content: list[str]) -> DataFrame:
     return segments.join(names, content).drop(*content)
 
 
-def document_names(docs: DataFrame, text: Column, block: int = BLOCK) -> DataFrame:
+def document_names(docs: DataFrame, text: Column, block: int = BLOCK, row: Column | None = None) -> DataFrame:
     """(_row, doc_id, text_sha256, n_blocks, name), one row per row of docs.
 
-    docs must be a scan or a written table, so that its rows keep their numbers when a task runs again.
+    row: the number of each row, made here by default. docs must be a scan or a written table, so that its rows keep their numbers when a task runs again.
     """
     body = F.col("_body")
     count = F.greatest(F.lit(1), F.ceil(F.length(body) / F.lit(block))).cast("int")
-    cut = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", text.cast("binary").alias("_body")).select(
+    cut = docs.select((F.monotonically_increasing_id() if row is None else row).alias("_row"), "doc_id", text.cast("binary").alias("_body")).select(
         "_row", "doc_id", F.sha2(body, 256).alias("_sha"), count.alias("n_blocks"),
         F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(body, i * block + 1, F.lit(block)))).alias("pos", "block"),
     ).select(
@@ -69,14 +69,14 @@ def document_names(docs: DataFrame, text: Column, block: int = BLOCK) -> DataFra
     return out
 
 
-def exact_dedup(docs: DataFrame, text: Column | None = None, block: int = BLOCK) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: Column | None = None, block: int = BLOCK, row: Column | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     text: the column to compare, by default `text` with white space normalised. Null texts equal
     empty ones. Of equal texts the row with the least doc_id stays (null ids come last; of rows
     that repeat an id, one stays). An empty table gives an empty result; other columns are not read.
     """
-    named = written(document_names(docs, normalised(F.col("text")) if text is None else text, block), "document-names")
+    named = written(document_names(docs, normalised(F.col("text")) if text is None else text, block, row), "document-names")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("_row"))
     groups = named.groupBy("n_blocks", "name").agg(F.min(order).alias("keep"), F.count("*").alias("group_size"))
     return named.join(groups, ["n_blocks", "name"]).select(
@@ -86,5 +86,6 @@ def exact_dedup(docs: DataFrame, text: Column | None = None, block: int = BLOCK)
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the rows that repeat an earlier text. doc_id finds the rows; where ids repeat, one row of each id and text stays."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("_row").alias("_gone"))
-    return docs.withColumn("_number", F.monotonically_increasing_id()).join(gone, F.col("_number") == F.col("_gone"), "left_anti").drop("_number")
+    docs = numbered(docs, "_number")
+    gone = exact_dedup(docs, row=F.col("_number")).where(~F.col("kept")).select(F.col("_row").alias("_gone"))
+    return docs.join(gone, F.col("_number") == F.col("_gone"), "left_anti").drop("_number")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, partitions, written
+from .common import LOWER, UPPER, numbered, partitions, written
 from .components import components
 
 WORDS, PERMUTATIONS, ROWS, BANDS = 5, 100, 5, 40
@@ -99,8 +99,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def sketches(docs: DataFrame, words: int = WORDS, permutations: int = PERMUTATIONS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(_row, doc_id, n_shingles, set_id, bands) of each row; set_id, a 128-bit digest of the set, and bands are null without words."""
+def sketches(rows_in: DataFrame, words: int = WORDS, permutations: int = PERMUTATIONS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(_row, doc_id, n_shingles, set_id, bands) of each (_row, doc_id, text); set_id, a 128-bit digest of the set, and bands are null without words."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, minmax = Shingles(words), MinMax(permutations, rows, bands)
@@ -113,8 +113,8 @@ def sketches(docs: DataFrame, words: int = WORDS, permutations: int = PERMUTATIO
                 found.append(minmax(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["_row", "doc_id", "n_shingles", "set_id", "bands"])
 
-    rows_in = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows_in.mapInArrow(made, "_row long, doc_id long, n_shingles long, set_id binary, bands array<long>")
+    ready = rows_in.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return ready.mapInArrow(made, "_row long, doc_id long, n_shingles long, set_id binary, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -263,6 +263,11 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, per
     and component all are kept (see keep_one for one row of each group). A null id is greater than
     any other. An empty table gives an empty result. docs must be a scan or a written table.
     """
+    return _groups(numbered(docs.select("doc_id", "text")), words, percent, permutations, rows, bands)
+
+
+def _groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """near_groups of (_row, doc_id, text), a written table."""
     made = written(sketches(docs, words, permutations, rows, bands), "sketches")
     nodes = made.where("set_id is not null").groupBy("set_id").agg(
         F.min("_row").alias("node"), F.min("doc_id").alias("least"), F.min("n_shingles").alias("size"), F.min(F.struct("_row", "bands")).alias("first"))
@@ -270,8 +275,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, per
     each = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     buckets = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = written(each.join(buckets, "bucket"), "members")
-    numbered = docs.select(F.monotonically_increasing_id().alias("node"), "text")
-    texts = written(numbered.join(members.select("node").distinct(), "node", "left_semi"), "texts")
+    texts = written(docs.select(F.col("_row").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi"), "texts")
 
     # a bucket's leader is the member that shares most buckets with others: the origin of a group of copies, if it is there
     scores = members.groupBy("node").agg(F.sum("n").alias("score"))
@@ -303,8 +307,9 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, per
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group of near-duplicates, that with the least doc_id; columns and documents without words stay."""
-    found = written(near_groups(docs, **options), "near-groups")
+    docs = numbered(docs, "_number")
+    found = written(_groups(docs.select(F.col("_number").alias("_row"), "doc_id", "text"), **options), "near-groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     first = found.where("label is not null").groupBy("label").agg(F.min(order).alias("first"))
     gone = found.join(first, "label").where("_row <> first._row").select(F.col("_row").alias("_gone"))
-    return docs.withColumn("_number", F.monotonically_increasing_id()).join(gone, F.col("_number") == F.col("_gone"), "left_anti").drop("_number")
+    return docs.join(gone, F.col("_number") == F.col("_gone"), "left_anti").drop("_number")

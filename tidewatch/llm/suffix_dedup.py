@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import partitions, written
+from .common import numbered, partitions, written
 from .rolling import Rolling, sliding_min
 from .suffix_sort import deep_shallow_sort
 
@@ -185,7 +185,7 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    texts = numbered(docs.select("doc_id", "text")).select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     kinds = dealt_anchors(written(find_anchors(texts, span, k), "anchors"))
     repeats = written(kinds.where("many or kinds > 1").select("_row", "place", "reach", "gram", "many", "lead", "kinds", "hot"), "repeated-anchors")
 
