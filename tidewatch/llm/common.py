@@ -34,6 +34,15 @@ def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
     return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

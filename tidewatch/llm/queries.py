@@ -59,7 +59,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get("tidewatch.surrogate.key", "key of the registered query")
+    made = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     return made.select("doc_id", "text", "n_entities", F.array_join(F.transform("entities", lambda e: e["kind"]), ",").alias("kinds"))
 
 

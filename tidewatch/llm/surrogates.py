@@ -1,24 +1,36 @@
 """Personal data replaced by keyed surrogates of the same type and form.
 
-Entities are found by one expression per kind. Each different entity gets a surrogate made
-character by character from a keyed hash of its normal form: digits become digits, letters
-letters of the same script and case, separators stay, so lengths and formats do. What
-identifies a kind is kept: a card's checksum is made right again, an address's octets stay in
-0-255 and get no leading zero, mail addresses keep their punctuation and get a reserved
-domain of the same shape, given names come from the list of the same gender and script.
-
-Equal entities get equal surrogates in all documents. Then collisions are looked for: surrogates
-that two entities share, or that are themselves an entity of the corpus; all but one of
-those get the next attempt's hash, until there is none. Only DataFrame functions are used;
-texts without an entity are not shuffled at all. Titles before given names stay.
+Entities are found by one expression per kind. Repeated parts of the expressions are single
+character classes, so the time is linear and the stack flat however long an entity is. An
+entity is made of units, mostly one; the words of a name are units of their own, so that
+"Frau Anna Schmidt" and "Dr. Schmidt" still share a surname afterwards.
+
+The normal form of a unit (no case, no separators) is hashed with HMAC-SHA256 under `key`, which
+the caller must give, and the surrogate is made from that character by character: digits become
+digits, letters letters of the same script, so lengths and forms do not change. What identifies
+a kind is kept or made right again: a card's network and checksum, an account number's country and
+check digits, an address's class, a phone number's country, the prefix of an access key, a mail
+address's labels and top-level domain. A given name that is listed gets one of the same gender and script; any
+other word of a name keeps its pattern of vowels and consonants and its ending, which shows gender.
+Each occurrence gets its own case and separators back.
+
+Surrogates that two units share, or that are themselves a unit of the corpus, are looked for; all
+but one of them get the next attempt, until there is none. The number of attempts is not limited:
+words, keys, mail addresses, phone and social security numbers grow by a character when their form is
+crowded, addresses go to another range of the same class. Only an address may, past LIFT attempts (when nearly its
+whole class occurs in the corpus), be one that occurs; it still stands for one address alone.
+
+Only DataFrame functions are used; texts without an entity are not shuffled at all. Titles stay.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, numbered, partitions, written
 
 #: Given names by gender and script; a surrogate comes from the list of the name it replaces.
 NAMES = {
@@ -27,63 +39,111 @@ NAMES = {
     ("f", "cyrillic"): ["Анна", "Мария", "Ольга", "Елена", "Наталья", "Татьяна", "Ирина", "Светлана"],
     ("m", "cyrillic"): ["Иван", "Пётр", "Павел", "Сергей", "Алексей", "Дмитрий", "Николай", "Михаил"],
 }
-_TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr|Sra)\.? "
+#: Titles before names.
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Mx", "Dr", "Prof", "Herr", "Herrn", "Frau", "Monsieur", "Madame", "Mademoiselle", "Mme", "Mlle", "Señor", "Señora", "Señorita", "Sr", "Sra", "Srta",
+          "Господин", "Госпожа", "Доктор", "г-н", "г-жа")
+_TITLE = rf"(?=[MDPHFSГДг])(?:(?:{'|'.join(sorted(TITLES, reverse=True))})\.? ){{1,3}}"
+_WORD = r"\p{Lu}[\p{L}\p{M}'’-]*\.?"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: How well-known access keys begin.
+_KEY_HEAD = "(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza)"
+_SAID = r"(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)"
 #: (kind, what must stand before, expression, what must stand after), asked in this order; all start after no letter or digit.
 KINDS = (
-    ("mail", "(?<![._%+-])", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", ""),
-    ("secret", "", "[0-9a-f]{32,64}", "(?![0-9A-Za-z])"),
+    ("mail", "(?<![._%+-])", r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++\.[A-Za-z0-9.-]*[A-Za-z0-9]", ""),
+    ("secret", "", f"(?:[0-9a-fA-F]{{32,}}+|{_KEY_HEAD}[0-9A-Za-z_-]{{16,}}+|eyJ[0-9A-Za-z_-]{{8,}}+\\.[0-9A-Za-z_-]++\\.[0-9A-Za-z_-]++)", "(?![0-9A-Za-z])"),
+    ("secret", rf"(?<=[\"'])(?<={_SAID}[\"']? ?[=:] ?[\"'])", r"[0-9A-Za-z][^\s\"']{7,}+", r"(?=[\"'])"),
     ("address", r"(?<!\.)", rf"{_OCTET}(?:\.{_OCTET}){{3}}", r"(?![0-9]|\.[0-9])"),
-    ("card", "", "[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}", "(?![0-9])"),
+    ("address6", "(?<!:)", "(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}", "(?![0-9A-Za-z:])"),
+    ("card", "", "(?:[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})", "(?![0-9])"),
     ("ssn", "(?<!-)", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "(?![0-9-])"),
-    ("phone", "", r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}", "(?![0-9])"),
-    ("iban", "", "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?", "(?![0-9A-Za-z])"),
-    ("name", "", rf"{_TITLE}(?:{'|'.join(n for names in NAMES.values() for n in names)})", r"(?![\p{L}0-9])"),
-)
+    ("phone", "", r"(?:\+(?=(?:[ ()./-]{0,2}[0-9]){8})[0-9]{1,3}(?:[ ./-]?(?:\([0-9]{1,4}\)|[0-9]{1,5})){2,5}|(?:\([0-9]{2,5}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|0[1-9][0-9]{0,3}[ /-][0-9]{5,9})", "(?![0-9])"),
+    ("iban", "", "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "(?![0-9A-Za-z])"),
+    ("name", "", rf"{_TITLE}{_WORD}(?: {_WORD}){{0,3}}", r"(?![\p{L}0-9])"),
+)
 #: The tests at the front fail at once inside words.
-ANY = "(?<![0-9A-Za-z])(?=[0-9A-Za-z+(])(?:" + "|".join(f"{before}{core}{after}" for _, before, core, after in KINDS) + ")"
-KEY = "surrogates"
+ANY = r"(?<![0-9\p{L}])(?=[0-9A-Za-z+(\p{IsCyrillic}])(?:" + "|".join(f"{before}{core}{after}" for _, before, core, after in KINDS) + ")"
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYR_LOWER, _CYR_UPPER = "абвгдежзиклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"
+_VOWELS, _OTHERS = {"latin": "aeiou", "cyrillic": "аеиоуюя"}, {"latin": "bcdfghklmnprstvz", "cyrillic": "бвгдзклмнпрстфхч"}
+#: Attempts after which a surrogate grows by a character (words, keys and mail addresses; then numbers), and after which an address may be one that occurs.
+GROW, GROW_NUMBER, LIFT = 8, 64, 64
+#: First octets whose class depends on the second one.
+_TWO = ("100", "169", "172", "192", "198", "203")
 
 
 def kind_of(entity: Column) -> Column:
-    found = F.lit(None).cast("string")
+    """The first kind whose expression is the whole entity; what only its surroundings give away is a phone number (+) or a secret."""
+    found = F.when(entity.startswith("+"), "phone").otherwise("secret")
     for kind, _, core, _ in reversed(KINDS):
-        found = F.when(entity.rlike(rf"\A(?:{core})\z"), kind).otherwise(found)
+        if not core.startswith(r"[0-9A-Za-z][^\s"):
+            found = F.when(entity.rlike(rf"\A(?:{core})\z"), kind).otherwise(found)
     return found
 
 
-def normal(entity: Column, kind: Column) -> Column:
-    """Forms of one entity that only differ in case (mail, names) or separators (numbers) are one: coreference."""
-    return F.when(kind == "mail", F.lower(entity)).when(kind.isin("card", "phone", "iban", "ssn"), F.regexp_replace(entity, "[^0-9A-Za-z+]", "")).when(kind == "name", F.substring_index(entity, " ", -1)).otherwise(entity)
+def normal(unit: Column, kind: Column) -> Column:
+    """Forms of one unit that only differ in case (mail, names, hexadecimal) or separators (numbers) are one: coreference."""
+    return (F.when(kind.isin("mail", "name", "address6") | (kind == "secret") & unit.rlike(r"\A[0-9a-fA-F]+\z"), F.lower(unit))
+            .when(kind.isin("card", "phone", "iban", "ssn"), F.regexp_replace(unit, "[^0-9A-Za-z+]", "")).otherwise(unit))
+
+
+def hashed(message: Column, key: bytes) -> Column:
+    """HMAC-SHA256 in hexadecimal."""
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = bytes(x ^ 0x36 for x in key), bytes(x ^ 0x5C for x in key)
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message), 256))), 256)
+
 
+def stream(kind: Column, norm: Column, attempt: Column, key: bytes) -> Column:
+    """64 numbers from 0 to 65535 for a unit and attempt."""
+    base = F.concat_ws("\x1f", kind, norm, attempt.cast("string"))
+    digits = F.concat(*(hashed(F.encode(F.concat(F.lit(f"{i}\x1f"), base), "utf-8"), key) for i in range(4)))
+    return F.transform(F.regexp_extract_all(digits, F.lit("[0-9a-f]{4}"), F.lit(0)), lambda d: F.conv(d, 16, 10).cast("int"))
 
-def _bytes(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """256 hexadecimal digits of keyed hashes, enough for the longest forms."""
-    base = F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string"))
-    return F.concat(*(F.sha2(F.concat(F.lit(f"{i}\x1f"), base), 256) for i in range(4)))
 
+def _number(numbers: Column, i: Column) -> Column:
+    """The i-th number; past 64 they are used again, changed by the turn."""
+    turn = F.floor(i / 64).cast("int")
+    return F.pmod(F.get(numbers, (i % 64).cast("int")) * (turn % 997 * 2 + 1) + turn % 65536, F.lit(65536))
 
-def _pick(alphabet: str, byte: Column) -> Column:
-    return F.substring(F.lit(alphabet), (byte % len(alphabet) + 1).cast("int"), F.lit(1))
 
+def _pick(alphabet: str, number: Column) -> Column:
+    return F.substring(F.lit(alphabet), (number % len(alphabet) + 1).cast("int"), F.lit(1))
 
-def _byte(hashes: Column, i: Column) -> Column:
-    """The i-th number from 0 to 65535; places past 64 use the hashes again, shifted by the place."""
-    at = F.pmod(i * 4 + F.floor(i / 64).cast("int"), F.lit(250)) + 1
-    return F.conv(F.substring(hashes, at.cast("int"), F.lit(4)), 16, 10).cast("int")
 
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
-def _letters(text: Column, hashes: Column, hexadecimal: Column) -> Column:
-    """text with each digit and letter replaced by one of its kind."""
+
+def _letters(text: Column, numbers: Column, hexadecimal: Column) -> Column:
+    """text with each digit and letter replaced by one of its kind. What holds for the whole text is asked once, not in the lambdas."""
 
     def one(c, i):
-        b = _byte(hashes, i)
-        return (F.when(hexadecimal, _pick("0123456789abcdef", b)).when(c.rlike("[0-9]"), _pick(_DIGITS, b)).when(c.rlike("[a-z]"), _pick(_LOWER, b))
-                .when(c.rlike("[A-Z]"), _pick(_UPPER, b)).when(c.rlike("[а-яё]"), _pick(_CYR_LOWER, b)).when(c.rlike("[А-ЯЁ]"), _pick(_CYR_UPPER, b)).otherwise(c))
+        b = _number(numbers, i)
+        return (F.when(c.between("0", "9"), _pick(_DIGITS, b)).when(c.between("a", "z"), _pick(_LOWER, b)).when(c.between("A", "Z"), _pick(_UPPER, b))
+                .when(c.between("а", "я") | (c == "ё"), _pick(_CYR_LOWER, b)).when(c.between("А", "Я") | (c == "Ё"), _pick(_CYR_UPPER, b)).otherwise(c))
+
+    digit = lambda c, i: F.when(c == ":", c).otherwise(_pick("0123456789abcdef", _number(numbers, i)))
+    return F.array_join(F.when(hexadecimal, F.transform(_chars(text), digit)).otherwise(F.transform(_chars(text), one)), "")
+
 
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
+def _word(norm: Column, numbers: Column, attempt: Column) -> Column:
+    """A word of a name: one of the list that has it, or vowels for vowels and consonants for consonants, with its last letter."""
+
+    def built(script: str) -> Column:
+        grown = F.concat(norm, F.repeat(F.lit("ar" if script == "latin" else "ар"), F.floor(attempt / GROW).cast("int")))
+        ending = F.when(F.length(norm) > 2, F.substring(norm, -1, 1)).otherwise("")
+        body = F.substring(grown, F.lit(1), F.length(grown) - F.length(ending))
+        vowel = lambda c: c.isin(*(_VOWELS[script] + "yéèêáàâäëïíóöôúüùëыэё"))
+        one = lambda c, i: F.when(vowel(c), _pick(_VOWELS[script], _number(numbers, i))).otherwise(_pick(_OTHERS[script], _number(numbers, i)))
+        return F.concat(F.array_join(F.transform(_chars(body), one), ""), ending)
+
+    word = F.when(norm.rlike(r"\p{IsCyrillic}"), built("cyrillic")).otherwise(built("latin"))
+    for names in NAMES.values():
+        listed = [n.lower() for n in names]
+        other = F.element_at(F.array(*map(F.lit, listed)), (_number(numbers, F.lit(0)) % len(listed) + 1).cast("int"))
+        word = F.when(norm.isin(listed) & (attempt < GROW), other).otherwise(word)
+    return word
 
 
 def _luhn(digits: Column) -> Column:
@@ -94,94 +154,123 @@ def _luhn(digits: Column) -> Column:
         d = c.cast("int") * F.when(F.pmod(n - i, F.lit(2)) == 0, 2).otherwise(1)
         return F.when(i == n - 1, F.lit(0)).otherwise(F.when(d > 9, d - 9).otherwise(d))
 
-    parts = F.transform(F.filter(F.split(digits, ""), lambda c: c != ""), part)
-    total = F.aggregate(parts, F.lit(0), lambda a, x: a + x)
+    total = F.aggregate(F.transform(_chars(digits), part), F.lit(0), lambda a, x: a + x)
     return F.concat(F.substring(digits, F.lit(1), n - 1), F.pmod(-total, F.lit(10)).cast("string"))
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Column:
-    """The surrogate of a normal form."""
-    h = _bytes(kind, norm, attempt, key)
-    mixed = _letters(norm, h, kind == "secret")
-    # the first digit of a number stays, so that cards keep their network and numbers their region
-    head = F.when(kind == "phone", F.regexp_extract(norm, r"^\+[0-9]", 0)).when(kind == "iban", F.substring(norm, 1, 2)).when(kind == "card", F.substring(norm, 1, 1)).otherwise("")
-    kept = F.concat(head, F.substring(mixed, F.length(head) + 1, F.length(norm)))
-    octets = F.array_join(F.transform(F.split(norm, r"\."), lambda c, i: F.when(F.length(c) == 3, F.pmod(_byte(h, i), F.lit(156)) + 100).when(F.length(c) == 2, F.pmod(_byte(h, i), F.lit(90)) + 10).otherwise(F.pmod(_byte(h, i), F.lit(10))).cast("string")), ".")
-    user = F.substring_index(mixed, "@", 1)
-    host = F.substring_index(mixed, "@", -1)
-    mail = F.concat(user, F.lit("@"), F.substring_index(host, ".", 1), F.lit(".example.org"))
-    name = norm
-    for names in NAMES.values():
-        for place, own in enumerate(names):  # turned within its list by the key, one to one; attempts turn further
-            turned = F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.crc32(F.lit(key.encode())) % (len(names) - 1) + 1 + place + attempt, F.lit(len(names))) + 1).cast("int"))
-            name = F.when(norm == own, turned).otherwise(name)
-    return F.when(kind == "mail", mail).when(kind == "address", octets).when(kind == "card", _luhn(kept)).when(kind == "name", name).otherwise(kept)
-
-
-def formatted(entity: Column, norm_surrogate: Column, kind: Column) -> Column:
-    """The surrogate in the form of one occurrence: separators as there."""
-    plain = F.regexp_replace(entity, "[^0-9A-Za-z+]", "")
+def _iban(country: Column, rest: Column) -> Column:
+    """An account number with the right check digits: the number with its head last is 1 modulo 97, letters counting from 10."""
+    value = lambda a, c: F.when(c.between("0", "9"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    left = F.aggregate(_chars(F.concat(rest, country, F.lit("00"))), F.lit(0), value)
+    return F.concat(country, F.lpad((F.lit(98) - left).cast("string"), 2, "0"), rest)
+
+
+def _address(norm: Column, numbers: Column, attempt: Column) -> Column:
+    """An address of the same range, after GROW attempts of the same class: private or public, multicast and the like stay as they are."""
+    octets = F.split(norm, r"\.")
+    a, b, n = octets[0], octets[1], lambda i, lo, hi: (_number(numbers, F.lit(i)) % (hi - lo + 1) + lo).cast("string")
+    two = a.isin(*_TWO)
+    private = (a == "10") | (a == "172") & b.cast("int").between(16, 31) | (a == "192") & (b == "168")
+    special = a.isin("0", "127", "100", "169") | (a.cast("int") > 223)
+    wide = F.when(private, F.concat_ws(".", F.lit("10"), n(4, 0, 255))).when(special, F.concat_ws(".", a, n(4, 0, 255))).otherwise(F.concat_ws(".", n(5, 11, 98), n(4, 0, 255)))
+    head = F.when(attempt >= GROW, wide).when(two, F.concat_ws(".", a, b)).otherwise(F.concat_ws(".", a, n(4, 0, 255)))
+    return F.concat_ws(".", head, n(6, 0, 255), n(7, 1, 254))
+
+
+def surrogate(kind: Column, norm: Column, attempt: Column, numbers: Column) -> Column:
+    """The surrogate of a normal form; numbers: its stream."""
+    more = F.repeat(F.lit("0"), F.greatest(F.floor(attempt / GROW_NUMBER).cast("int"), F.lit(0)))
+    grown = F.when(kind == "secret", F.concat(norm, F.repeat(F.lit("0"), F.floor(attempt / GROW).cast("int")))).when(kind == "mail", F.concat(F.repeat(F.lit("x"), F.floor(attempt / GROW).cast("int")), norm)).when(kind.isin("phone", "ssn"), F.concat(norm, more)).otherwise(norm)
+    mixed = _letters(grown, numbers, kind.isin("secret", "address6") & norm.rlike(r"\A[0-9a-f:]+\z"))
+    # what a number or key begins with tells its network, country or issuer
+    head = F.when(kind == "phone", F.regexp_extract(norm, r"^\+(?:[17]|[2-9][0-9])|^0", 0)).when(kind == "card", F.substring(norm, 1, 1)).when(kind == "secret", F.regexp_extract(norm, "^" + _KEY_HEAD, 0)).otherwise("")
+    kept = F.concat(head, F.substring(mixed, F.length(head) + 1, F.length(grown)))
+    ssn = F.concat(_pick("12345", _number(numbers, F.lit(9))), F.substring(mixed, F.lit(2), F.lit(3)), _pick("123456789", _number(numbers, F.lit(10))), F.substring(mixed, F.lit(6), F.length(grown)))
+    domain = F.substring_index(norm, ".", -1)
+    mail = F.concat(F.substring(mixed, F.lit(1), F.length(grown) - F.length(domain)), domain)
+    iban = _iban(F.substring(norm, 1, 2), F.substring(mixed, F.lit(5), F.length(norm)))
+    return (F.when(kind == "mail", mail).when(kind == "address", _address(norm, numbers, attempt)).when(kind == "card", _luhn(kept)).when(kind == "iban", iban)
+            .when(kind == "name", _word(norm, numbers, attempt)).when(kind == "ssn", ssn).otherwise(kept))
+
+
+def formatted(unit: Column, made: Column, kind: Column) -> Column:
+    """The surrogate in the form of one occurrence: its separators and its case."""
+    plain = F.regexp_replace(unit, "[^0-9A-Za-z+]", "")
     is_mark = lambda c: c.rlike("[^0-9A-Za-z+]")
-    chars = F.filter(F.split(entity, ""), lambda c: c != "")
-    shaped = F.aggregate(
-        chars, F.struct(F.lit("").alias("text"), F.lit(1).alias("next")),
-        lambda a, c: F.struct(F.concat(a["text"], F.when(is_mark(c), c).otherwise(F.substring(norm_surrogate, a["next"], F.lit(1)))).alias("text"), (a["next"] + F.when(is_mark(c), 0).otherwise(1)).alias("next")),
-        lambda a: a["text"],
+    shaped = F.aggregate(  # numbers are short
+        _chars(unit), F.struct(F.lit("").alias("text"), F.lit(1).alias("next")),
+        lambda a, c: F.struct(F.concat(a["text"], F.when(is_mark(c), c).otherwise(F.substring(made, a["next"], F.lit(1)))).alias("text"), (a["next"] + F.when(is_mark(c), 0).otherwise(1)).alias("next")),
+        lambda a: F.concat(a["text"], F.substring(made, a["next"], F.length(made))),
     )
-    title = F.substring(entity, F.lit(1), F.length(entity) - F.length(F.substring_index(entity, " ", -1)))
-    return F.when(kind == "name", F.concat(title, norm_surrogate)).when(kind.isin("card", "phone", "iban", "ssn") & (plain != entity), shaped).otherwise(norm_surrogate)
+    by_place = F.array_join(F.zip_with(_chars(unit), _chars(made), lambda c, s: F.when(c.isNotNull() & (c != F.lower(c)), F.upper(s)).otherwise(F.coalesce(s, F.lit("")))), "")
+    cased = F.when(unit == F.lower(unit), made).when((unit == F.upper(unit)) & (F.length(unit) > 1), F.upper(made)).when(kind == "name", F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, F.lit(2), F.length(made)))).otherwise(by_place)
+    return F.when(kind.isin("card", "phone", "iban", "ssn"), F.when(plain != unit, shaped).otherwise(made)).when(kind.isin("mail", "name", "address6") | (kind == "secret") & unit.rlike(r"\A[0-9a-fA-F]+\z"), cased).otherwise(made)
 
 
-def mapping(found: DataFrame, key: str = KEY, turns: int = 40) -> DataFrame:
-    """(kind, norm, surrogate) for the distinct (kind, norm) of found: no two surrogates of a kind are equal, none is an entity of the corpus.
+def mapping(found: DataFrame, key: bytes) -> DataFrame:
+    """(kind, norm, surrogate) for the distinct (kind, norm) of found: no two surrogates of a kind are equal, none is a unit of the corpus (see LIFT).
 
-    Names are turned within their lists, which is one to one but stays among names, so they are exempt from the second.
+    Each turn makes the surrogates of what is open in as many tasks as the session shuffles to, writes them and settles those without a rival.
     """
-    entities = written(found.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)), "entities")
-    done, turn = [], 0
-    open_ = entities
+    n = partitions(found.sparkSession)
+    units = written(found.select("kind", "norm").distinct(), "units")
+    taken = units.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("occurs"))
+    done, open_ = [], units.withColumn("attempt", F.lit(0))
     while True:
-        made = open_.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
-        if done:  # what is settled comes first
-            settled = done[0]
-            for more in done[1:]:
-                settled = settled.unionByName(more)
-            made = made.join(settled.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti").unionByName(made.join(settled.select("kind", "surrogate"), ["kind", "surrogate"], "left_semi").withColumn("surrogate", F.lit(None).cast("string")))
-        originals = entities.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("taken")).where("kind <> 'name'")
+        made = open_.withColumn("numbers", stream(F.col("kind"), F.col("norm"), F.col("attempt"), key)).repartition(n, "kind", "norm")
+        made = written(made.select("kind", "norm", "attempt", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), F.col("numbers")).alias("surrogate")), "surrogates")
         first = made.groupBy("kind", "surrogate").agg(F.min("norm").alias("owner"))
-        judged = made.join(first, ["kind", "surrogate"], "left").join(originals, ["kind", "surrogate"], "left")
-        good = F.col("surrogate").isNotNull() & (F.col("owner") == F.col("norm")) & (F.col("taken").isNull() | (F.lit(turn) >= turns))
-        judged = written(judged.select("kind", "norm", "attempt", "surrogate", F.coalesce(good, F.lit(False)).alias("good")), "surrogates")
+        others = taken
+        for settled in done:
+            others = others.unionByName(settled.select("kind", "surrogate", F.lit(False).alias("occurs")))
+        rivals = others.groupBy("kind", "surrogate").agg(F.min("occurs").alias("occurs"))  # false: another unit has it
+        judged = made.join(first, ["kind", "surrogate"]).join(rivals, ["kind", "surrogate"], "left")
+        free = F.col("occurs").isNull() | F.col("occurs") & (F.col("kind") == "address") & (F.col("attempt") >= LIFT) & (F.col("surrogate") != F.col("norm"))
+        judged = written(judged.select("kind", "norm", "attempt", "surrogate", ((F.col("owner") == F.col("norm")) & free).alias("good")), "judged-surrogates")
         done.append(judged.where("good").select("kind", "norm", "surrogate"))
-        turn += 1
         open_ = judged.where("not good").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
-        if open_.isEmpty() or turn > turns:
+        if open_.isEmpty():
             break
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    if turn > turns:  # so small a space that no free surrogate was found in `turns` attempts: marked by its kind
-        out = out.unionByName(open_.select("kind", "norm", F.concat(F.lit("["), "kind", F.lit("-"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), "norm"), 256), 1, 32), F.lit("]")).alias("surrogate")))
     return out
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_entities(docs: DataFrame, key: bytes | str) -> DataFrame:
     """docs with `text` replaced and the columns n_entities and entities (kind, entity, surrogate of each place, in order).
 
-    Null and empty texts stay as they are and have no entities. Rows that repeat are replaced alike. An empty table
-    gives no rows. Columns of docs keep their names and order. docs must be a scan or a written table.
+    key: the secret that surrogates depend on; equal keys give equal surrogates for equal corpora. Null and empty
+    texts stay as they are and have no entities. Rows that repeat are replaced alike. An empty table
+    gives no rows. Columns of docs keep their names and order; n_entities and entities of docs itself give way to the operator's.
+    docs must be a scan or a written table.
     """
+    key = key.encode() if isinstance(key, str) else key
+    if not key:
+        raise ValueError("a key is needed")
+    docs = docs.drop("n_entities", "entities")
+    found, row, joined, places = (fresh(docs, x) for x in ("found", "row", "joined", "places"))
     text = F.col("text")
     kinds = "array<struct<kind: string, entity: string, surrogate: string>>"
-    numbered = docs.withColumn("_found", F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>")))
-    clean = numbered.where(F.size("_found") == 0).select(*docs.columns, F.lit(0).alias("n_entities"), F.array().cast(kinds).alias("entities"))
-    hit = written(numbered.withColumn("_row", F.monotonically_increasing_id()).where(F.size("_found") > 0), "with-entities")
-    place = hit.select("_row", F.posexplode("_found").alias("at", "entity")).withColumn("kind", kind_of(F.col("entity"))).withColumn("norm", normal(F.col("entity"), F.col("kind")))
-    places = written(place, "entity-places")
-    made = places.join(mapping(places, key), ["kind", "norm"]).withColumn("new", formatted(F.col("entity"), F.col("surrogate"), F.col("kind")))
-    per_row = made.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "entity", F.col("new").alias("surrogate")))).alias("_places"))
-    between = F.split(text, ANY, -1)
-    rebuilt = F.array_join(F.zip_with(between, F.col("_places"), lambda gap, p: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(p["surrogate"], F.lit("")))), "")
-    entities = F.transform("_places", lambda p: F.struct(p["kind"].alias("kind"), p["entity"].alias("entity"), p["surrogate"].alias("surrogate"))).cast(kinds)
+    searched = docs.withColumn(found, F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>")))
+    clean = searched.where(F.size(found) == 0).select(*docs.columns, F.lit(0).alias("n_entities"), F.array().cast(kinds).alias("entities"))
+    hit = numbered(searched.where(F.size(found) > 0), row)
+
+    entity, kind = F.col("entity"), F.col("kind")
+    title = F.when(kind == "name", F.regexp_extract(entity, rf"\A{_TITLE}", 0)).otherwise("")
+    rest = F.substring(entity, F.length("title") + 1, F.length(entity))
+    letters = r"[\p{L}\p{M}]+"
+    units = F.when(kind == "name", F.regexp_extract_all(F.col("rest"), F.lit(letters), F.lit(0))).otherwise(F.array("entity"))
+    gaps = F.when(kind == "name", F.split("rest", letters, -1)).otherwise(F.array(F.lit(""), F.lit("")))
+    place = hit.select(F.col(row).alias("row"), F.posexplode(found).alias("at", "entity")).withColumn("kind", kind_of(entity)).withColumn("title", title).withColumn("rest", rest)
+    place = place.select("row", "at", "entity", "kind", "title", gaps.alias("gaps"), F.posexplode(units).alias("nth", "unit")).withColumn("norm", normal(F.col("unit"), kind))
+    placed = written(place, "entity-places")
+    made = placed.join(mapping(placed, key), ["kind", "norm"]).withColumn("new", formatted(F.col("unit"), F.col("surrogate"), kind))
+    words = F.array_sort(F.collect_list(F.struct("nth", "new")))
+    per_place = made.groupBy("row", "at").agg(F.first("entity").alias("entity"), F.first("kind").alias("kind"), F.first("title").alias("title"), F.first("gaps").alias("gaps"), words.alias("words"))
+    whole = F.concat("title", F.array_join(F.zip_with("gaps", "words", lambda gap, w: F.concat(gap, F.coalesce(w["new"], F.lit("")))), ""))
+    per_row = per_place.groupBy(F.col("row").alias(joined)).agg(F.array_sort(F.collect_list(F.struct("at", "kind", "entity", whole.alias("surrogate")))).alias(places))
+    rebuilt = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col(places), lambda gap, p: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(p["surrogate"], F.lit("")))), "")
+    entities = F.transform(places, lambda p: F.struct(p["kind"].alias("kind"), p["entity"].alias("entity"), p["surrogate"].alias("surrogate"))).cast(kinds)
     new = [rebuilt.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return hit.join(per_row, "_row").select(*new, F.size("_places").alias("n_entities"), entities.alias("entities")).unionByName(clean)
+    return hit.join(per_row, F.col(row) == F.col(joined)).select(*new, F.size(places).alias("n_entities"), entities.alias("entities")).unionByName(clean)
