@@ -101,6 +101,25 @@ def test_compare_edits(docs):
         assert r.near_next == winnowing.likeness(of(t.encode())[0], of(u.encode())[0]) and 0 <= r.near_edited <= 1
 
 
+@pytest.mark.parametrize("n", [1, 3, 50])
+def test_ranges_with_ties_and_repeated_rows(spark, tmp_path, n, monkeypatch):
+    """Every row meets its successor, also where one id has most rows and where rows are equal."""
+    monkeypatch.setattr(winnowing, "partitions", lambda _: n)
+    rows = [(7, f"text {i}") for i in range(200)] + [(7, "same")] * 5 + [(i, f"other {i}") for i in range(60)] + [(None, "none"), (None, None), (2**62 + 1, "large"), (2**62, "large too"), (-5, ""), (-5, "")]
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, _key int, _range string").repartition(7).write.parquet(path)
+    docs = spark.read.parquet(path)
+    hashed = {r.text: r.h for r in docs.selectExpr("coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as h").collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    got = winnowing.compare_edits(docs).collect()
+    want = []
+    for (i, t), (j, u) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest(), j))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_chars, r.edited_sha256, r.next_id)) for r in got)
+    assert winnowing.in_ranges(docs).where("not _guest").groupBy("_range").count().agg({"count": "max"}).first()[0] <= max(266 / n * 3, 20)
+
+
 def test_pack_small(docs):
     check_packing(docs, packing.pack(docs).collect())
 

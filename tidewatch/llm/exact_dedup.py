@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, numbered, written
+from .common import BLANK, fresh, numbered, written
 
 BLOCK = 4096
 
@@ -85,7 +85,8 @@ def exact_dedup(docs: DataFrame, text: Column | None = None, block: int = BLOCK,
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows that repeat an earlier text. doc_id finds the rows; where ids repeat, one row of each id and text stays."""
-    docs = numbered(docs, "_number")
-    gone = exact_dedup(docs, row=F.col("_number")).where(~F.col("kept")).select(F.col("_row").alias("_gone"))
-    return docs.join(gone, F.col("_number") == F.col("_gone"), "left_anti").drop("_number")
+    """docs without the rows that repeat an earlier text; all columns stay. Null texts are empty ones; of rows that repeat an id and a text one stays; an empty table stays empty."""
+    number, found = fresh(docs, "number"), fresh(docs, "gone")
+    docs = numbered(docs, number)
+    gone = exact_dedup(docs, row=F.col(number)).where(~F.col("kept")).select(F.col("_row").alias(found))
+    return docs.join(gone, F.col(number) == F.col(found), "left_anti").drop(number)

@@ -2,11 +2,13 @@
 
 Documents are counted in cells of source, language and topic, by tokens. Only sources, languages
 and topics that the targets name are told apart, the rest is "*", so there are at most
-(sources + 1) * (languages + 1) * (topics + 1) cells, which are raked on the driver until all
-three marginals fit. A cell's documents are then kept with the calibrated probability
-min(1, scale * factor), the scale being such that the expected tokens are the budget; cells that
-reach 1 are full and the others take their part. Each document is decided by a hash of its
-id, so runs agree and nothing is shuffled but the counts of the cells.
+(sources + 1) * (languages + 1) * (topics + 1) cells, which are raked on the driver.
+
+A cell's documents are kept with the probability min(1, scale * factor). Cells that would need more
+than they have are full; what they lack would bend the marginals, so the others are raked again to what the full ones leave of the
+targets, until no further cell is full. Where a target asks for more than there is at the budget, the shares
+that are reached differ from it; `reached` reports both. Each document is decided by a hash of its id, so runs agree
+and nothing is shuffled but the counts of the cells.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK
+from .common import BLANK, fresh
 
-#: Topics by what the text holds, asked in this order.
+#: The default topics, by what the text holds, asked in this order: the given texts are invented and have no subject. Any column can be given instead.
 TOPICS = (("legal", r"(?i)\blicen[sc]e"), ("table", r" \| [^|\n]* \| "), ("data", r"[0-9]{4}"), ("prose", ""))
 
 
@@ -50,25 +52,27 @@ def _named(column: Column, shares: dict) -> Column:
     return F.when(column.isin([k for k in shares if k != "*"]), column).otherwise("*")
 
 
-def _celled(docs: DataFrame, targets: Targets) -> DataFrame:
+def _celled(docs: DataFrame, targets: Targets, name: str, topic: Column | None) -> DataFrame:
+    """docs with the struct `name` (source, lang, topic, n): a row's cell and its tokens."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cell = F.struct(_named(F.col("source"), targets.source).alias("source"), _named(F.col("lang"), targets.lang).alias("lang"), _named(topic_of(text), targets.topic).alias("topic"))
-    return docs.withColumn("_cell", cell)
+    of = topic_of(text) if topic is None else topic
+    cell = F.struct(_named(F.col("source"), targets.source).alias("source"), _named(F.col("lang"), targets.lang).alias("lang"), _named(of, targets.topic).alias("topic"), tokens_of(text).alias("n"))
+    return docs.withColumn(name, cell)
 
 
-def rake(tokens: dict[tuple, float], targets: Targets, turns: int = 200, close: float = 1e-12) -> dict[tuple, float]:
-    """Factors by which the cells' tokens are multiplied so that the three marginals have the target shares of their sum."""
-    cells = sorted(tokens)
-    have = np.array([tokens[c] for c in cells], float)
-    w, total = have.copy(), have.sum()
-    if not total:
-        return dict.fromkeys(cells, 1.0)
+def _sides(cells: list[tuple], targets: Targets) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For source, language and topic: the place of each cell's value, and the shares of the values; what is absent gives its share to the others."""
     sides = []
     for i, shares in enumerate((targets.source, targets.lang, targets.topic)):
         names = sorted({c[i] for c in cells})
         want = np.array([shares.get(x, 0.0) for x in names])
-        want = want / want.sum() if want.sum() else np.full(len(names), 1 / len(names))
-        sides.append((np.array([names.index(c[i]) for c in cells]), want * total))
+        sides.append((np.array([names.index(c[i]) for c in cells]), want / want.sum() if want.sum() else np.full(len(names), 1 / len(names))))
+    return sides
+
+
+def fitted(w: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], turns: int = 500, close: float = 1e-12) -> np.ndarray:
+    """w multiplied side by side until its marginals are those wanted: (places, amounts) of each side."""
+    w, total = w.copy(), w.sum()
     for _ in range(turns):
         before = w.copy()
         for at, want in sides:
@@ -76,31 +80,71 @@ def rake(tokens: dict[tuple, float], targets: Targets, turns: int = 200, close:
             w *= np.divide(want, now, out=np.zeros_like(want), where=now > 0)[at]
         if np.abs(w - before).max() <= close * total:
             break
+    return w
+
+
+def rake(tokens: dict[tuple, float], targets: Targets) -> dict[tuple, float]:
+    """Factors by which the cells' tokens are multiplied so that the three marginals have the target shares of their sum."""
+    cells = sorted(tokens)
+    have = np.array([tokens[c] for c in cells], float)
+    if not have.sum():
+        return dict.fromkeys(cells, 1.0)
+    w = fitted(have, [(at, share * have.sum()) for at, share in _sides(cells, targets)])
     return {c: float(x / h) if h else 0.0 for c, x, h in zip(cells, w, have)}
 
 
-def probabilities(tokens: dict[tuple, float], factors: dict[tuple, float], budget: float) -> dict[tuple, float]:
-    """min(1, scale * factor) with expected tokens of budget * all, or as near as the factors allow."""
+def probabilities(tokens: dict[tuple, float], targets: Targets) -> dict[tuple, float]:
+    """The share of each cell that is kept, budget * all in sum if there is enough: raked to the targets, cells that are full aside."""
     cells = sorted(tokens)
-    have, f = np.array([tokens[c] for c in cells], float), np.array([factors[c] for c in cells])
-    want, full = budget * have.sum(), np.zeros(len(cells), bool)
+    have = np.array([tokens[c] for c in cells], float)
+    budget = targets.budget * have.sum()
+    if not budget:
+        return dict.fromkeys(cells, 0.0)
+    sides, kept, full = _sides(cells, targets), np.zeros(len(cells)), np.zeros(len(cells), bool)
     while True:
-        rest = float((have * f)[~full].sum())
-        scale = max(0.0, want - float(have[full].sum())) / rest if rest else 0.0
-        over = ~full & (scale * f >= 1)
+        kept[full] = have[full]
+        rest = ~full & (have > 0)
+        open_ = budget - kept[full].sum()
+        if not rest.any() or open_ <= 0:
+            break
+        left = []
+        for at, share in sides:  # what the full cells leave of each target; a target that they pass asks for nothing more
+            want = np.maximum(0.0, share * budget - np.bincount(at[full], have[full], len(share)))
+            want[np.bincount(at[rest], minlength=len(share)) == 0] = 0.0
+            left.append((at[rest], want / want.sum() * open_ if want.sum() else np.bincount(at[rest], have[rest], len(share)) / have[rest].sum() * open_))
+        w = fitted(have[rest], left)
+        w = w / w.sum() * open_ if w.sum() else have[rest] / have[rest].sum() * open_
+        kept[rest] = w
+        over = np.zeros(len(cells), bool)
+        over[rest] = w >= have[rest] * (1 - 1e-12)
         if not over.any():
             break
         full |= over
-    return {c: 1.0 if x else float(min(1.0, scale * y)) for c, x, y in zip(cells, full, f)}
+    return {c: float(min(1.0, k / h)) if h else 0.0 for c, k, h in zip(cells, kept, have)}
 
 
-def calibrated(docs: DataFrame, targets: Targets) -> dict[tuple, tuple[float, float]]:
-    """(factor, probability) of each cell."""
-    counts = _celled(docs, targets).groupBy("_cell").agg(F.sum(tokens_of(F.coalesce(F.col("text"), F.lit("")))).alias("n")).collect()  # bounded by the targets
-    tokens = {tuple(r["_cell"]): float(r["n"]) for r in counts}
-    factors = rake(tokens, targets)
-    keep = probabilities(tokens, factors, targets.budget)
-    return {c: (factors[c], keep[c]) for c in tokens}
+def cell_counts(docs: DataFrame, targets: Targets, topic: Column | None = None) -> dict[tuple, float]:
+    """Tokens of each cell; their number is bounded by the targets."""
+    name = fresh(docs, "cell")
+    counts = _celled(docs, targets, name, topic).groupBy(f"{name}.source", f"{name}.lang", f"{name}.topic").agg(F.sum(f"{name}.n").alias("n")).collect()
+    return {tuple(r)[:3]: float(r["n"]) for r in counts}
+
+
+def shares(tokens: dict[tuple, float], keep: dict[tuple, float], targets: Targets) -> list[tuple[str, str, float, float, float]]:
+    """(side, value, target share, share of all tokens, expected share of the kept tokens) of each value that occurs or is asked for."""
+    out, total, kept = [], sum(tokens.values()), sum(n * keep[c] for c, n in tokens.items())
+    for i, (side, want) in enumerate((("source", targets.source), ("lang", targets.lang), ("topic", targets.topic))):
+        for value in sorted({c[i] for c in tokens} | set(want)):
+            own = [(n, n * keep[c]) for c, n in tokens.items() if c[i] == value]
+            out.append((side, value, float(want.get(value, 0.0)), sum(n for n, _ in own) / total if total else 0.0, sum(k for _, k in own) / kept if kept else 0.0))
+    return out
+
+
+def reached(docs: DataFrame, targets: Targets | None = None, topic: Column | None = None) -> DataFrame:
+    """side, value, target, available, reached: how near the kept tokens come to each target."""
+    targets = targets or Targets()
+    tokens = cell_counts(docs, targets, topic)
+    return docs.sparkSession.createDataFrame(shares(tokens, probabilities(tokens, targets), targets), "side string, value string, target double, available double, reached double")
 
 
 def chance(doc_id: Column) -> Column:
@@ -108,26 +152,30 @@ def chance(doc_id: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("null"))), 256), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def weighted(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
-    """docs with _cell, _factor, _keep (probability) and _drawn (boolean). Null sources and languages are "*", null texts one token.
+def weighted(docs: DataFrame, targets: Targets | None = None, topic: Column | None = None) -> tuple[DataFrame, str]:
+    """docs with one more column, a struct of source, lang, topic, n (tokens), factor, keep (probability) and drawn (boolean); and that column's name.
 
-    Rows that repeat an id are drawn together. An empty table gives no rows.
+    Null sources, languages and topics are "*", null texts one token. Rows that repeat an id are drawn together. An empty table gives no rows.
     """
     targets = targets or Targets()
-    cells = calibrated(docs, targets)
-    spark = docs.sparkSession
-    schema = "_cell struct<source: string, lang: string, topic: string>, _factor double, _keep double"
-    table = F.broadcast(spark.createDataFrame([(c, *v) for c, v in cells.items()], schema))  # bounded by the targets
-    return _celled(docs, targets).join(table, "_cell").withColumn("_drawn", chance(F.col("doc_id")) < F.col("_keep"))
+    tokens = cell_counts(docs, targets, topic)
+    factors, keep = rake(tokens, targets), probabilities(tokens, targets)
+    name, made = fresh(docs, "cell"), fresh(docs, "mixed")
+    table = docs.sparkSession.createDataFrame([(*c, factors[c], keep[c]) for c in tokens], ", ".join(f"{name}{x} {t}" for x, t in (("s", "string"), ("l", "string"), ("t", "string"), ("f", "double"), ("k", "double"))))
+    same = (F.col(f"{name}.source") == F.col(f"{name}s")) & (F.col(f"{name}.lang") == F.col(f"{name}l")) & (F.col(f"{name}.topic") == F.col(f"{name}t"))
+    joined = _celled(docs, targets, name, topic).join(F.broadcast(table), same)  # bounded by the targets
+    drawn = chance(F.col("doc_id")) < F.col(f"{name}k")
+    return joined.select(*docs.columns, F.struct(f"{name}.*", F.col(f"{name}f").alias("factor"), F.col(f"{name}k").alias("keep"), drawn.alias("drawn")).alias(made)), made
 
 
-def mix(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: Targets | None = None, topic: Column | None = None) -> DataFrame:
     """The documents that are drawn, with the columns of docs."""
-    return weighted(docs, targets).where("_drawn").select(*docs.columns)
+    found, name = weighted(docs, targets, topic)
+    return found.where(F.col(f"{name}.drawn")).select(*docs.columns)
 
 
-def mix_report(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
+def mix_report(docs: DataFrame, targets: Targets | None = None, topic: Column | None = None) -> DataFrame:
     """One row per document: doc_id, source_cell, lang_cell, topic, n_tokens, weight (factor), probability, drawn."""
-    return weighted(docs, targets).select(
-        "doc_id", F.col("_cell.source").alias("source_cell"), F.col("_cell.lang").alias("lang_cell"), F.col("_cell.topic").alias("topic"),
-        tokens_of(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_tokens"), F.col("_factor").alias("weight"), F.col("_keep").alias("probability"), F.col("_drawn").alias("drawn"))
+    found, name = weighted(docs.select("doc_id", "text", "source", "lang"), targets, topic)
+    parts = (("source", "source_cell"), ("lang", "lang_cell"), ("topic", "topic"), ("n", "n_tokens"), ("factor", "weight"), ("keep", "probability"), ("drawn", "drawn"))
+    return found.select("doc_id", *(F.col(f"{name}.{x}").alias(y) for x, y in parts)).withColumn("n_tokens", F.col("n_tokens").cast("long"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, numbered, partitions, written
+from .common import LOWER, UPPER, fresh, numbered, partitions, written
 from .components import components
 
 WORDS, PERMUTATIONS, ROWS, BANDS = 5, 100, 5, 40
@@ -306,10 +306,11 @@ def _groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, permuta
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that with the least doc_id; columns and documents without words stay."""
-    docs = numbered(docs, "_number")
-    found = written(_groups(docs.select(F.col("_number").alias("_row"), "doc_id", "text"), **options), "near-groups")
+    """docs with one row of each group of near-duplicates, that with the least doc_id; all columns stay. Documents without words stay; an empty table stays empty."""
+    number, gone_name = fresh(docs, "number"), fresh(docs, "gone")
+    docs = numbered(docs, number)
+    found = written(_groups(docs.select(F.col(number).alias("_row"), "doc_id", "text"), **options), "near-groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     first = found.where("label is not null").groupBy("label").agg(F.min(order).alias("first"))
-    gone = found.join(first, "label").where("_row <> first._row").select(F.col("_row").alias("_gone"))
-    return docs.join(gone, F.col("_number") == F.col("_gone"), "left_anti").drop("_number")
+    gone = found.join(first, "label").where("_row <> first._row").select(F.col("_row").alias(gone_name))
+    return docs.join(gone, F.col(number) == F.col(gone_name), "left_anti").drop(number)

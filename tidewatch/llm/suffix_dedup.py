@@ -4,16 +4,18 @@ Every window of SPAN bytes has an anchor: its k-gram of least hash (the rightmos
 Equal windows have equal anchors at equal places, so only the suffixes at anchors are sorted, one
 in about 75 bytes. The windows that share an anchor are a run of starts; their bytes are its context.
 
-1. Anchors are grouped by k-gram, as hashes and places only. Anchors whose whole contexts occur
-   again are marked without sorting; k-grams with one context are done.
-2. The different contexts of the others are cut from the texts, one of each, and dealt out by k-gram. Each
+1. Anchors are grouped by k-gram, as hashes and places only. K-grams that occur once are done. Contexts are told apart by
+   the hashes of the k-gram and of all bytes together (128 bits); of equal ones two stand for all.
+2. The bytes of those are cut from the texts and dealt out by k-gram. Each
    task sorts the suffixes from the anchors and the reversed prefixes before them (deep-shallow
    sorting, see suffix_sort). A window that starts o bytes before the anchor occurs again exactly
    if another context agrees with it in o bytes to the left and SPAN - o to the right: classes of
    neighbours in the two sorted orders.
-   K-grams of more than about HOT anchors are never one group: their anchors are dealt out by context (those
-   of one very common context by place), and their windows are counted by hashes, added up before the shuffle.
-3. The marked windows of a document are joined with its text, which is cut.
+3. K-grams of more than about HOT anchors are never one group. Windows with nearly the same o share most of their bytes: WIDTH
+   neighbouring starts have SPAN - WIDTH + 1 bytes in common, and only contexts that agree in those can share one of these windows. So
+   a context of such a k-gram is cut into runs of WIDTH starts, dealt out by a hash of the common bytes; what is alone there
+   is done, the rest is sorted as in 2. Where even that leaves more than BATCH contexts to one key, single windows are counted by two hashes.
+4. The repeated windows of a context are those of all anchors that have it; they are joined with the texts, which are cut.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .common import numbered, partitions, written
 from .rolling import Rolling, sliding_min
 from .suffix_sort import deep_shallow_sort
 
-SPAN, K = 200, 48
+SPAN, K, WIDTH = 200, 48, 12
 #: A text is searched in parts of so many bytes (with SPAN - 1 more); contexts are sorted about so many at once.
 PART, BATCH = 1 << 22, 40_000
 #: Anchors of a k-gram from which it is no group of one task; found in one anchor of RATE, which only decides where rows go.
@@ -104,19 +106,25 @@ def repeated_windows(left: list[bytes], right: list[bytes], runs: np.ndarray, sp
     yield from zip(who.tolist(), (last - 1).tolist(), first.tolist())
 
 
+#: A context to sort: its part (what it is dealt out by), its hashes, whether it is the first of the two that stand for it, reach and bytes.
+CONTEXTS = "part long, gram long, context long, first boolean, reach long, bytes binary"
+#: Repeated windows of a context: those that start far ... near bytes before the anchor.
+MARKS = "gram long, context long, far long, near long"
+
+
 def sorted_windows(contexts: DataFrame, span: int) -> DataFrame:
-    """(_row, start, end): the bytes of repeated windows, from (gram, _row, place, reach, many, bytes) in partitions by gram."""
+    """MARKS of CONTEXTS: contexts of one part are compared with one another."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out():
-            backs = [h[3] >> 16 for h in held]
+            backs = [h[4] >> 16 for h in held]
             left = [h[5][:b][::-1] for h, b in zip(held, backs)]
             right = [h[5][b:] for h, b in zip(held, backs)]
-            marked = [(held[i][1], held[i][2] - far, held[i][2] - near + span) for i, far, near in repeated_windows(left, right, np.array([h[3] & 0xFFFF for h in held]), span) if not held[i][4]]
-            columns = list(zip(*marked)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["_row", "start", "end"])
+            marked = [(held[i][1], held[i][2], far, near) for i, far, near in repeated_windows(left, right, np.array([h[4] & 0xFFFF for h in held]), span) if held[i][3]]
+            columns = list(zip(*marked)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["gram", "context", "far", "near"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -127,53 +135,90 @@ def sorted_windows(contexts: DataFrame, span: int) -> DataFrame:
         if held:
             yield out()
 
-    return contexts.mapInArrow(found, "_row long, start long, end long")
+    n = partitions(contexts.sparkSession)
+    return contexts.repartition(n, "part").sortWithinPartitions("part").mapInArrow(found, MARKS)
 
 
 def dealt_anchors(anchors: DataFrame) -> DataFrame:
-    """anchors with many (the context occurs again), lead (one anchor of each context), kinds (contexts of the k-gram, 2 if hot) and hot."""
-    least = max(2, HOT // RATE)  # two of a context in the sample are a proof that it occurs again
+    """anchors of k-grams that occur again, with hot, and lead and first: the two anchors that stand for their context, and one of them."""
+    least = max(2, HOT // RATE)  # so many in the sample; it only decides where rows go
     sample = anchors.where(F.pmod(F.xxhash64("_row", "place"), F.lit(RATE)) == 0)
     grams = sample.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("gram", F.lit(True).alias("is_hot"))
-    common = sample.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("_row", "place")).alias("first")).where(F.col("n") >= least).drop("n")
+    at = F.struct("_row", "place")
+    common = sample.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(at).alias("one"), F.max(at).alias("two")).where(F.col("n") >= least).drop("n")
     found = anchors.join(written(grams, "hot-grams"), "gram", "left").join(written(common, "hot-contexts"), ["gram", "context"], "left")
-    hot, proven = F.coalesce("is_hot", F.lit(False)), F.col("first").isNotNull()
+    hot, proven = F.coalesce("is_hot", F.lit(False)), F.col("one").isNotNull()
     part = F.when(proven, F.xxhash64("_row", "place")).when(hot, F.xxhash64("gram", "context")).otherwise(F.col("gram"))
     parts = found.withColumn("hot", hot).withColumn("part", part).repartition(partitions(anchors.sparkSession), "part")
     same, gram = Window.partitionBy("part", "gram", "context"), Window.partitionBy("part", "gram")
-    counted = parts.withColumn("many", proven | (F.count("*").over(same) > 1)).withColumn("nth", F.row_number().over(same.orderBy("_row", "place")))
-    lead = F.when(proven, (F.col("first._row") == F.col("_row")) & (F.col("first.place") == F.col("place"))).otherwise(F.col("nth") == 1)
-    kinds = counted.withColumn("lead", lead).withColumn("kinds", F.sum(F.col("lead").cast("int")).over(gram))
-    return kinds.withColumn("kinds", F.when(F.col("hot"), F.lit(2).cast("long")).otherwise(F.col("kinds")))
+    counted = parts.withColumn("nth", F.row_number().over(same.orderBy("_row", "place"))).withColumn("n", F.count("*").over(gram))
+    is_at = lambda c: (F.col(f"{c}._row") == F.col("_row")) & (F.col(f"{c}.place") == F.col("place"))
+    lead = F.when(proven, is_at("one") | is_at("two")).otherwise(F.col("nth") <= 2)
+    first = F.when(proven, is_at("one")).otherwise(F.col("nth") == 1)
+    return counted.where(F.col("hot") | proven | (F.col("n") > 1)).select("_row", "place", "reach", "gram", "context", "hot", lead.alias("lead"), first.alias("first"))
 
 
-def counted_windows(contexts: DataFrame, span: int) -> DataFrame:
-    """(_row, start, end) like sorted_windows, without a group: windows are counted by hash, and those that occur once are taken from the rest."""
+def _cuts(rows, names, types):
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = Rolling(41)
-        for batch in batches:
-            parts, size = [], 0
-            for gram, row, place, reach, _, body in zip(*(c.to_pylist() for c in batch.columns)):
-                h = whole.windows(whole.sums(np.frombuffer(body, np.uint8)), span)
-                parts.append((np.full(len(h), gram), np.full(len(h), row), np.full(len(h), place), (reach >> 16) - np.arange(len(h)), h.view(np.int64)))
-                size += len(h)
-                if size > 50_000:
-                    yield packed(parts)
-                    parts, size = [], 0
-            if parts:
-                yield packed(parts)
 
-    def packed(parts):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts)], ["gram", "_row", "place", "back", "hash"])
+def hot_windows(contexts: DataFrame, span: int) -> DataFrame:
+    """MARKS of (gram, context, first, _row, place, reach, bytes) of k-grams that are too frequent to be one group."""
+    width = max(1, min(WIDTH, span // 8))
+    names, types = ["part", "_row", "place", "run"], (pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
-    windows = contexts.mapInArrow(found, "gram long, _row long, place long, back long, hash long")
-    once = windows.groupBy("gram", "back", "hash").agg(F.count("*").alias("n"), F.min("_row").alias("_row"), F.min("place").alias("place")).where("n = 1")
-    alone = once.groupBy("_row", "place").agg(F.collect_list("back").alias("alone"))
-    back, runs = F.shiftright("reach", 16), F.col("reach").bitwiseAND(0xFFFF)
-    asked = contexts.where("not many").select("_row", "place", F.sequence(back - runs, back).alias("backs"))
-    again = asked.join(alone, ["_row", "place"], "left").select("_row", "place", F.explode(F.array_except("backs", F.coalesce("alone", F.array().cast("array<bigint>")))).alias("back"))
-    return again.select("_row", (F.col("place") - F.col("back")).alias("start"), (F.col("place") - F.col("back") + span).alias("end"))
+    def key_of(hashes: Rolling, sums: np.ndarray, back: int, runs: np.ndarray, gram: int) -> np.ndarray:
+        lo = back - runs * width  # the bytes that all windows of a run share, from its latest start to the end of its earliest
+        return (hashes.span(sums, lo, lo + span - width + 1) ^ np.uint64(gram & 0xFFFFFFFFFFFFFFFF) ^ (runs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+
+    def runs_of(reach: int) -> np.ndarray:
+        back = reach >> 16
+        return np.arange((back - (reach & 0xFFFF)) // width, back // width + 1)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Rolling(43)
+        for batch in batches:
+            out = []
+            for gram, row, place, reach, body in zip(*(c.to_pylist() for c in batch.columns)):
+                runs = runs_of(reach)
+                k = key_of(hashes, hashes.sums(np.frombuffer(body, np.uint8)), reach >> 16, runs, gram)
+                out.append((k, np.full(len(k), row), np.full(len(k), place), runs))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), types)], names)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                rows = []
+                for gram, context, is_first, reach, body, wanted in zip(*(c.to_pylist() for c in batch.slice(first, 500).columns)):
+                    back, least = reach >> 16, (reach >> 16) - (reach & 0xFFFF)
+                    for w in wanted:
+                        far, near = min(back, w["run"] * width + width - 1), max(least, w["run"] * width)
+                        rows.append((w["part"], gram, context, is_first, (far << 16) + far - near, body[back - far : back - near + span]))
+                if rows:
+                    yield _cuts(rows, [x.split()[0] for x in CONTEXTS.split(", ")], (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = Rolling(47), Rolling(53)
+        for batch in batches:
+            rows = []
+            for part, gram, context, is_first, reach, body in zip(*(c.to_pylist() for c in batch.columns)):
+                data = np.frombuffer(body, np.uint8)
+                a, b = (h.windows(h.sums(data), span).view(np.int64) for h in (one, two))
+                rows.append((np.full(len(a), gram), np.full(len(a), context), np.full(len(a), is_first), (reach >> 16) - np.arange(len(a)), a, b))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["gram", "context", "first", "back", "a", "b"])
+
+    made = contexts.select("gram", "_row", "place", "reach", "bytes").mapInArrow(keys, "part long, _row long, place long, run long")
+    again = written(made.groupBy("part").agg(F.count("*").alias("n")).where("n > 1"), "hot-parts")
+    wanted = made.join(again, "part").groupBy("_row", "place").agg(F.collect_list(F.struct("part", "run", (F.col("n") > BATCH).alias("wide"))).alias("runs"))
+    placed = written(contexts.join(wanted, ["_row", "place"]).select("gram", "context", "first", "reach", "bytes", "runs"), "hot-runs")
+    runs = lambda wide: placed.select("gram", "context", "first", "reach", "bytes", F.filter("runs", lambda r: r["wide"] == wide).alias("runs")).where(F.size("runs") > 0).mapInArrow(narrow, CONTEXTS)
+    single = runs(True).mapInArrow(windows, "gram long, context long, first boolean, back long, a long, b long")
+    twice = single.groupBy("gram", "back", "a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    counted = single.where("first").join(twice, ["gram", "back", "a", "b"]).select("gram", "context", F.col("back").alias("far"), F.col("back").alias("near"))
+    marks = sorted_windows(runs(False), span)
+    return marks.unionByName(counted) if not again.where(F.col("n") > BATCH).isEmpty() else marks
 
 
 def cut_repeats(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
@@ -183,43 +228,33 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     somewhere else, in the same text too, overlapping or not. Texts under `span` bytes stay whole. Rows that
     repeat a text are documents of their own. docs must be a scan or a written table.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
     texts = numbered(docs.select("doc_id", "text")).select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    kinds = dealt_anchors(written(find_anchors(texts, span, k), "anchors"))
-    repeats = written(kinds.where("many or kinds > 1").select("_row", "place", "reach", "gram", "many", "lead", "kinds", "hot"), "repeated-anchors")
-
-    back, runs = F.shiftright("reach", 16), F.col("reach").bitwiseAND(0xFFFF)
-    whole = repeats.where("many").select("_row", (F.col("place") - back).alias("start"), (F.col("place") - back + runs + span).alias("end"))
-    leads = repeats.where("kinds > 1 and lead")
+    repeats = written(dealt_anchors(written(find_anchors(texts, span, k), "anchors")), "repeated-anchors")
+    names, types = ["gram", "context", "first", "_row", "place", "reach", "bytes"], (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "_row", "place", "reach", "many", "bytes"]
         for batch in batches:
             rows = []
-            for row, body, at in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+            for row, body, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 body = body.as_py()
                 for a in at.as_py():
                     lo = a["place"] - (a["reach"] >> 16)
-                    rows.append((a["gram"], row, a["place"], a["reach"], a["many"], body[lo : lo + (a["reach"] & 0xFFFF) + span]))
+                    rows.append((a["gram"], a["context"], a["first"], row, a["place"], a["reach"], body[lo : lo + (a["reach"] & 0xFFFF) + span]))
                 if len(rows) > 20_000:
-                    yield packed(rows, names)
+                    yield _cuts(rows, names, types)
                     rows = []
             if rows:
-                yield packed(rows, names)
-
-    def packed(rows, names):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+                yield _cuts(rows, names, types)
 
     def cut(some: DataFrame) -> DataFrame:
-        wanted = some.groupBy("_row").agg(F.collect_list(F.struct("gram", "place", "reach", "many")).alias("at"))
-        return texts.join(wanted, "_row").select("_row", "doc_id", "body", "at").mapInArrow(contexts, "gram long, _row long, place long, reach long, many boolean, bytes binary")
+        wanted = some.groupBy("_row").agg(F.collect_list(F.struct("gram", "context", "first", "place", "reach")).alias("at"))
+        return texts.join(wanted, "_row").select("_row", "body", "at").mapInArrow(contexts, "gram long, context long, first boolean, _row long, place long, reach long, bytes binary")
 
-    marked = whole.unionByName(sorted_windows(cut(leads.where("not hot")).repartition(n, "gram").sortWithinPartitions("gram"), span))
-    hot = leads.where("hot")
+    marks = sorted_windows(cut(repeats.where("lead and not hot")).select(F.col("gram").alias("part"), "gram", "context", "first", "reach", "bytes"), span)
+    hot = repeats.where("lead and hot")
     if not hot.isEmpty():
-        marked = marked.unionByName(counted_windows(written(cut(hot), "hot-cuts"), span))
+        marks = marks.unionByName(hot_windows(written(cut(hot), "hot-cuts"), span))
+    marked = repeats.select("_row", "place", "gram", "context").join(written(marks, "marks"), ["gram", "context"]).select("_row", (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + span).alias("end"))
     spans = marked.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ as urls below the same prefix). The templates of one parent are branches; branch
 of blocked urls does not differ significantly from their siblings' are merged with them. A
 template is rejected when its purity, the blocked share smoothed towards the same template
 on all hosts and that towards the overall share, is over one half.
-Everything is grouped with partial aggregation; no host is gathered in one place.
+Everything is grouped with partial aggregation and joined by host and prefix; no host is gathered in one place.
 """
 
 from __future__ import annotations
@@ -59,16 +59,15 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     # Places: (host, prefix by form) with the segments seen there.
     kinds = base.groupBy("host", "forms").agg(F.count("*").alias("n"))
     prefix = F.concat(F.lit("/"), F.array_join(F.slice("forms", 1, F.col("at")), "/"))
-    seen = kinds.select("host", "forms", "n", F.posexplode("forms").alias("at", "segment")).select("host", "n", prefix.alias("prefix"), "segment")
-    places = (seen.groupBy("host", "prefix", "segment").agg(F.sum("n").alias("n"))
-              .groupBy("host", "prefix").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
-              .where((F.col("kinds") >= MANY) & (F.col("kinds") > SHARE * F.col("n"))))
-    wild = places.groupBy("host").agg(F.collect_set("prefix").alias("wild"))  # one entry per MANY urls of the host at most, none on most hosts
-    at = lambda i: F.concat(F.lit("/"), F.array_join(F.slice("forms", F.lit(1), i), "/"))
-    general = F.transform("forms", lambda s, i: F.when(F.array_contains("wild", at(i)), F.lit("*")).otherwise(s))
-    shaped = kinds.select("host", "forms").join(wild, "host", "left").select(
-        "host", "forms", F.when(F.col("wild").isNull(), F.col("forms")).otherwise(general).alias("parts")
-    ).select(
+    seen = kinds.select("host", "forms", "n", F.posexplode("forms").alias("at", "segment")).select("host", "forms", "n", "at", prefix.alias("prefix"), "segment")
+    wild = (seen.groupBy("host", "prefix", "segment").agg(F.sum("n").alias("n"))
+            .groupBy("host", "prefix").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+            .where((F.col("kinds") >= MANY) & (F.col("kinds") > SHARE * F.col("n"))).select("host", "prefix", F.lit(True).alias("wild")))
+    # Each segment finds its own place by a join; only the segments of one path come together again.
+    starred = seen.join(wild, ["host", "prefix"], "left").groupBy("host", "forms").agg(
+        F.array_sort(F.collect_list(F.when(F.col("wild"), F.struct("at", F.lit("*").alias("part"))).otherwise(F.struct("at", F.col("segment").alias("part"))))).alias("parts"))
+    parts = starred.select("host", "forms", F.transform("parts", lambda p: p["part"]).alias("parts")).unionByName(kinds.where(F.size("forms") == 0).select("host", "forms", F.col("forms").alias("parts")))
+    shaped = parts.select(
         "host", "forms", F.concat(F.lit("/"), F.array_join("parts", "/")).alias("template"),
         F.concat(F.lit("/"), F.array_join(F.slice("parts", F.lit(1), F.greatest(F.size("parts") - 1, F.lit(0))), "/")).alias("parent"),
     )

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, written
 from .rolling import Rolling, sliding_min
 
 K, W = 24, 77
 GUARANTEE = W + K - 1
-#: At most so many ranges of ids; one start of each is all that the driver holds.
-RANGES = 4096
+#: Rows of each range that are sampled for its bounds.
+SAMPLED = 40
 
 
 class Winnower:
@@ -69,29 +69,48 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(found, "doc_id long, hashes array<long>, positions array<long>")
 
 
+def _order_key(ids: pd.Series, hashes: pd.Series) -> np.ndarray:
+    """16 bytes that sort by descending id, then by hash."""
+    flip = np.uint64(1 << 63)
+    down = ~(ids.to_numpy(np.int64).view(np.uint64) ^ flip)
+    return np.column_stack([down, hashes.to_numpy(np.int64).view(np.uint64) ^ flip]).astype(">u8").view("S16").ravel()
+
+
 def in_ranges(docs: DataFrame, n: int | None = None) -> DataFrame:
-    """(_range, _guest, _key, doc_id, text): rows dealt out by descending id, so that a row's successor is in its partition.
+    """(_range, _guest, _key, _hash, doc_id, text): rows dealt out by descending id, so that a row's successor is in its partition.
 
-    Ids are cut into ranges at quantiles. The row that starts a range is also a guest at the end of
-    the range before it, and the very first row at the end of the last. Null ids come last.
+    Rows are cut into n ranges, as many as the session shuffles to, by id and then by a hash of the text, so that an id
+    that very many rows have is cut too. The row that starts a range is also a guest at the end of
+    the range before it, and the very first row at the end of the last. Null ids come last. The driver holds some rows of each range, without texts.
     """
-    n = min(RANGES, n or partitions(docs.sparkSession))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = np.unique(np.array(keyed.approxQuantile("_key", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 else [], np.float64)).astype(np.int64)
+    spark = docs.sparkSession
+    n = n or partitions(spark)
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), F.xxhash64(text).alias("_hash"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    keys = written(keyed.select("_key", "_hash").distinct(), "order-keys")
+    rate = max(1, keys.count() // (SAMPLED * n))
+    sample = keys.where(F.pmod(F.xxhash64("_hash", "_key"), F.lit(rate)) == 0).toPandas()
+    ordered = np.sort(_order_key(sample["_key"], sample["_hash"]))
+    bounds = spark.sparkContext.broadcast(np.unique(ordered[[len(ordered) * i // n for i in range(1, n)]]) if len(ordered) and n > 1 else ordered[:0])
+
+    @F.pandas_udf("int")
+    def range_of(key: pd.Series, hashed: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, _order_key(key, hashed), "right"))
+
+    starts = keys.withColumn("_range", range_of("_key", "_hash")).groupBy("_range").agg(F.min(F.struct(F.bitwise_not("_key").alias("down"), "_hash", "_key")).alias("s")).select("_range", "s._key", "s._hash").toPandas().sort_values("_range")
+    order = _order_key(starts["_key"], starts["_hash"])
+    hosts = spark.sparkContext.broadcast((np.sort(order), np.roll(starts["_range"].to_numpy(), 1)[np.argsort(order)]))
 
     @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:  # large ids in range 0
-        return pd.Series(len(bounds) - np.searchsorted(bounds, key.to_numpy(), "left"))
+    def host_of(key: pd.Series, hashed: pd.Series) -> pd.Series:  # the range before the one that the row starts, or none
+        at, (begin, before) = _order_key(key, hashed), hosts.value
+        found = np.minimum(np.searchsorted(begin, at), max(0, len(begin) - 1))
+        return pd.Series(np.where(begin[found] == at, before[found], -1) if len(begin) else np.full(len(at), -1))
 
-    starts = sorted((r["_range"], r["key"]) for r in keyed.select("_key", range_of("_key").alias("_range")).groupBy("_range").agg(F.max("_key").alias("key")).collect())
-    before = {key: starts[i - 1][0] for i, (_, key) in enumerate(starts)}
-    places = F.array(F.struct(range_of("_key").alias("_range"), F.lit(False).alias("_guest")))
-    if before:
-        host = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("_key")]
-        guest = F.array(F.struct(host.alias("_range"), F.lit(True).alias("_guest")))
-        places = F.when(F.col("_key").isin(list(before)), F.concat(places, guest)).otherwise(places)
-    dealt = keyed.select(F.inline(places), "_key", "doc_id", "text")
-    return dealt.repartition(max(1, len(starts)), "_range").sortWithinPartitions("_range", "_guest", F.desc("_key"), "text")
+    placed = keyed.withColumn("_own", range_of("_key", "_hash")).withColumn("_host", host_of("_key", "_hash"))
+    own, guest = F.struct(F.col("_own").alias("_range"), F.lit(False).alias("_guest")), F.struct(F.col("_host").alias("_range"), F.lit(True).alias("_guest"))
+    dealt = placed.select(F.inline(F.when(F.col("_host") >= 0, F.array(own, guest)).otherwise(F.array(own))), "_key", "_hash", "doc_id", "text")
+    return dealt.repartition(max(1, len(starts)), "_range").sortWithinPartitions("_range", "_guest", F.desc("_key"), "_hash", "text")
 
 
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, next_id long"
@@ -102,7 +121,7 @@ def compare_edits(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
 
     The next row is the one after it by descending doc_id (the first row after the last); the edited text
     has its second half replaced by the start of the next row's text. Rows with one id follow in the order of
-    their texts; a single row is its own successor. Text is shuffled once.
+    a hash of their texts; a single row is its own successor. Text is shuffled once.
     """
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
