@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import difflib
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines_of
@@ -13,22 +18,46 @@ def file_lines(files: DataFrame, content: str = "content", keep: tuple[str, ...]
     return files.select(*keep, F.posexplode(lines_of(F.col(content))).alias("_at", "line")).select(*keep, (F.col("_at") + 1).alias("line_no"), "line")
 
 
-def added_lines(diffs: DataFrame, content: str = "content", keep: tuple[str, ...] = ("file_id",)) -> DataFrame:
-    """The added lines of unified diffs with their numbers in the new file: keep..., seq, line_number, line.
+def rows_of(content: Column) -> Column:
+    """The lines of a text with their places: an array of (seq, raw)."""
+    return F.transform(lines_of(content), lambda x, i: F.struct((i + 1).alias("seq"), x.alias("raw")))
+
+
+def hunks_of(rows: Column) -> Column:
+    """(start, first, end) of the part before the first hunk and of each hunk: the place of its header, the number of its first line, the place after its last."""
+    heads = F.filter(rows, lambda r: r["raw"].rlike(r"^@@.*?\+\d"))
+    starts = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(1).cast("long").alias("first"))), F.transform(heads, lambda h: F.struct(h["seq"].alias("start"), F.regexp_extract(h["raw"], r"\+(\d+)", 1).cast("long").alias("first"))))
+    ends = F.concat(F.transform(heads, lambda h: h["seq"]), F.array(F.size(rows) + 1))
+    return F.zip_with(starts, ends, lambda a, end: F.struct(a["start"].alias("start"), a["first"].alias("first"), end.alias("end")))
+
 
-    A hunk header's first number after + sets the line counter. Before the first hunk, lines that start
-    with +++ are headers; inside hunks they are added lines whose text starts with ++.
+def added_of(rows: Column, hunks: Column) -> Column:
+    """The added lines of one unified diff with their numbers in the new file: an array of (seq, line_number, line), made within the row.
+
+    rows and hunks must be columns of a table. A hunk header's first number after + sets the line counter; a header without one changes
+    nothing. Before the first hunk, lines that start with +++ are headers; inside hunks they are added lines whose text starts with ++.
     """
-    raw = file_lines(diffs, content, keep).withColumnRenamed("line", "raw")
-    order = Window.partitionBy(*keep).orderBy("line_no")
-    header = F.col("raw").startswith("@@")
-    staged = raw.withColumn("hunk", F.sum(header.cast("int")).over(order)).withColumn(
-        "base", F.last(F.when(header, F.nullif(F.regexp_extract("raw", r"\+(\d+)", 1), F.lit("")).cast("long")), ignorenulls=True).over(order))
-    advances = ~header & ~F.col("raw").startswith("-")
-    inside = Window.partitionBy(*keep, "hunk").orderBy("line_no")
-    numbered = staged.withColumn("line_number", F.coalesce("base", F.lit(1)) - 1 + F.sum(advances.cast("long")).over(inside))
-    added = F.col("raw").startswith("+") & ((F.col("hunk") > 0) | ~F.col("raw").startswith("+++"))
-    return numbered.where(added).select(*keep, F.col("line_no").alias("seq"), "line_number", F.substring("raw", 2, 2147483647).alias("line"))
+
+    def of(h):
+        body = F.filter(F.slice(rows, h["start"] + 1, h["end"] - h["start"] - 1), lambda r: ~r["raw"].startswith("-") & ~r["raw"].startswith("@@"))
+        numbered = F.transform(body, lambda r, i: F.struct(r["seq"].alias("seq"), (h["first"] + i).alias("line_number"), r["raw"].alias("raw")))
+        added = F.filter(numbered, lambda r: r["raw"].startswith("+") & ((h["start"] > 0) | ~r["raw"].startswith("+++")))
+        return F.transform(added, lambda r: F.struct(r["seq"].alias("seq"), r["line_number"].alias("line_number"), F.substring(r["raw"], 2, 2147483647).alias("line")))
+
+    # the part before the first hunk starts at place 0, its first line is row 1
+    return F.flatten(F.transform(hunks, lambda h: of(h)))
+
+
+def added_lines(diffs: DataFrame, content: str = "content", keep: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """keep..., seq, line_number, line: the rows of added_of. No shuffle."""
+    return added_files(diffs, content, keep).select(*keep, F.inline("added"))
+
+
+def added_files(diffs: DataFrame, content: str = "content", keep: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """keep..., added, numbers, lines: the added lines of each diff as arrays, ready for the scanners of whole texts."""
+    found = diffs.select(*keep, rows_of(F.col(content)).alias("_rows")).select(*keep, "_rows", hunks_of(F.col("_rows")).alias("_hunks"))
+    found = found.select(*keep, added_of(F.col("_rows"), F.col("_hunks")).alias("added"))
+    return found.select(*keep, "added", F.transform("added", lambda x: x["line_number"]).alias("numbers"), F.transform("added", lambda x: x["line"]).alias("lines"))
 
 
 def line_diff(old: DataFrame, new: DataFrame, key: tuple[str, ...]) -> DataFrame:
@@ -43,25 +72,51 @@ def line_diff(old: DataFrame, new: DataFrame, key: tuple[str, ...]) -> DataFrame
     return both.select(*key, "line", F.greatest(n_new - n_old, F.lit(0)).alias("added"), F.greatest(n_old - n_new, F.lit(0)).alias("removed")).where("added > 0 or removed > 0")
 
 
-def diff_stats(old_files: DataFrame, new_files: DataFrame, release: str = "release_id") -> DataFrame:
-    """Per release: files_changed, lines_added, lines_removed, new_files, deleted_files, binary_files (sorted arrays).
+def unified_diffs(old_files: DataFrame, new_files: DataFrame, release: str = "release_id") -> DataFrame:
+    """The files that differ between two versions: release, path, content (unified diff), lines_added, lines_removed, is_binary, is_new, is_deleted.
 
-    old_files, new_files: release, path, content, is_binary. Files are matched by a full outer join on their
-    paths; unchanged files do not count, binary ones count without lines.
+    old_files, new_files: release, path, content, is_binary. Files are matched by a full outer join on their paths; equal ones are
+    left out there, so only changed texts reach Python's difflib, one file after another in tasks that Spark deals out. New and deleted files are compared with
+    nothing; binary ones have no text and no lines. Header lines and marks are those of the usual form, three lines of context.
     """
-    o = old_files.select(release, "path", F.col("content").alias("old"), F.col("is_binary").alias("old_binary"))
-    n = new_files.select(release, "path", F.col("content").alias("new"), F.col("is_binary").alias("new_binary"))
-    pair = o.join(n, [release, "path"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).withColumn("binary", F.coalesce("old_binary", F.lit(False)) | F.coalesce("new_binary", F.lit(False)))
-    a, b = (pair.where("not binary").select(release, "path", F.explode(lines_of(F.col(c))).alias("line")) for c in ("old", "new"))
-    moved = line_diff(a, b, (release, "path")).groupBy(release, "path").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+    o = old_files.select(release, "path", F.col("content").alias("old"), F.col("is_binary").alias("old_binary"), F.lit(True).alias("had"))
+    n = new_files.select(release, "path", F.col("content").alias("new"), F.col("is_binary").alias("new_binary"), F.lit(True).alias("has"))
+    pair = o.join(n, [release, "path"], "full_outer").withColumn("is_binary", F.coalesce("new_binary", "old_binary", F.lit(False)))
+    pair = pair.withColumn("is_new", F.col("had").isNull()).withColumn("is_deleted", F.col("has").isNull())
+    pair = pair.where(F.col("is_new") | F.col("is_deleted") | F.col("is_binary") | ~F.col("old").eqNullSafe(F.col("new")))
+    keep = [release, "path", "is_binary", "is_new", "is_deleted"]
+    text = lambda c: F.when(F.col("is_binary"), "").otherwise(F.coalesce(c, F.lit("")))
+    kinds = {f.name: f.dataType.simpleString() for f in pair.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", content string, lines_added long, lines_removed long"
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, added, removed = [], [], []
+            for path, old, new in zip(batch.column(1).to_pylist(), batch.column(5), batch.column(6)):
+                a, b = (io.StringIO(x.as_py(), newline=None).readlines() for x in (old, new))
+                rows = [r.rstrip("\n") for r in difflib.unified_diff(a, b, f"a/{path}", f"b/{path}", lineterm="")]
+                texts.append("\n".join(rows))
+                added.append(sum(r.startswith("+") for r in rows[2:])), removed.append(sum(r.startswith("-") for r in rows[2:]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(texts, pa.string()), pa.array(added, pa.int64()), pa.array(removed, pa.int64())], [*keep, "content", "lines_added", "lines_removed"])
+
+    return pair.select(*keep, text("old").alias("old"), text("new").alias("new")).mapInArrow(compared, schema)
+
+
+def diff_stats(old_files: DataFrame, new_files: DataFrame, release: str = "release_id") -> DataFrame:
+    """stats_of the unified diffs of two versions."""
+    return stats_of(unified_diffs(old_files, new_files, release), release)
+
+
+def stats_of(diffs: DataFrame, release: str = "release_id") -> DataFrame:
+    """Per release: files_changed, lines_added, lines_removed, new_files, deleted_files, binary_files (sorted arrays); diffs: rows of unified_diffs."""
     names = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("path"))))
-    return pair.join(moved, [release, "path"], "left").groupBy(release).agg(
-        F.count("*").alias("files_changed"), F.coalesce(F.sum("added"), F.lit(0)).alias("lines_added"), F.coalesce(F.sum("removed"), F.lit(0)).alias("lines_removed"),
-        names(F.col("old").isNull()).alias("new_files"), names(F.col("new").isNull()).alias("deleted_files"), names(F.col("binary")).alias("binary_files"))
+    return diffs.groupBy(release).agg(
+        F.count("*").alias("files_changed"), F.sum("lines_added").alias("lines_added"), F.sum("lines_removed").alias("lines_removed"),
+        names(F.col("is_new")).alias("new_files"), names(F.col("is_deleted")).alias("deleted_files"), names(F.col("is_binary")).alias("binary_files"))
 
 
 def likely_benign(lines: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """key..., n_lines, likely_benign: more than nine of ten added lines are blank, comments, docstrings or version numbers."""
     text = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    plain = (text == "") | text.startswith("#") | text.startswith('"""') | text.startswith("'''") | text.rlike(r"^version\s*=") | text.startswith("__version__")
+    plain = (text == "") | text.startswith("#") | text.startswith('"""') | text.startswith("'''") | text.rlike(r"(?i)^version\s*=") | text.startswith("__version__")
     return lines.groupBy(*key).agg(F.count("*").alias("n_lines"), F.coalesce(F.avg(plain.cast("double")) > 0.9, F.lit(True)).alias("likely_benign"))

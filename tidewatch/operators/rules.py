@@ -1,89 +1,99 @@
-"""The rule scanners: single lines, chains over neighbouring lines, whole texts, and their merge."""
+"""The rule scanners: single lines, whole texts, chains over neighbouring lines, and their merge. All are native expressions."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..functions.text import severity_of, severity_rank
 
+#: Not characters, so they are in no text: what is put around matches.
+BEGIN, FINISH = "\ufdd0", "\ufdd1"
+
+
+def expression(rule: tuple) -> str:
+    """A rule's expression for Spark: flags, exclusions as look-aheads, and repeated groups in forms that do not recurse."""
+    name, pattern = rule[0], C.FLAT_FORMS.get(rule[0], rule[5])
+    if name in C.UNLESS:
+        before, after = C.UNLESS[name][0], C.UNLESS[name][1].removeprefix("^")
+        at = pattern.index(before) if before else len(pattern)
+        pattern = f"{pattern[:at]}(?!{after}){pattern[at:]}"
+    return f"(?{'is' if rule[4] else 'i'}){pattern}"
+
 
 def hit(line: Column, rule: tuple) -> Column:
-    """Whether a rule matches a line."""
-    name, pattern = rule[0], f"(?{'is' if rule[4] else 'i'}){rule[5]}"
-    if name == "HARDCODED_IP":
-        return F.exists(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda x: ~x.rlike(C.UNLESS[name]))
-    if name == "SUSPICIOUS_HTTP":
-        verb = pattern.removesuffix("http[s]?://").removesuffix(".*?") + "(.*)$"
-        hosts = F.regexp_extract_all(F.regexp_extract(line, verb, 1), F.lit("(?i)https?://([^/\\s]*)"), F.lit(1))
-        return F.exists(hosts, lambda x: ~x.rlike("(?i)" + C.UNLESS[name]))
-    return line.rlike(pattern)
+    """Whether a rule matches a text."""
+    return line.rlike(expression(rule))
+
+
+def _about(rule: tuple) -> list[Column]:
+    return [F.lit(rule[0]).alias("rule_id"), F.lit(rule[1]).alias("category"), F.lit(rule[2]).alias("severity"), F.lit(f"CWE-{rule[3]}").alias("cwe")]
 
 
 def scan_lines(lines: DataFrame, keep: tuple[str, ...], rules=C.RULES) -> DataFrame:
-    """keep..., rule_id, category, severity, cwe, evidence: one row per line and rule. A projection and an explode, no shuffle."""
+    """keep..., rule_id, category, severity, cwe, evidence (50 characters of the match): one row per line and rule, each line by itself. A projection and an explode, no shuffle."""
     line = F.col("line")
-    made = [F.when(hit(line, r), F.struct(F.lit(r[0]).alias("rule_id"), F.lit(r[1]).alias("category"), F.lit(r[2]).alias("severity"), F.lit(f"CWE-{r[3]}").alias("cwe"))) for r in rules]
-    found = lines.select(*keep, F.left(line, F.lit(50)).alias("evidence"), F.explode(F.array(*made)).alias("_hit")).where("_hit is not null")
-    return found.select(*keep, "_hit.rule_id", "_hit.category", "_hit.severity", "_hit.cwe", "evidence")
+    made = [F.when(hit(line, r), F.struct(*_about(r), F.left(F.regexp_extract(line, expression(r), 0), F.lit(50)).alias("evidence"))) for r in rules]
+    found = lines.select(*keep, F.explode(F.array(*made)).alias("_hit")).where("_hit is not null")
+    return found.select(*keep, "_hit.*")
 
 
-def scan_chains(lines: DataFrame, key: tuple[str, ...], order: str, keep: tuple[str, ...], chains=C.CHAINS) -> DataFrame:
-    """keep..., rule_id, ...: lines from which all expressions of a chain occur within its window of lines of one file."""
-    out = None
-    by = Window.partitionBy(*key).orderBy(order)
-    # each expression is asked once a line; the window then only looks at booleans
-    flags = {(c[0], i): f"_c{j}_{i}" for j, c in enumerate(chains) for i in range(len(c[5]))}
-    marked = lines.select("*", *(F.col("line").rlike("(?i)" + c[5][i]).alias(flags[c[0], i]) for c in chains for i in range(len(c[5]))))
+def joined(lines: DataFrame, key: tuple[str, ...], order: str = "seq", number: str = "line_number") -> DataFrame:
+    """key..., numbers, lines: the lines of each file as arrays in order."""
+    found = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(number).cast("long").alias("number"), "line"))).alias("all"))
+    return found.select(*key, F.transform("all", lambda x: x["number"]).alias("numbers"), F.transform("all", lambda x: x["line"]).alias("lines"))
+
+
+def text_matches(files: DataFrame, key: tuple[str, ...], rules=C.RULES) -> DataFrame:
+    """key..., rule_id, category, severity, cwe, line_number, evidence: every rule over the lines of a file as one text. No shuffle.
+
+    files: key..., numbers, lines. A match may span lines; it is reported at the line where it starts, once a line, with its
+    first 50 characters. In a text that a rule fits, marks are put around its matches, so that the lines tell where they are.
+    """
+    texts = files.select(*key, "numbers", F.array_join("lines", "\n").alias("text"))
+    made = [F.when(hit(F.col("text"), r), F.struct(*_about(r), F.regexp_replace("text", expression(r), f"{BEGIN}$0{FINISH}").alias("marked"))) for r in rules]
+    hits = texts.select(*key, "numbers", F.explode(F.array_compact(F.array(*made))).alias("hit"))
+    rows = hits.select(*key, "numbers", "hit.*").withColumn("rows", F.split("marked", "\n"))
+    shown = lambda i: F.regexp_extract(F.array_join(F.slice("rows", i + 1, F.lit(51)), "\n"), f"{BEGIN}([^{FINISH}]{{0,50}})", 1)
+    found = F.filter(F.transform("rows", lambda x, i: F.when(x.contains(BEGIN), F.struct(i.alias("at"), shown(i).alias("evidence")))), lambda x: x.isNotNull())
+    each = rows.select(*key, "numbers", "rule_id", "category", "severity", "cwe", F.explode(found).alias("m"))
+    return each.select(*key, "rule_id", "category", "severity", "cwe", F.get("numbers", F.col("m.at")).alias("line_number"), "m.evidence")
+
+
+def chain_matches(files: DataFrame, key: tuple[str, ...], chains=C.CHAINS) -> DataFrame:
+    """key..., rule_id, category, severity, cwe, line_number, evidence: the lines from which all expressions of a chain occur in its window of lines, taken as one text. No shuffle.
+
+    files: key..., numbers, lines. Windows are looked at only in files that have all of a chain's expressions somewhere. evidence is the start of the window's first line.
+    """
+    text = F.array_join("lines", "\n")
     made = []
     for c in chains:
-        both = F.lit(True)
-        for i in range(len(c[5])):
-            both = both & F.max(flags[c[0], i]).over(by.rowsBetween(0, c[4] - 1))
-        made.append(F.when(both, F.struct(F.lit(c[0]).alias("rule_id"), F.lit(c[1]).alias("category"), F.lit(c[2]).alias("severity"), F.lit(f"CWE-{c[3]}").alias("cwe"))))
-    out = marked.select(*keep, F.left("line", F.lit(50)).alias("evidence"), F.array(*made).alias("_hits"))
-    out = out.select(*keep, "evidence", F.explode("_hits").alias("_hit")).where("_hit is not null")
-    return out.select(*keep, "_hit.rule_id", "_hit.category", "_hit.severity", "_hit.cwe", "evidence")
+        window = lambda i, c=c: F.array_join(F.slice("lines", i + 1, F.lit(c[4])), "\n")
+        both = lambda t, c=c: _all([t.rlike(f"(?i){p}") for p in c[5]])
+        at = F.filter(F.transform("lines", lambda x, i: F.when(both(window(i)), F.struct(i.alias("at"), F.left(x, F.lit(50)).alias("evidence")))), lambda x: x.isNotNull())
+        made.append(F.when(both(text), F.struct(*_about(c), at.alias("found"))))
+    hits = files.select(*key, "numbers", F.explode(F.array_compact(F.array(*made))).alias("hit")).select(*key, "numbers", "hit.*")
+    each = hits.select(*key, "numbers", "rule_id", "category", "severity", "cwe", F.explode("found").alias("m"))
+    return each.select(*key, "rule_id", "category", "severity", "cwe", F.get("numbers", F.col("m.at")).alias("line_number"), "m.evidence")
 
 
-def scan_texts(added: DataFrame, key: str, rules=C.RULES) -> DataFrame:
-    """key, rule_id, category, severity, cwe, line_number, evidence: every rule over the added lines of a file as one text.
+def _all(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
 
-    added: key, seq, line_number, line. Matches may span lines, those of different hunks too; each is
-    reported at the line where it starts, once a line. Files are independent tasks of Python's own expressions,
-    because places of matches are needed; only files that a cheap native test lets through get there.
-    """
-    spanning = [r for r in rules if r[4]]
-    single = scan_lines(added, (key, "line_number"), [r for r in rules if not r[4]])
-    texts = added.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "line_number", "line"))).alias("lines"))
-    texts = texts.select(key, F.transform("lines", lambda x: x["line_number"]).alias("numbers"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
-    any_start = "|".join(f"(?:{r[5].split('.*?')[0].split('.{0,')[0].split('[^)]')[0]})" for r in spanning)
-    schema = f"{key} string, rule_id string, category string, severity string, cwe string, line_number long, evidence string"
-
-    def found(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(r, re.compile(r[5], re.I | re.S)) for r in spanning]
-        for part in parts:
-            rows = []
-            for k, numbers, text in zip(part[key], part["numbers"], part["text"]):
-                lines = text.split("\n")
-                for r, expression in compiled:
-                    seen = set()
-                    for m in expression.finditer(text):
-                        at = text.count("\n", 0, m.start())
-                        if at not in seen:
-                            seen.add(at)
-                            rows.append((k, r[0], r[1], r[2], f"CWE-{r[3]}", int(numbers[at]), lines[at][:50]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    if not spanning:
-        return single.select(F.col(key).cast("string").alias(key), "rule_id", "category", "severity", "cwe", "line_number", "evidence")
-    wide = texts.where(F.col("text").rlike("(?is)" + any_start)).withColumn(key, F.col(key).cast("string")).mapInPandas(found, schema)
-    return single.select(F.col(key).cast("string").alias(key), "rule_id", "category", "severity", "cwe", "line_number", "evidence").unionByName(wide)
+
+def scan_chains(lines: DataFrame, key: tuple[str, ...], order: str, keep: tuple[str, ...], chains=C.CHAINS) -> DataFrame:
+    """keep..., rule_id, ...: chain_matches of lines; keep is the key and, where wanted, the order column."""
+    found = chain_matches(joined(lines, key, order, order), key, chains)
+    return found.select(*(F.col("line_number").alias(c) if c == order else F.col(c) for c in keep), "rule_id", "category", "severity", "cwe", "evidence")
+
+
+def scan_texts(added: DataFrame, key: str, rules=C.RULES) -> DataFrame:
+    """text_matches of the added lines of files; added: key, seq, line_number, line."""
+    return text_matches(joined(added, (key,)), (key,), rules)
 
 
 def merge_matches(single: DataFrame, chains: DataFrame, key: tuple[str, ...] = ("file_id",)) -> DataFrame:

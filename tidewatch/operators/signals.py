@@ -39,6 +39,24 @@ def reputation_level(score: Column) -> tuple[Column, Column]:
     return severity, boost
 
 
+def judged_reputation(dependencies: DataFrame, metrics: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """dependencies (name, ecosystem, ...) with score, severity, boost and is_suspicious.
+
+    metrics: name, ecosystem, age_days or first_published, weekly_downloads, total_versions, parent_downloads (optional); as_of: the time to count ages at.
+    npm and PyPI packages without metrics are not in their registry: HIGH, 0.15. Other ecosystems are not judged.
+    """
+    m = metrics if "parent_downloads" in metrics.columns else metrics.withColumn("parent_downloads", F.lit(None).cast("long"))
+    if "age_days" not in m.columns:
+        m = m.withColumn("age_days", gap_days(F.col("first_published"), F.current_timestamp() if as_of is None else as_of))
+    m = m.select("name", "ecosystem", reputation_score(F.col("age_days"), F.col("weekly_downloads"), F.col("total_versions"), F.col("parent_downloads")).alias("score"), F.lit(True).alias("_known"))
+    joined = dependencies.join(m, ["name", "ecosystem"], "left")
+    asked = F.col("ecosystem").isin("npm", "pypi")
+    severity, boost = reputation_level(F.coalesce("score", F.lit(0)))
+    level = lambda found, absent, other: F.when(asked & F.col("_known").isNull(), absent).when(asked, found).otherwise(other)
+    out = joined.withColumn("severity", level(severity, F.lit("HIGH"), F.lit("NONE"))).withColumn("boost", level(boost, F.lit(0.15), F.lit(0.0)))
+    return out.withColumn("is_suspicious", severity_rank(F.col("severity")) >= 3).drop("_known")
+
+
 def is_security_package(name: Column) -> Column:
     low = F.lower(name)
     return low.isin(*C.SECURITY_PACKAGES) | low.rlike("|".join(C.SECURITY_WORDS))

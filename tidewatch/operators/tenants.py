@@ -64,3 +64,30 @@ def advisory_severity(score: Column, advisory_id: Column) -> Column:
     """From a bare number of the third scoring version (vectors are not numbers); malicious-package advisories are HIGH, others MEDIUM."""
     n = F.try_to_number(F.lit("0"), F.lit("9")) if score is None else F.split_part(score, F.lit("/"), F.lit(1)).try_cast("double")
     return F.when(n >= 9, "CRITICAL").when(n >= 7, "HIGH").when(n >= 4, "MEDIUM").when(advisory_id.startswith("MAL-"), "HIGH").otherwise("MEDIUM")
+
+
+def finding_texts(ecosystem: Column, name: Column, version: Column, verdict: Column, severity: Column, confidence: Column, summary: Column, direct: Column, indirect: Column) -> tuple[Column, Column]:
+    """(title, description) of a finding."""
+    what = F.concat(ecosystem, F.lit("/"), name, F.lit("@"), version)
+    title = F.concat(F.lit("["), verdict, F.lit("] "), what)
+    lines = (F.concat(F.lit("Release: "), what), F.concat(F.lit("Verdict: "), verdict, F.lit(" ("), F.bround(confidence * 100, 0).cast("int").cast("string"), F.lit("%)")), F.concat(F.lit("Severity: "), severity),
+             F.concat(F.lit("Summary: "), F.coalesce(summary, F.lit(""))), F.concat(F.lit("Affected: "), direct.cast("string"), F.lit(" direct, "), indirect.cast("string"), F.lit(" indirect services")))
+    return title, F.concat_ws("\n", *lines)
+
+
+def tenant_findings(alerts: DataFrame, packages: DataFrame, depends_on: DataFrame) -> DataFrame:
+    """The flow from verdicts to tenants: finding_id, release_id, tenant_id, title, description, severity, direct, indirect, risk; one finding per release and affected tenant.
+
+    alerts: release_id, ecosystem, name, version, verdict, severity, confidence, summary; only malicious and suspicious ones count. packages: tenant_id,
+    ecosystem, name, version (empty is any). depends_on: tenant_id, ecosystem, name, target, direct. risk is what the finding adds over all services. Tenants without a
+    dependent service have a finding without risk. Joins on package and tenant only; nothing is gathered.
+    """
+    bad = alerts.where(F.col("verdict").isin("MALICIOUS", "SUSPICIOUS"))
+    hit = affected_tenants(bad, packages)
+    added = risk_delta(F.col("severity"), F.col("direct"))
+    reach = hit.select("release_id", "tenant_id", "ecosystem", "name", "severity").join(depends_on, ["tenant_id", "ecosystem", "name"])
+    reach = reach.groupBy("release_id", "tenant_id").agg(F.count_if(F.col("direct")).alias("direct"), F.count_if(~F.col("direct")).alias("indirect"), F.sum(added).alias("risk"))
+    out = hit.join(reach, ["release_id", "tenant_id"], "left").withColumn("direct", F.coalesce("direct", F.lit(0))).withColumn("indirect", F.coalesce("indirect", F.lit(0)))
+    c = F.col
+    title, description = finding_texts(c("ecosystem"), c("name"), c("version"), c("verdict"), c("severity"), c("confidence"), c("summary"), c("direct"), c("indirect"))
+    return out.select(F.concat_ws("-", F.lit("finding"), "ecosystem", "name", "version", c("tenant_id").cast("string")).alias("finding_id"), "release_id", "tenant_id", title.alias("title"), description.alias("description"), "severity", "direct", "indirect", F.coalesce("risk", F.lit(0)).cast("long").alias("risk"))

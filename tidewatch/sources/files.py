@@ -21,8 +21,10 @@ MAX_BYTES, MAX_FILES = 500 * 1024 * 1024, 10_000
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """path (relative to root), content (binary), length of every file under root; any file system that Spark reads."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1]
-    return files.select(F.regexp_replace(F.substring_index("path", base + "/", -1), "^/+", "").alias("path"), "content", "length")
+    base = root.rstrip("/").split(":", 1)[-1].lstrip("/") if ":" in root.split("/", 1)[0] else root.rstrip("/").lstrip("/")
+    # Spark gives scheme:/root/...: all up to the first place where the root stands goes, later ones are folders of that name
+    after = F.locate(base + "/", F.col("path")) + len(base) + 1
+    return files.select(F.substring("path", after, F.length("path")).alias("path"), "content", "length")
 
 
 def as_text(content: Column) -> Column:

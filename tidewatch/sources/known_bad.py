@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +38,46 @@ def batches(packages: DataFrame, size: int = 100) -> DataFrame:
     numbered = packages.withColumn("_i", F.monotonically_increasing_id()).withColumn("batch", F.floor(F.col("_i") / size))
     query = F.struct(F.col("version").alias("version"), F.struct(F.col("name").alias("name"), F.col("ecosystem").alias("ecosystem")).alias("package"))
     return numbered.groupBy("batch").agg(F.count("*").alias("n"), F.to_json(F.struct(F.collect_list(query).alias("queries"))).alias("body"))
+
+
+def holders(files: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", block: int = 1 << 21) -> DataFrame:
+    """(key, item) of each file that holds the text of an item of a known-bad list, once each. Nothing is shuffled.
+
+    The list is broadcast in blocks of about `block` characters, of which the driver holds one at a time; the files are read once for each block, and all items of a
+    block are looked for in one pass over a text (Aho-Corasick). Null texts hold nothing and null items are nowhere; an empty item is in every text.
+    """
+    kinds = {f.name: f.dataType for f in items.schema} | {f.name: f.dataType for f in files.schema}
+    schema = f"`{key}` {kinds[key].simpleString()}, `{item}` {kinds[item].simpleString()}"
+    spark = files.sparkSession
+
+    def search(rows: list[tuple]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(rows)
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of: dict[str, list] = {}
+            for i, t in shared.value:
+                of.setdefault(t, []).append(i)
+            always, machine = of.pop("", []), ahocorasick.Automaton()
+            for t, ids in of.items():
+                machine.add_word(t, ids)
+            machine.make_automaton()
+            for batch in batches:
+                keys, ids = [], []
+                for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    t = t.as_py()
+                    held = {i for _, hit in machine.iter(t) for i in hit} if of else set()
+                    held.update(always)
+                    keys += [k] * len(held)
+                    ids += held
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(ids)] if ids else [batch.column(0).slice(0, 0), pa.array([], pa.string() if kinds[item].simpleString() == "string" else pa.int64())], [key, item])
+
+        return files.where(F.col(text).isNotNull()).select(key, text).mapInArrow(found, schema)
+
+    out, rows, size = None, [], 0
+    for r in items.where(F.col(text).isNotNull()).select(item, text).toLocalIterator():
+        rows.append((r[0], r[1]))
+        size += len(r[1])
+        if size >= block:
+            out = search(rows) if out is None else out.unionByName(search(rows))
+            rows, size = [], 0
+    return search(rows) if out is None else out.unionByName(search(rows)) if rows else out

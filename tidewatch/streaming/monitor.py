@@ -29,11 +29,11 @@ def version_changes(feed: DataFrame) -> DataFrame:
     def changed(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else None
         out = []
-        for part in [pd.concat(list(parts)).sort_values("seq", kind="stable")]:
-            for latest, seq in zip(part["latest"], part["seq"]):
-                if seen is not None and latest != seen:
-                    out.append((key[0], seen, latest, int(seq)))
-                seen = latest
+        # a batch has what the source's read limit lets through; of that only numbers and versions are held
+        for seq, latest in sorted(((int(s), x) for part in parts for s, x in zip(part["seq"], part["latest"])), key=lambda r: r[0]):
+            if seen is not None and latest != seen:
+                out.append((key[0], seen, latest, seq))
+            seen = latest
         state.update((seen,))
         yield pd.DataFrame(out, columns=["name", "previous", "latest", "seq"])
 
@@ -70,7 +70,8 @@ def signature(body: pd.Series, secret: pd.Series) -> pd.Series:
 def deliver(alerts: DataFrame, send: Callable[[Iterator[dict]], Iterator[tuple[str, str | None]]], least: str, checkpoint: str, failed: str) -> StreamingQuery:
     """Sends each alert from the executors. send: takes the rows of a partition, yields (alert_id, error or None).
 
-    Failures go to the dead-letter table `failed`. A batch may be sent again after a crash, so receivers key on alert_id.
+    Failures go to the dead-letter table `failed`, partitioned by batch. A batch may be sent again after a crash, so receivers key on alert_id;
+    its failures replace those of the first time.
     """
 
     def batch(df: DataFrame, number: int) -> None:
@@ -81,7 +82,8 @@ def deliver(alerts: DataFrame, send: Callable[[Iterator[dict]], Iterator[tuple[s
                 yield pd.DataFrame(list(send(iter(part.to_dict("records")))), columns=["alert_id", "error"])
 
         done = due.select("alert_id", "verdict", "severity", "body").mapInPandas(sent, "alert_id string, error string")
-        done.where("error is not null").withColumn("batch", F.lit(number)).write.mode("append").parquet(failed)
+        # one folder for each batch, written over when the batch is sent again
+        done.where("error is not null").write.mode("overwrite").parquet(f"{failed}/batch={number}")
 
     return alerts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
