@@ -29,6 +29,15 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as a table in the shared folder, dealt out by key: joins on key move only the other side, as often as they come."""
+    spark, n, table = df.sparkSession, partitions(df.sparkSession), f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{table}").option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name only: the files are external, and out knows them
+    return out
+
+
 def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
     """docs with a number of each row in the column `name`, as a written table: a second scan of docs may be split otherwise and number anew."""
     return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")

@@ -25,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import numbered, partitions, written
+from .common import bucketed, partitions, written
 from .rolling import Rolling, sliding_min
 from .suffix_sort import deep_shallow_sort
 
-SPAN, K, WIDTH = 200, 48, 12
+SPAN, K, WIDTH = 200, 48, 38
 #: A text is searched in parts of so many bytes (with SPAN - 1 more); contexts are sorted about so many at once.
 PART, BATCH = 1 << 22, 40_000
 #: Anchors of a k-gram from which it is no group of one task; found in one anchor of RATE, which only decides where rows go.
@@ -54,19 +55,23 @@ def anchors_of(data: np.ndarray, span: int, k: int, grams: Rolling, whole: Rolli
     return place, lo, hi, h[place], context
 
 
-def find_anchors(rows: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """(_row, place, back, runs, gram, context): window starts place - back ... place - back + runs choose the anchor at place."""
+def find_anchors(rows: DataFrame, span: int = SPAN, k: int = K, rate: int = 1) -> DataFrame:
+    """(_row, place, reach, gram, context), one in `rate`: window starts place - back ... place - back + runs choose the anchor at place; reach is back * 2**16 + runs. rows: _row, body (compressed)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, whole = Rolling(31), Rolling(37)
+        grams, whole, unpack = Rolling(31), Rolling(37), zstandard.ZstdDecompressor()
         for batch in batches:
             parts, size = [], 0
             for row, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = np.frombuffer(body.as_py(), np.uint8)
+                data = np.frombuffer(unpack.decompress(body.as_py()), np.uint8)
                 for at in range(0, len(data) - span + 1, PART):
                     place, lo, hi, gram, context = anchors_of(data[at : at + PART + span - 1], span, k, grams, whole)
-                    parts.append((np.full(len(place), row), place + at, place - lo, hi - lo, gram.view(np.int64), context.view(np.int64)))
-                    size += len(place)
+                    made = (np.full(len(place), row), place + at, ((place - lo) << 16) + (hi - lo), gram.view(np.int64), context.view(np.int64))
+                    if rate > 1:
+                        chosen = ((made[1] + row).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(rate) == 0
+                        made = tuple(c[chosen] for c in made)
+                    parts.append(made)
+                    size += len(made[0])
                 if size > 50_000:
                     yield packed(parts)
                     parts, size = [], 0
@@ -74,11 +79,9 @@ def find_anchors(rows: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
                 yield packed(parts)
 
     def packed(parts):
-        row, place, back, runs, gram, context = (np.concatenate(c) for c in zip(*parts))
-        return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(place), pa.array((back << 16) + runs), pa.array(gram), pa.array(context)], ["_row", "place", "reach", "gram", "context"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts)], ["_row", "place", "reach", "gram", "context"])
 
-    made = rows.select("_row", "body").mapInArrow(found, "_row long, place long, reach long, gram long, context long")
-    return made  # reach: back * 2**16 + runs
+    return rows.select("_row", "body").mapInArrow(found, "_row long, place long, reach long, gram long, context long")
 
 
 def repeated_windows(left: list[bytes], right: list[bytes], runs: np.ndarray, span: int) -> Iterator[tuple[int, int, int]]:
@@ -139,10 +142,12 @@ def sorted_windows(contexts: DataFrame, span: int) -> DataFrame:
     return contexts.repartition(n, "part").sortWithinPartitions("part").mapInArrow(found, MARKS)
 
 
-def dealt_anchors(anchors: DataFrame) -> DataFrame:
-    """anchors of k-grams that occur again, with hot, and lead and first: the two anchors that stand for their context, and one of them."""
-    least = max(2, HOT // RATE)  # so many in the sample; it only decides where rows go
-    sample = anchors.where(F.pmod(F.xxhash64("_row", "place"), F.lit(RATE)) == 0)
+def dealt_anchors(anchors: DataFrame, sample: DataFrame) -> DataFrame:
+    """anchors of k-grams that occur again, with hot, and lead and first: the two anchors that stand for their context, and one of them.
+
+    sample: one anchor in RATE; it only decides where rows go.
+    """
+    least = max(2, HOT // RATE)
     grams = sample.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("gram", F.lit(True).alias("is_hot"))
     at = F.struct("_row", "place")
     common = sample.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(at).alias("one"), F.max(at).alias("two")).where(F.col("n") >= least).drop("n")
@@ -158,67 +163,62 @@ def dealt_anchors(anchors: DataFrame) -> DataFrame:
     return counted.where(F.col("hot") | proven | (F.col("n") > 1)).select("_row", "place", "reach", "gram", "context", "hot", lead.alias("lead"), first.alias("first"))
 
 
-def _cuts(rows, names, types):
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
-
-
-def hot_windows(contexts: DataFrame, span: int) -> DataFrame:
-    """MARKS of (gram, context, first, _row, place, reach, bytes) of k-grams that are too frequent to be one group."""
-    width = max(1, min(WIDTH, span // 8))
-    names, types = ["part", "_row", "place", "run"], (pa.int64(), pa.int64(), pa.int64(), pa.int64())
-
-    def key_of(hashes: Rolling, sums: np.ndarray, back: int, runs: np.ndarray, gram: int) -> np.ndarray:
-        lo = back - runs * width  # the bytes that all windows of a run share, from its latest start to the end of its earliest
-        return (hashes.span(sums, lo, lo + span - width + 1) ^ np.uint64(gram & 0xFFFFFFFFFFFFFFFF) ^ (runs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+def hot_windows(leads: DataFrame, cut, span: int) -> DataFrame:
+    """MARKS of leads of k-grams that are too frequent to be one group; cut: see cut_repeats. Nothing but hashes moves until a key is known to come again."""
+    width = max(1, min(WIDTH, span // 5))
+    mask = 0xFFFFFFFFFFFFFFFF
 
     def runs_of(reach: int) -> np.ndarray:
         back = reach >> 16
         return np.arange((back - (reach & 0xFFFF)) // width, back // width + 1)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys_of(hashes: Rolling, lead: dict, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(runs, keys): the hash of the bytes that all windows of a run share, from its latest start to the end of its earliest."""
+        runs, back = runs_of(lead["reach"]), lead["reach"] >> 16
+        lo = back - runs * width
+        salt = np.uint64(lead["gram"] & mask) ^ (runs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return runs, (hashes.span(hashes.sums(np.frombuffer(body, np.uint8)), lo, lo + span - width + 1) ^ salt).view(np.int64)
+
+    def keys():
         hashes = Rolling(43)
-        for batch in batches:
-            out = []
-            for gram, row, place, reach, body in zip(*(c.to_pylist() for c in batch.columns)):
-                runs = runs_of(reach)
-                k = key_of(hashes, hashes.sums(np.frombuffer(body, np.uint8)), reach >> 16, runs, gram)
-                out.append((k, np.full(len(k), row), np.full(len(k), place), runs))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), types)], names)
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                rows = []
-                for gram, context, is_first, reach, body, wanted in zip(*(c.to_pylist() for c in batch.slice(first, 500).columns)):
-                    back, least = reach >> 16, (reach >> 16) - (reach & 0xFFFF)
-                    for w in wanted:
-                        far, near = min(back, w["run"] * width + width - 1), max(least, w["run"] * width)
-                        rows.append((w["part"], gram, context, is_first, (far << 16) + far - near, body[back - far : back - near + span]))
-                if rows:
-                    yield _cuts(rows, [x.split()[0] for x in CONTEXTS.split(", ")], (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))
+
+        def of(row: int, lead: dict, body: bytes):
+            runs, k = keys_of(hashes, lead, body)
+            return [(int(x), row, lead["place"], int(r)) for r, x in zip(runs, k)]
+
+        return of
+
+    def narrow():
+        def of(row: int, lead: dict, body: bytes):
+            back, least = lead["reach"] >> 16, (lead["reach"] >> 16) - (lead["reach"] & 0xFFFF)
+            for w in lead["runs"]:
+                far, near = min(back, w["run"] * width + width - 1), max(least, w["run"] * width)
+                yield w["part"], lead["gram"], lead["context"], lead["first"], (far << 16) + far - near, body[back - far : back - near + span], w["wide"]
+
+        return of
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Rolling(47), Rolling(53)
         for batch in batches:
             rows = []
-            for part, gram, context, is_first, reach, body in zip(*(c.to_pylist() for c in batch.columns)):
+            for gram, context, is_first, reach, body in zip(*(c.to_pylist() for c in batch.columns)):
                 data = np.frombuffer(body, np.uint8)
                 a, b = (h.windows(h.sums(data), span).view(np.int64) for h in (one, two))
                 rows.append((np.full(len(a), gram), np.full(len(a), context), np.full(len(a), is_first), (reach >> 16) - np.arange(len(a)), a, b))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["gram", "context", "first", "back", "a", "b"])
 
-    made = contexts.select("gram", "_row", "place", "reach", "bytes").mapInArrow(keys, "part long, _row long, place long, run long")
-    again = written(made.groupBy("part").agg(F.count("*").alias("n")).where("n > 1"), "hot-parts")
+    made = written(cut(leads, keys, "part long, _row long, place long, run long"), "hot-keys")
+    again = made.groupBy("part").agg(F.count("*").alias("n")).where("n > 1")
     wanted = made.join(again, "part").groupBy("_row", "place").agg(F.collect_list(F.struct("part", "run", (F.col("n") > BATCH).alias("wide"))).alias("runs"))
-    placed = written(contexts.join(wanted, ["_row", "place"]).select("gram", "context", "first", "reach", "bytes", "runs"), "hot-runs")
-    runs = lambda wide: placed.select("gram", "context", "first", "reach", "bytes", F.filter("runs", lambda r: r["wide"] == wide).alias("runs")).where(F.size("runs") > 0).mapInArrow(narrow, CONTEXTS)
-    single = runs(True).mapInArrow(windows, "gram long, context long, first boolean, back long, a long, b long")
+    cuts = written(cut(leads.join(wanted, ["_row", "place"]), narrow, CONTEXTS + ", wide boolean"), "hot-runs")
+    marks = sorted_windows(cuts.where("not wide").drop("wide"), span)
+    wide = cuts.where("wide")
+    if wide.isEmpty():
+        return marks
+    single = wide.select("gram", "context", "first", "reach", "bytes").mapInArrow(windows, "gram long, context long, first boolean, back long, a long, b long")
     twice = single.groupBy("gram", "back", "a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = single.where("first").join(twice, ["gram", "back", "a", "b"]).select("gram", "context", F.col("back").alias("far"), F.col("back").alias("near"))
-    marks = sorted_windows(runs(False), span)
-    return marks.unionByName(counted) if not again.where(F.col("n") > BATCH).isEmpty() else marks
+    return marks.unionByName(single.where("first").join(twice, ["gram", "back", "a", "b"]).select("gram", "context", F.col("back").alias("far"), F.col("back").alias("near")))
 
 
 def cut_repeats(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
@@ -228,41 +228,58 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     somewhere else, in the same text too, overlapping or not. Texts under `span` bytes stay whole. Rows that
     repeat a text are documents of their own. docs must be a scan or a written table.
     """
-    texts = numbered(docs.select("doc_id", "text")).select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    repeats = written(dealt_anchors(written(find_anchors(texts, span, k), "anchors")), "repeated-anchors")
-    names, types = ["gram", "context", "first", "_row", "place", "reach", "bytes"], (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            rows = []
-            for row, body, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                body = body.as_py()
-                for a in at.as_py():
-                    lo = a["place"] - (a["reach"] >> 16)
-                    rows.append((a["gram"], a["context"], a["first"], row, a["place"], a["reach"], body[lo : lo + (a["reach"] & 0xFFFF) + span]))
-                if len(rows) > 20_000:
-                    yield _cuts(rows, names, types)
-                    rows = []
-            if rows:
-                yield _cuts(rows, names, types)
+            bodies = [pack.compress((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], ["_row", "doc_id", "body"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = bucketed(rows.mapInArrow(compressed, "_row long, doc_id long, body binary"), "_row", "texts")
+    repeats = written(dealt_anchors(find_anchors(texts, span, k), find_anchors(texts, span, k, RATE)), "repeated-anchors")
+
+    def cut(some: DataFrame, make, schema: str) -> DataFrame:
+        """The rows that make()(row number, lead, bytes of its context) gives for each of some leads; texts do not move."""
+        extra = [c for c in some.columns if c == "runs"]
+        wanted = some.groupBy("_row").agg(F.collect_list(F.struct("gram", "context", "first", "place", "reach", *extra)).alias("at"))
+        names = [x.split()[0] for x in schema.split(", ")]
+        kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
+
+        def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, unpack = make(), zstandard.ZstdDecompressor()
+            packed = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+            for batch in batches:
+                rows = []
+                for row, body, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                    body = unpack.decompress(body.as_py())
+                    for a in at.as_py():
+                        lo = a["place"] - (a["reach"] >> 16)
+                        rows += of(row, a, body[lo : lo + (a["reach"] & 0xFFFF) + span])
+                    if len(rows) > 20_000:
+                        yield packed(rows)
+                        rows = []
+                if rows:
+                    yield packed(rows)
+
+        return texts.join(wanted, "_row").select("_row", "body", "at").mapInArrow(contexts, schema)
 
-    def cut(some: DataFrame) -> DataFrame:
-        wanted = some.groupBy("_row").agg(F.collect_list(F.struct("gram", "context", "first", "place", "reach")).alias("at"))
-        return texts.join(wanted, "_row").select("_row", "body", "at").mapInArrow(contexts, "gram long, context long, first boolean, _row long, place long, reach long, bytes binary")
+    def plain():
+        return lambda row, lead, body: [(lead["gram"], lead["gram"], lead["context"], lead["first"], lead["reach"], body)]
 
-    marks = sorted_windows(cut(repeats.where("lead and not hot")).select(F.col("gram").alias("part"), "gram", "context", "first", "reach", "bytes"), span)
+    marks = sorted_windows(cut(repeats.where("lead and not hot"), plain, CONTEXTS), span)
     hot = repeats.where("lead and hot")
     if not hot.isEmpty():
-        marks = marks.unionByName(hot_windows(written(cut(hot), "hot-cuts"), span))
+        marks = marks.unionByName(hot_windows(hot, cut, span))
     marked = repeats.select("_row", "place", "gram", "context").join(written(marks, "marks"), ["gram", "context"]).select("_row", (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + span).alias("end"))
     spans = marked.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
+        names, unpack = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"], zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
             for doc_id, body, marks in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                body, found = body.as_py(), []
+                body, found = unpack.decompress(body.as_py()), []
                 for m in sorted((m["start"], m["end"]) for m in marks.as_py() or []):
                     if found and m[0] <= found[-1][1]:
                         found[-1][1] = max(found[-1][1], m[1])
