@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions
 from .rolling import Rolling, sliding_min
 
 K, W = 24, 77
@@ -87,9 +87,9 @@ def in_ranges(docs: DataFrame, n: int | None = None) -> DataFrame:
     n = n or partitions(spark)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), F.xxhash64(text).alias("_hash"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    keys = written(keyed.select("_key", "_hash").distinct(), "order-keys")
-    rate = max(1, keys.count() // (SAMPLED * n))
-    sample = keys.where(F.pmod(F.xxhash64("_hash", "_key"), F.lit(rate)) == 0).toPandas()
+    keys = keyed.select("_key", "_hash")
+    rate = max(1, docs.count() // (SAMPLED * n))
+    sample = keys.where(F.pmod(F.xxhash64("_hash", "_key"), F.lit(rate)) == 0).distinct().toPandas()
     ordered = np.sort(_order_key(sample["_key"], sample["_hash"]))
     bounds = spark.sparkContext.broadcast(np.unique(ordered[[len(ordered) * i // n for i in range(1, n)]]) if len(ordered) and n > 1 else ordered[:0])
 
