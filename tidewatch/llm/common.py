@@ -29,10 +29,10 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df as a table in the shared folder, dealt out by key: joins on key move only the other side, as often as they come."""
+def bucketed(df: DataFrame, key: str, name: str, placed: bool = False) -> DataFrame:
+    """df as a table in the shared folder, dealt out by key: joins on key move only the other side, as often as they come. placed: df is dealt out by key already."""
     spark, n, table = df.sparkSession, partitions(df.sparkSession), f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{table}").option("compression", "zstd").saveAsTable(table)
+    (df if placed else df.repartition(n, key)).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{table}").option("compression", "zstd").saveAsTable(table)
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # the name only: the files are external, and out knows them
     return out
@@ -56,6 +56,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n int keys, the i-th of which Spark's hash partitioning puts into partition i of n: so many groups of like size are one a task."""
+    key = F.col("id").cast("int")
+    found = spark.range(40 * n).groupBy(F.pmod(F.hash(key), F.lit(n)).alias("p")).agg(F.min(key).alias("k")).collect()
+    keys = {r["p"]: r["k"] for r in found}
+    return [keys.get(i, 40 * n + i) for i in range(n)]
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as decimal text, modulo n; 0 for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n)), F.lit(0)).cast("int")
