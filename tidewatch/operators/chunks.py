@@ -20,12 +20,21 @@ def chunk_files(files: DataFrame, key: str, limit: int = C.CHUNK_TOKENS, skip: b
         sized = sized.where(~skipped(F.col("path")))
     entry = F.struct(priority(F.col("path")).alias("place"), F.col("path"), F.col("tokens").cast("long").alias("tokens"))
     listed = sized.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("files"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("chunks"))
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
-    def step(a, f):
+    def step(a, f):  # only the places where chunks start are kept
         fresh = (a["total"] > 0) & (a["total"] + f["tokens"] > limit)
-        chunk = a["chunk"] + fresh.cast("int")
-        return F.struct((F.when(fresh, F.lit(0)).otherwise(a["total"]) + f["tokens"]).alias("total"), chunk.alias("chunk"), F.array_append(a["chunks"], chunk).alias("chunks"))
+        return F.struct((F.when(fresh, F.lit(0)).otherwise(a["total"]) + f["tokens"]).alias("total"), (a["at"] + 1).alias("at"), F.when(fresh, F.array_append(a["starts"], a["at"])).otherwise(a["starts"]).alias("starts"))
 
-    folded = listed.select(key, "files", F.aggregate("files", start, step, lambda a: a["chunks"]).alias("chunks"))
-    return folded.select(key, F.explode(F.arrays_zip("files", "chunks")).alias("_z")).select(key, F.col("_z.files.path").alias("path"), F.col("_z.files.tokens").alias("tokens"), F.col("_z.chunks").alias("chunk_index"))
+    folded = listed.select(key, "files", F.aggregate("files", start, step, lambda a: a["starts"]).alias("starts"))
+    each = folded.select(key, "starts", F.posexplode("files").alias("at", "f"))
+    return each.select(key, "f.path", "f.tokens", F.size(F.filter("starts", lambda s: s <= F.col("at"))).alias("chunk_index"))
+
+
+def rendered(files: DataFrame, key: str = "release_id") -> DataFrame:
+    """key, chunk_index, text: the text of each chunk. files: key, chunk_index, path, content, is_binary, priority order in `place`.
+
+    A binary file is named only; the others follow their path. Empty lines stand between files. A chunk is as large as its token limit lets it be.
+    """
+    part = F.when(F.col("is_binary"), F.concat(F.lit("[Binary file: "), "path", F.lit("]"))).otherwise(F.concat(F.lit("--- "), "path", F.lit("\n"), F.coalesce("content", F.lit(""))))
+    return files.groupBy(key, "chunk_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "path", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("text"))

@@ -29,11 +29,14 @@ def known_bad_hits(components: DataFrame, known_bad: DataFrame, version: str = "
 
 def validate_sbom(components: DataFrame, known_bad: DataFrame, advisories: DataFrame, sbom: str = "sbom_id") -> DataFrame:
     """Per bill of material: components, local hits, advisory hits (only versioned components), issues."""
-    local = known_bad_hits(components, known_bad).groupBy(sbom).agg(F.count("*").alias("local_hits"))
-    remote = components.where(F.coalesce("version", F.lit("")) != "").join(advisories.select("name", "version", "ecosystem", "advisory_id"), ["name", "version", "ecosystem"]).groupBy(sbom).agg(F.count("*").alias("advisory_hits"))
-    total = components.groupBy(sbom).agg(F.count("*").alias("components"))
-    n = lambda c: F.coalesce(c, F.lit(0))
-    return total.join(local, sbom, "left").join(remote, sbom, "left").select(sbom, "components", n("local_hits").alias("local_hits"), n("advisory_hits").alias("advisory_hits"), (n("local_hits") + n("advisory_hits")).alias("issues"))
+    kb = known_bad.groupBy("name", F.col("version").alias("_plain"), "ecosystem").agg(F.count("*").alias("_local"))
+    adv = advisories.groupBy("name", "version", "ecosystem").agg(F.count("*").alias("_remote"))
+    each = components.select(sbom, "name", "version", "ecosystem", stripped_spec(F.col("version")).alias("_plain"))
+    found = each.join(kb, ["name", "_plain", "ecosystem"], "left").join(adv, ["name", "version", "ecosystem"], "left")
+    remote = F.when(F.coalesce("version", F.lit("")) != "", F.col("_remote"))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counted = found.groupBy(sbom).agg(F.count("*").alias("components"), n(F.col("_local")).alias("local_hits"), n(remote).alias("advisory_hits"))
+    return counted.withColumn("issues", F.col("local_hits") + F.col("advisory_hits"))
 
 
 def affected_tenants(releases: DataFrame, packages: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ def q_decode_scan(spark, sf_dir):
 
 
 # --- diffs, chunks ------------------------------------------------------------------------------------
-SQL_PREV = "v AS (SELECT doc_id, source, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS old_id FROM documents)"
+SQL_PREV = "v AS (SELECT d.doc_id, o.doc_id AS old_id FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id - 20)"
 
 
 @query(f"""WITH {B.SQL_LINES}, {SQL_PREV}, n AS (SELECT v.doc_id, line, count(*) AS c FROM v JOIN lines USING (doc_id) WHERE old_id IS NOT NULL GROUP BY ALL),
@@ -212,11 +212,11 @@ SQL_PREV = "v AS (SELECT doc_id, source, lag(doc_id) OVER (PARTITION BY source O
     SELECT doc_id, sum(greatest(coalesce(n.c, 0) - coalesce(o.c, 0), 0))::BIGINT AS lines_added, sum(greatest(coalesce(o.c, 0) - coalesce(n.c, 0), 0))::BIGINT AS lines_removed
     FROM n FULL JOIN o USING (doc_id, line) WHERE coalesce(n.c, 0) <> coalesce(o.c, 0) GROUP BY doc_id""")
 def q_linediff(spark, sf_dir):
-    docs = B.documents(spark, sf_dir)
-    pair = docs.select("doc_id", F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("old_id")).where("old_id is not null")
-    ln = B.doc_lines(spark, sf_dir).select(F.col("doc_id").alias("at"), "line")
-    new = pair.join(ln, F.col("doc_id") == F.col("at")).select("doc_id", "line")
-    old = pair.join(ln, F.col("old_id") == F.col("at")).select("doc_id", "line")
+    """Each document against the one twenty numbers before, the older version."""
+    ln, ids = B.doc_lines(spark, sf_dir).select("doc_id", "line"), B.documents(spark, sf_dir).select("doc_id")
+    old_ids, new_ids = ids.select((F.col("doc_id") + 20).alias("doc_id")), ids
+    new = ln.join(old_ids, "doc_id", "left_semi")
+    old = ln.withColumn("doc_id", F.col("doc_id") + 20).join(new_ids, "doc_id", "left_semi")
     return lines.line_diff(old, new, ("doc_id",)).groupBy("doc_id").agg(F.sum("added").alias("lines_added"), F.sum("removed").alias("lines_removed"))
 
 
@@ -497,11 +497,11 @@ def q_queue_retention(spark, sf_dir):
 VER = "ver AS (SELECT p_brand, p_partkey, (p_partkey % 4) || '.' || p_size || '.' || p_partkey % 7 AS version, p_partkey % 4 AS a, p_size AS b, p_partkey % 7 AS c FROM part)"
 
 
-@query(f"WITH {VER} SELECT p_partkey, version, lag(version) OVER (PARTITION BY p_brand ORDER BY a, b, c, p_partkey) AS previous FROM ver")
+@query(f"WITH {VER} SELECT p_partkey, version, lag(version) OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY a, b, c, p_partkey) AS previous FROM ver")
 def q_version_sort_semver(spark, sf_dir):
     k = F.col("p_partkey")
     v = B.table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.concat_ws(".", (k % 4).cast("string"), F.col("p_size").cast("string"), (k % 7).cast("string")).alias("version"))
-    w = Window.partitionBy("p_brand").orderBy("key", "p_partkey")
+    w = Window.partitionBy("p_brand", F.floor(F.col("p_partkey") / 1000)).orderBy("key", "p_partkey")  # groups of keys, so that they stay small
     return v.withColumn("key", T.semver_key(F.col("version"))).select("p_partkey", "version", F.lag("version").over(w).alias("previous"))
 
 
@@ -669,12 +669,12 @@ def q_stream_sessions(spark, sf_dir):
 
 # --- more of verdicts, versions and kept tables -----------------------------------------------------------------
 @query("""WITH v AS (SELECT p_brand, p_partkey, p_partkey % 3 AS a, p_size AS b, p_partkey % 2 AS final, p_partkey % 5 AS rc FROM part)
-    SELECT p_partkey, a || '.' || b || CASE WHEN final = 1 THEN '' ELSE 'rc' || rc END AS version, row_number() OVER (PARTITION BY p_brand ORDER BY a, b, final, CASE WHEN final = 1 THEN 0 ELSE rc END, p_partkey)::INTEGER AS place FROM v""")
+    SELECT p_partkey, a || '.' || b || CASE WHEN final = 1 THEN '' ELSE 'rc' || rc END AS version, row_number() OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY a, b, final, CASE WHEN final = 1 THEN 0 ELSE rc END, p_partkey)::INTEGER AS place FROM v""")
 def q_version_sort_pep440(spark, sf_dir):
     k = F.col("p_partkey")
     v = B.table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.concat((k % 3).cast("string"), F.lit("."), F.col("p_size").cast("string"), F.when(k % 2 == 1, "").otherwise(F.concat(F.lit("rc"), (k % 5).cast("string")))).alias("version"))
     keyed = v.withColumn("key", T.pep440_key(F.col("version")))
-    return keyed.select("p_partkey", "version", F.row_number().over(Window.partitionBy("p_brand").orderBy("key", "p_partkey")).alias("place"))
+    return keyed.select("p_partkey", "version", F.row_number().over(Window.partitionBy("p_brand", F.floor(F.col("p_partkey") / 1000)).orderBy("key", "p_partkey")).alias("place"))
 
 
 @query("""SELECT user_id::VARCHAR AS name, CASE WHEN event_id % 2 = 0 THEN 'MAL-' ELSE 'GHSA-' END || event_id AS advisory_id, CASE WHEN event_id % 2 = 0 THEN 'MALICIOUS' ELSE 'SUSPICIOUS' END AS verdict,

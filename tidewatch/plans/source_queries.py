@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..operators import lines, manifests, rules, signals, tenants, triage
-from ..sources import feeds, files, lockfiles, metadata
+from ..operators import chunks, manifests, signals, tenants, triage
+from ..sources import feeds, lockfiles, metadata
 from ..sources.boms import bom_components
 from . import bindings as B
 from .queries import COMP, DEP, KB, TP, _depends_on, _known_bad, _tenant_packages, query
@@ -72,6 +71,14 @@ def q_manifest_kinds(spark, sf_dir):
     return manifests.new_dependencies(diffs).drop("path", "line_number")
 
 
+@query("""SELECT conv_id, turn // 4 AS chunk_index, string_agg(CASE WHEN turn % 5 = 4 THEN '[Binary file: f' || turn || ']' ELSE '--- f' || turn || chr(10) || coalesce(text, '') END, chr(10) || chr(10) ORDER BY turn, 'f' || turn, text) AS text FROM conversations GROUP BY ALL""")
+def q_chunk_text(spark, sf_dir):
+    """What an analyzer is given of each chunk."""
+    t = c("turn")
+    f = B.table(spark, sf_dir, "conversations").select("conv_id", F.floor(t / 4).alias("chunk_index"), t.alias("place"), _text("f", t).alias("path"), c("text").alias("content"), (t % 5 == 4).alias("is_binary"))
+    return chunks.rendered(f, "conv_id")
+
+
 # --- polls and metadata ------------------------------------------------------------------------------------
 @query("""WITH v AS (SELECT p_brand || '/' || p_size AS name, p_partkey % 7 AS a, p_partkey % 11 AS b, p_partkey % 3 AS c FROM part), t AS (SELECT name, max(a * 10000 + b * 100 + c) AS top FROM v GROUP BY name)
     SELECT name, (top // 10000) || '.' || (top // 100 % 100) || '.' || (top % 100) AS version, '6.10.2' AS previous_version FROM t WHERE top <> 61002""")
