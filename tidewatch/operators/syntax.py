@@ -91,13 +91,18 @@ def findings(tree: ast.AST) -> dict[tuple[str, int], str]:
 
 
 def parse_lines(numbers: list[int], lines: list[str]) -> dict[tuple[str, int], str]:
-    """Findings of added lines at their numbers: as one sparse module, or else line by line."""
-    at = dict(zip(numbers, lines))
-    if max(at, default=0) < 10 * len(lines) + 100_000:
-        try:
-            return findings(ast.parse("\n".join(at.get(i, "") for i in range(1, max(at, default=0) + 1))))
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            pass
+    """Findings of added lines at their numbers: as one module, in which an empty line stands for each gap, or else line by line."""
+    at = dict(sorted(zip(numbers, lines)))
+    rows, place = [], {}
+    for number, line in at.items():
+        if rows and number - 1 not in at:
+            rows.append("")
+        rows.append(line)
+        place[len(rows)] = number
+    try:
+        return {(kind, place.get(row, place.get(row + 1, row))): e for (kind, row), e in findings(ast.parse("\n".join(rows))).items()}
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        pass
     out = {}
     for number, line in at.items():
         try:

@@ -8,6 +8,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.tenants import advisory_severity
 
@@ -48,7 +49,7 @@ def holders(files: DataFrame, items: DataFrame, key: str = "doc_id", item: str =
     """
     kinds = {f.name: f.dataType for f in items.schema} | {f.name: f.dataType for f in files.schema}
     schema = f"`{key}` {kinds[key].simpleString()}, `{item}` {kinds[item].simpleString()}"
-    spark = files.sparkSession
+    spark, types = files.sparkSession, (to_arrow_type(kinds[key]), to_arrow_type(kinds[item]))
 
     def search(rows: list[tuple]) -> DataFrame:
         shared = spark.sparkContext.broadcast(rows)
@@ -69,7 +70,7 @@ def holders(files: DataFrame, items: DataFrame, key: str = "doc_id", item: str =
                     held.update(always)
                     keys += [k] * len(held)
                     ids += held
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(ids)] if ids else [batch.column(0).slice(0, 0), pa.array([], pa.string() if kinds[item].simpleString() == "string" else pa.int64())], [key, item])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, types[0]), pa.array(ids, types[1])], [key, item])
 
         return files.where(F.col(text).isNotNull()).select(key, text).mapInArrow(found, schema)
 
