@@ -1,4 +1,7 @@
-"""The corpus pipeline: documents are filtered, deduplicated, mixed and packed, each stage on what the one before kept."""
+"""The corpus pipeline: documents are filtered, deduplicated, mixed and packed, each stage on what the one before kept.
+
+All stages take nulls in any column, texts of any length, repeated rows and ids, columns of any other name, and empty tables (which stay empty). All but the last keep all columns of the rows that they keep.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +16,27 @@ from tidewatch.llm.quality import fit, keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents that the classifier rejects go."""
+    """Operator 9: documents that the classifier rejects go. Null texts are scored as empty; rows that repeat are judged alike; a score of exactly one half stays."""
     return keep_good(docs, *fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of equal texts the one with the least doc_id stays."""
+    """Operator 3: of equal texts the one with the least doc_id stays. Null texts are empty ones, null ids come last, and of rows that repeat an id and a text one stays."""
     return keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of near-duplicates the one with the least doc_id stays."""
+    """Operator 4: of near-duplicates the one with the least doc_id stays. Texts without words are like nothing and stay; null ids come last; of rows that repeat an id and a text one stays."""
     return keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents are drawn so that sources, languages and topics have their shares."""
+    """Operator 8: documents are drawn so that sources, languages and topics have their shares. Nulls are of no named share; rows with one id are drawn together."""
     return mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: the pieces of the documents and their places in sequences."""
+    """Operator 6: the pieces of the documents and their places in sequences. Null and empty texts are one end token; rows that repeat are packed each."""
     return pack(docs)
 
 
