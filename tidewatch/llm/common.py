@@ -56,12 +56,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def even_keys(spark: SparkSession, n: int) -> list[int]:
-    """n int keys, the i-th of which Spark's hash partitioning puts into partition i of n: so many groups of like size are one a task."""
+def even_keys(spark: SparkSession, n: int, each: int = 1) -> list[int]:
+    """each * n int keys, of which Spark's hash partitioning puts the i-th into partition i // each of n: groups of like size are dealt out evenly."""
     key = F.col("id").cast("int")
-    found = spark.range(40 * n).groupBy(F.pmod(F.hash(key), F.lit(n)).alias("p")).agg(F.min(key).alias("k")).collect()
-    keys = {r["p"]: r["k"] for r in found}
-    return [keys.get(i, 40 * n + i) for i in range(n)]
+    found = spark.range(40 * each * n).select(key.alias("k"), F.pmod(F.hash(key), F.lit(n)).alias("p")).groupBy("p").agg(F.slice(F.array_sort(F.collect_list("k")), 1, each).alias("k")).collect()
+    keys, spare = {r["p"]: r["k"] for r in found}, iter(range(40 * each * n, 41 * each * n))
+    return [k for i in range(n) for k in [*keys.get(i, []), *(next(spare) for _ in range(each - len(keys.get(i, []))))]]
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
