@@ -194,13 +194,22 @@ def q_syntax_findings(spark, sf_dir):
     return syntax.syntax_findings(lines.added_lines(B.code_diffs(spark, sf_dir)), "file_id")
 
 
-@query()
+_WORDS = _q("(?i)" + "|".join(C.DECODED_WORDS))
+_HAS = lambda words: "(" + " OR ".join(f"contains(lower(line), {_q(w)})" for w in words) + ")"
+
+
+@query(f"""WITH {B.sql_code()}, m AS (SELECT doc_id, line_no, line, CASE WHEN line_no % 5 = 4 THEN 'rot13' WHEN line_no % 3 = 0 THEN 'base64' ELSE 'hex' END AS encoding FROM code),
+    e AS (SELECT *, CASE encoding WHEN 'rot13' THEN translate(line, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') WHEN 'base64' THEN to_base64(encode(line)) ELSE lower(hex(encode(line))) END AS encoded FROM m),
+    h AS (SELECT *, row_number() OVER (PARTITION BY doc_id, encoding, encoded, CASE WHEN encoding = 'rot13' THEN line_no END ORDER BY line_no) AS n FROM e
+          WHERE regexp_matches(line, {_WORDS}) AND CASE encoding WHEN 'rot13' THEN length(line) > 10 WHEN 'base64' THEN length(rtrim(encoded, '=')) >= 20 ELSE length(encoded) >= 16 END)
+    SELECT doc_id, line_no AS line_number, encoding, left(encoded, 50) AS encoded, left(line, 200) AS decoded,
+    CASE WHEN encoding = 'base64' AND {_HAS(C.BASE64_CRITICAL)} OR encoding = 'hex' AND {_HAS(C.HEX_CRITICAL)} THEN 'CRITICAL' ELSE 'HIGH' END AS severity, len(regexp_extract_all(line, {_WORDS}))::BIGINT AS n_words FROM h WHERE n = 1""")
 def q_decode_scan(spark, sf_dir):
     """Lines of code that Spark encodes, as literals of a program, found and decoded again."""
     c = B.code_lines(spark, sf_dir)
     coded = F.when(F.col("line_no") % 3 == 0, F.base64(F.encode("line", "utf-8"))).otherwise(F.lower(F.hex(F.encode("line", "utf-8"))))
     made = F.when(F.col("line_no") % 5 == 4, T.rot13(F.col("line"))).otherwise(F.concat(F.lit('p = "'), coded, F.lit('"')))
-    return decode.decoded_payloads(c.select("doc_id", F.col("line_no").alias("seq"), F.col("line_no").alias("line_number"), made.alias("line")), ("doc_id",))
+    return decode.decoded_payloads(c.select("doc_id", F.col("line_no").alias("seq"), F.col("line_no").cast("long").alias("line_number"), made.alias("line")), ("doc_id",))
 
 
 # --- diffs, chunks ------------------------------------------------------------------------------------
