@@ -22,7 +22,7 @@ def import_signals(added: DataFrame, key: tuple[str, ...]) -> DataFrame:
     added: key..., seq, line_number, line. `import a, b as c` judges each module; `from m import x, y` judges m with the names.
     """
     line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    plain, origin = r"^import\s+([\w.,\s]+?)(?:\s+as\s+\w+)?$", r"^from\s+([\w.]+)\s+import\s+(.+)"
+    plain, origin = C.IMPORT_LINE, C.FROM_LINE
     listed = F.col("line").contains(",") & ~line.startswith("from") & line.rlike(r"^import\s")
     no_names = F.array().cast("array<string>")
     names = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_extract(line, origin, 2), r"^[\s()]+|[\s()]+$", ""), ","), lambda n: F.trim(n)), lambda n: (n != "") & (n != "*"))

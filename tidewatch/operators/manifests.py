@@ -9,14 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
+from ..functions.catalog import CRATE, CRATE_TABLE, CRATE_VERSION, GO, PACKAGE, PACKAGE_SECTION, PYPI
 from .lines import file_lines
 
-PACKAGE = r'^\s*"(@?[a-zA-Z0-9_\-./]+)"\s*:\s*"([^"]+)'
-PACKAGE_SECTION = r'"(dependencies|devDependencies|peerDependencies|optionalDependencies)"\s*:\s*\{'
-PYPI = r'^\s*"?([A-Za-z0-9_\-\.]+)\s*([><=!~\^][^"#,\n]*)?'
-GO = r"^\s*([a-zA-Z0-9_.\-/]+\.[a-zA-Z]{2,}[a-zA-Z0-9_.\-/]*)\s+v?([^\s]+)"
-CRATE, CRATE_TABLE, CRATE_VERSION = r'^([a-zA-Z0-9_\-]+)\s*=\s*"([^"]+)"\s*$', r"^([a-zA-Z0-9_\-]+)\s*=\s*\{", r'version\s*=\s*"([^"]+)"'
-
 
 def manifest_kind(path: Column) -> Column:
     """npm, go, cargo, cargo-lock, pypi, or both (npm and pypi) for names that say nothing."""
