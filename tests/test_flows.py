@@ -170,3 +170,11 @@ def test_findings_of_tenants(spark):
 def test_syntax_of_far_apart_lines():
     numbers, code = [5, 10**12, 10**12 + 1, 3 * 10**12], ["e = exec", "if x:", "    e('y')", "eval(z)"]
     assert {k for k in syntax.parse_lines(numbers, code)} == {("ALIASED_EXEC", 10**12 + 1), ("DIRECT_EXEC_EVAL", 3 * 10**12)}
+
+
+def test_ready_made_diffs(spark, tmp_path):
+    (tmp_path / "a.diff").write_text("--- a/x.py\n+++ b/pkg/x.py\n@@ -0,0 +1 @@\n+os.system('x')\n"), (tmp_path / "b.diff").write_text("+y")
+    got = {r.file_id: r for r in files.read_diffs(spark, str(tmp_path)).collect()}
+    assert (got["a.diff"].path, got["b.diff"].path) == ("pkg/x.py", "b.diff")
+    found = rules.text_matches(lines.added_files(files.read_diffs(spark, str(tmp_path))), ("file_id",)).collect()
+    assert [(r.file_id, r.rule_id, r.line_number) for r in found] == [("a.diff", "OS_SYSTEM", 1)]

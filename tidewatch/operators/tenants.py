@@ -21,6 +21,12 @@ def merged_watchlist(*lists: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def watchlist_counts(lists: DataFrame) -> DataFrame:
+    """ecosystem, packages (different ones), listed (over all lists); lists: ecosystem, name, list."""
+    per = lists.groupBy("ecosystem", "name").agg(F.countDistinct("list").alias("n"))
+    return per.groupBy("ecosystem").agg(F.count("*").alias("packages"), F.sum("n").alias("listed"))
+
+
 def known_bad_hits(components: DataFrame, known_bad: DataFrame, version: str = "version") -> DataFrame:
     """components with verdict and severity of the known-bad release of exactly that name, version and ecosystem; signs at the left of a version are cut."""
     kb = known_bad.select("name", F.col("version").alias("_v"), "ecosystem", F.col("verdict").alias("kb_verdict"), F.col("severity").alias("kb_severity"))

@@ -166,6 +166,33 @@ def q_reputation_lookup(spark, sf_dir):
     return signals.judged_reputation(p.select("name", "ecosystem"), found, F.lit("2024-01-01 00:00:00").cast("timestamp")).select("name", "ecosystem", "severity", "boost")
 
 
+# --- admission, watchlists, answers by place -----------------------------------------------------------------
+@query("SELECT ecosystem, name, version, serial FROM (SELECT event_type AS ecosystem, user_id::VARCHAR AS name, coalesce(json_extract_string(props, '$.k'), '') AS version, event_id AS serial, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) WHERE n <= 100")
+def q_admission(spark, sf_dir):
+    """The limit is the feature: so many releases of each ecosystem in one cycle."""
+    e = B.table(spark, sf_dir, "events").select(c("event_type").alias("ecosystem"), c("user_id").cast("string").alias("name"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("version"), c("event_id").alias("serial"))
+    return feeds.admitted(e, 100)
+
+
+@query("SELECT ecosystem, count(DISTINCT name) AS packages, count(*)::BIGINT AS listed FROM (SELECT DISTINCT l_returnflag AS ecosystem, l_partkey AS name, l_linestatus AS list FROM lineitem) GROUP BY ecosystem")
+def q_watchlist_counts(spark, sf_dir):
+    return tenants.watchlist_counts(B.table(spark, sf_dir, "lineitem").select(c("l_returnflag").alias("ecosystem"), c("l_partkey").alias("name"), c("l_linestatus").alias("list")))
+
+
+@query("SELECT event_id::VARCHAR AS name, user_id::VARCHAR AS version, 'npm' AS ecosystem, CASE WHEN event_id % 50 < 45 AND event_id % 3 = 0 THEN 'A' || event_id ELSE '' END AS ids FROM events")
+def q_answers_by_place(spark, sf_dir):
+    """Batches of fifty packages, whose answers stop after forty-five."""
+    from ..sources.known_bad import paired
+
+    i = c("event_id")
+    e = B.table(spark, sf_dir, "events").withColumn("batch", F.floor(i / 50))
+    package = F.struct(i.alias("at"), i.cast("string").alias("name"), c("user_id").cast("string").alias("version"), F.lit("npm").alias("ecosystem"))
+    answer = F.struct(i.alias("at"), F.when(i % 3 == 0, F.array(F.struct(_text("A", i).alias("id")))).alias("vulns"))
+    made = e.groupBy("batch").agg(F.array_sort(F.collect_list(package)).alias("packages"), F.array_sort(F.collect_list(F.when(i % 50 < 45, answer))).alias("results"))
+    answers = made.select("batch", F.to_json(F.struct(F.transform("results", lambda r: F.struct(r["vulns"].alias("vulns"))).alias("results"))).alias("body"))
+    return paired(made.select("batch", "packages"), answers).select("name", "version", "ecosystem", F.array_join(F.transform("vulns", lambda v: v["id"]), ",").alias("ids"))
+
+
 # --- triage and the tenant flow ------------------------------------------------------------------------------
 #: What all lines of a release say, by doc_id % 8 ({w}: the line's first word); 7 is a manifest. The reason that each has, if there are lines.
 KINDS = (("y = 1  # {w}", None), ("# comment {w}", "likely benign"), ("exec(base64.b64decode('{w}'))", "critical rule"), ("import ctypes", "critical import"),

@@ -44,6 +44,14 @@ def top_packages(counts: DataFrame, n: int) -> DataFrame:
     return counts.orderBy(F.desc("uses"), "name").limit(n)
 
 
+def admitted(releases: DataFrame, limit: int, order: str = "serial") -> DataFrame:
+    """The first `limit` releases of each ecosystem (0: all); the cursor, which counts all events, is next_cursor's."""
+    if not limit:
+        return releases
+    n = F.row_number().over(Window.partitionBy("ecosystem").orderBy(order, "name", "version"))
+    return releases.withColumn("_n", n).where(F.col("_n") <= limit).drop("_n")
+
+
 def release_url(ecosystem, name, version):
     return (F.when(ecosystem == "pypi", F.format_string("https://pypi.org/project/%s/%s/", name, version)).when(ecosystem == "go", F.format_string("https://pkg.go.dev/%s@%s", name, version))
             .when(ecosystem == "cargo", F.format_string("https://crates.io/crates/%s/%s", name, version)).otherwise(F.format_string("https://www.npmjs.com/package/%s/v/%s", name, version)))

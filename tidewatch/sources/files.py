@@ -27,6 +27,13 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.substring("path", after, F.length("path")).alias("path"), "content", "length")
 
 
+def read_diffs(spark: SparkSession, root: str) -> DataFrame:
+    """file_id, path, content: ready-made diffs, one for each file under root; their path is that of the diff's own +++ line, where there is one."""
+    rows = read_tree(spark, root).select(F.col("path").alias("file_id"), as_text(F.col("content")).alias("content"))
+    named = F.regexp_extract("content", r"(?m)^\+\+\+ (?:b/)?([^\t\r\n]+)", 1)
+    return rows.select("file_id", F.coalesce(F.nullif(named, F.lit("")), F.col("file_id")).alias("path"), "content")
+
+
 def as_text(content: Column) -> Column:
     """UTF-8 with U+FFFD for what is not; null as empty."""
     return F.coalesce(F.make_valid_utf8(content.cast("string")), F.lit(""))

@@ -34,6 +34,17 @@ def advisories(responses: DataFrame) -> DataFrame:
                        F.when(F.col("v.id").startswith("MAL-"), "MALICIOUS").otherwise("SUSPICIOUS").alias("verdict"), cve.alias("cve"), F.coalesce("v.summary", F.left("v.details", F.lit(200))).alias("summary"))
 
 
+def paired(sent: DataFrame, answers: DataFrame) -> DataFrame:
+    """name, version, ecosystem, vulns: a batch's answers belong to its packages by place; packages past the end of the answers have none.
+
+    sent: batch, packages (array of name, version, ecosystem in the order sent). answers: batch, body ({"results": [{"vulns": [...]}, ...]}).
+    """
+    result = ADVISORY.replace("struct<vulns", "struct<results: array<struct<vulns", 1) + ">>"
+    both = sent.join(answers, "batch", "left").select("packages", F.from_json("body", result)["results"].alias("results"))
+    each = both.select(F.posexplode("packages").alias("at", "p"), "results")
+    return each.select("p.name", "p.version", "p.ecosystem", F.coalesce(F.get("results", F.col("at"))["vulns"], F.array()).alias("vulns"))
+
+
 def batches(packages: DataFrame, size: int = 100) -> DataFrame:
     """Request bodies of `size` packages each, numbered within their partition: batch, n, body. No shuffle, no single task."""
     numbered = packages.withColumn("_i", F.monotonically_increasing_id()).withColumn("batch", F.floor(F.col("_i") / size))
