@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .filter_audit import audit_filters
+from .html_extract import extract_pages
 from .mixing import mix_report
 from .near_dedup import near_groups
 from .packing import pack
 from .pitman_yor import score_documents
+from .prefix_trie import prefix_trie
 from .quality import fit, score_quality
 from .suffix_dedup import cut_repeats
 from .surrogates import replace_entities
@@ -64,7 +67,19 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "text", "n_entities", F.array_join(F.transform("entities", lambda e: e["kind"]), ",").alias("kinds"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_exact_dedup, op4_near_dedup, op5_lm_scores, op6_packing, op7_url_filter, op8_mixing, op9_quality_classifier, op10_pii_surrogates)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_exact_dedup, op4_near_dedup, op5_lm_scores, op6_packing, op7_url_filter, op8_mixing, op9_quality_classifier, op10_pii_surrogates, op11_filter_audit, op12_prefix_trie, op13_html_extract)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
@@ -99,4 +114,40 @@ ORACLES = {
              q AS (SELECT host, parent, template, round((CASE WHEN own THEN b ELSE sb END + 4 * prior) / (CASE WHEN own THEN n ELSE sn END + 4), 9) AS purity FROM o)
         SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, purity
         FROM s JOIN q USING (host, parent, template)""",
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
+             w AS (SELECT *, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY body) AS first FROM d),
+             m AS (SELECT doc_id, part, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words), 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body),
+                          regexp_matches(body, '[#$%&*|]'), coalesce(first < doc_id, false)] AS fails FROM w),
+             l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+             c AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+             f AS (SELECT unnest(generate_series(1, 5)) AS i),
+             o AS (SELECT [a.i, b.i, x.i, y.i, z.i] AS p FROM f a, f b, f x, f y, f z WHERE len(list_distinct([a.i, b.i, x.i, y.i, z.i])) = 5),
+             s AS (SELECT part, p, step, p[step] AS filter, n, good, toxic, fails[p[step]] AS hit, len(list_filter(fails, lambda t: t)) = 1 AS single,
+                          coalesce(list_position(list_transform(p, lambda i: fails[i]), true), 6) AS gone FROM c, o, (SELECT unnest(generate_series(1, 5)) AS step)),
+             r AS (SELECT part, p, step, filter, sum(n) FILTER (gone > step) AS kept, sum(n) FILTER (gone = step) AS removed, sum(n) FILTER (hit AND gone < step) AS redundant,
+                          sum(n) FILTER (hit AND single) AS unique_fails, sum(good) FILTER (gone = step) AS good_lost, sum(toxic) FILTER (gone = step) AS toxic_lost FROM s GROUP BY ALL)
+        SELECT part, array_to_string(list_transform(p, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+               coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+               coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley FROM r""",
+    "op12_prefix_trie": r"""
+        WITH byte AS (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS x FROM (SELECT unnest(generate_series(0, 255))::BIGINT AS i)),
+             crcs AS (SELECT list(x ORDER BY i) AS t FROM byte),
+             t AS (SELECT conv_id, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS key, strlen(coalesce(text, ''))::BIGINT AS bytes,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+             h AS (SELECT conv_id, n, conv_id - conv_id % 5 AS base,
+                          xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, crcs.t[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h FROM n, crcs),
+             c AS (SELECT h.*, least(h.h, coalesce(b.n, 0)) AS taken FROM h LEFT JOIN n b ON b.conv_id = h.base),
+             r AS (SELECT c.conv_id, t.place AS depth, key, bytes FROM c JOIN t ON t.conv_id = c.base WHERE t.place <= c.h
+                   UNION ALL SELECT c.conv_id, taken + t.place - c.h, key, bytes FROM c JOIN t ON t.conv_id = c.conv_id WHERE t.place > c.h),
+             p AS (SELECT conv_id, depth, bytes, list(key) OVER (PARTITION BY conv_id ORDER BY depth) AS path, max(depth) OVER (PARTITION BY conv_id) AS len FROM r),
+             a AS (SELECT conv_id, depth, bytes, path, len FROM p UNION ALL SELECT conv_id, 0, 0, [], coalesce((SELECT max(depth) FROM r WHERE r.conv_id = c.conv_id), 0) FROM c),
+             g AS (SELECT path, depth, min(conv_id) AS m, count(*) AS n_convs, max(bytes) AS bytes, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len = depth) AS ends FROM a GROUP BY path, depth),
+             k AS (SELECT g.*, u.m AS pm FROM g LEFT JOIN g u ON u.depth = g.depth - 1 AND u.path = g.path[:g.depth - 1]),
+             q AS (SELECT k.*, coalesce(x.n, 0) AS n_children FROM k LEFT JOIN (SELECT pm, depth - 1 AS depth, count(*) AS n FROM k WHERE depth > 0 GROUP BY ALL) x ON x.pm = k.m AND x.depth = k.depth),
+             e AS (SELECT n_children = 0 AS leaf, (n_convs - 1) * bytes AS saved, unnest(list_transform(generate_series(0, depth), lambda i: path[:i])) AS path FROM q),
+             s AS (SELECT path, sum(leaf::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM e GROUP BY path)
+        SELECT m AS conv_id, depth, pm AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM q JOIN s USING (path)""",
 }
