@@ -96,7 +96,8 @@ class Page:
         """Ends the block that is being read."""
         text = " ".join("".join(self._parts).split())
         if text:
-            self.blocks.append((self._stack[-1], text, max(0, len(text) - self._linked)))
+            own = next(i for i in reversed(self._stack) if self.tag[i] in BLOCK)
+            self.blocks.append((own, text, max(0, len(text) - self._linked)))
         self._parts.clear()
         self._linked, self._link = 0, False
 
