@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from tidewatch.plans import queries as q
-from tidewatch.plans import source_queries  # noqa: F401  registers more
+from tidewatch.plans import source_queries, stream_queries  # noqa: F401  register more
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..functions.text import gap_days, severity_rank
+from .ranges import with_previous_row
 
 SIGNAL = "struct<signal_id: string, severity: string, boost: double>"
 
@@ -64,8 +65,7 @@ def is_security_package(name: Column) -> Column:
 
 def with_previous(versions: DataFrame, by: tuple[str, ...], order: list, *columns: str) -> DataFrame:
     """versions with prev_<column> of the version before, per package."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return versions.select("*", *(F.lag(c).over(w).alias(f"prev_{c}") for c in columns))
+    return with_previous_row(versions, by, order, {f"prev_{c}": c for c in columns})
 
 
 def dormancy(name: Column, previous: Column, now: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import semver_key
+from ..operators.ranges import with_previous_row
 
 
 def new_from_log(log: DataFrame, watchlist: DataFrame, since: int, action: str = "new release") -> DataFrame:
@@ -21,8 +22,8 @@ def next_cursor(log: DataFrame, since: int) -> DataFrame:
 
 def latest_changes(feed: DataFrame, by: str = "name", value: str = "latest", order: str = "seq") -> DataFrame:
     """npm's feed: rows whose `latest` differs from the one seen before; the first sighting of a package is only recorded."""
-    w = Window.partitionBy(by).orderBy(order)
-    return feed.withColumn("previous", F.lag(value).over(w)).where(F.col("previous").isNotNull() & (F.col("previous") != F.col(value)))
+    seen = with_previous_row(feed, (by,), [order], {"previous": value})
+    return seen.where(F.col("previous").isNotNull() & (F.col("previous") != F.col(value)))
 
 
 def polled_latest(snapshot: DataFrame, known: DataFrame) -> DataFrame:

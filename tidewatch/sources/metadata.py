@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import with_previous_row
+
 PYPI = "struct<info: struct<author: string, version: string>, releases: map<string, array<struct<upload_time_iso_8601: string, upload_time: string, filename: string>>>>"
 NPM = "struct<`dist-tags`: map<string, string>, time: map<string, string>, versions: map<string, struct<maintainers: array<struct<name: string>>, dependencies: map<string, string>, scripts: map<string, string>>>>"
 GO = "struct<Version: string, Time: string, Origin: struct<URL: string>>"
@@ -58,6 +60,5 @@ def crate_versions(docs: DataFrame) -> DataFrame:
 
 def transitions(versions: DataFrame, *columns: str) -> DataFrame:
     """versions with prev_version, prev_published and prev_<column> of the version published before; the first of a package has none and is left out."""
-    w = Window.partitionBy("name").orderBy("published", "version")
-    named = ("version", "published", *columns)
-    return versions.select("*", *(F.lag(c).over(w).alias(f"prev_{c}") for c in named)).where("prev_version is not null")
+    seen = with_previous_row(versions, ("name",), ["published", "version"], {f"prev_{c}": c for c in ("version", "published", *columns)})
+    return seen.where("prev_version is not null")

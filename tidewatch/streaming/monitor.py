@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType
@@ -49,6 +51,24 @@ def sessions(feed: DataFrame, gap: str = "30 minutes", late: str = "1 hour") ->
     return feed.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "name").agg(F.count("*").alias("n"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. Only on one machine may a temporary one stand for it."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: executors on other machines could not read what is written")
+    return found or tempfile.mkdtemp(prefix="tidewatch-")
+
+
+def drained(query: StreamingQuery, seconds: float = 0.2) -> StreamingQuery:
+    """Waits until a batch finds nothing to read, and stops. Where state expires, batches without rows go on for ever, so processAllAvailable would not return."""
+    while query.isActive and not (query.lastProgress and query.lastProgress.numInputRows == 0):
+        time.sleep(seconds)
+    if query.exception():
+        raise query.exception()
+    query.stop()
+    return query
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """All that is there now, as micro-batches, into Parquet; offsets and state are kept in `checkpoint`."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
