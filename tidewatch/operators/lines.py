@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines_of
+from .large_diffs import large_edits, unified
+from .ranges import kept
+
+#: Characters of both versions of a file up to which they are compared as a whole.
+LONG = 400_000
 
 
 def file_lines(files: DataFrame, content: str = "content", keep: tuple[str, ...] = ("file_id",)) -> DataFrame:
@@ -77,7 +82,8 @@ def unified_diffs(old_files: DataFrame, new_files: DataFrame, release: str = "re
 
     old_files, new_files: release, path, content, is_binary. Files are matched by a full outer join on their paths; equal ones are
     left out there, so only changed texts reach Python's difflib, one file after another in tasks that Spark deals out. New and deleted files are compared with
-    nothing; binary ones have no text and no lines. Header lines and marks are those of the usual form, three lines of context.
+    nothing; binary ones have no text and no lines. Header lines and marks are those of the usual form, three lines of context. Pairs of more than
+    `LONG` characters are cut at lines that both have and compared in parts (large_diffs).
     """
     o = old_files.select(release, "path", F.col("content").alias("old"), F.col("is_binary").alias("old_binary"), F.lit(True).alias("had"))
     n = new_files.select(release, "path", F.col("content").alias("new"), F.col("is_binary").alias("new_binary"), F.lit(True).alias("has"))
@@ -92,14 +98,26 @@ def unified_diffs(old_files: DataFrame, new_files: DataFrame, release: str = "re
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, added, removed = [], [], []
-            for path, old, new in zip(batch.column(1).to_pylist(), batch.column(5), batch.column(6)):
+            for path, old, new, edits in zip(batch.column(1).to_pylist(), *batch.columns[5:8]):
                 a, b = (io.StringIO(x.as_py(), newline=None).readlines() for x in (old, new))
-                rows = [r.rstrip("\n") for r in difflib.unified_diff(a, b, f"a/{path}", f"b/{path}", lineterm="")]
+                if edits.is_valid:
+                    edits = [(e["i1"], e["i2"], e["j1"], e["j2"]) for e in edits.as_py()]
+                    rows = [r.rstrip("\n") for r in unified(path, a, b, edits)]
+                else:
+                    rows = [r.rstrip("\n") for r in difflib.unified_diff(a, b, f"a/{path}", f"b/{path}", lineterm="")]
                 texts.append("\n".join(rows))
                 added.append(sum(r.startswith("+") for r in rows[2:])), removed.append(sum(r.startswith("-") for r in rows[2:]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(texts, pa.string()), pa.array(added, pa.int64()), pa.array(removed, pa.int64())], [*keep, "content", "lines_added", "lines_removed"])
 
-    return pair.select(*keep, text("old").alias("old"), text("new").alias("new")).mapInArrow(compared, schema)
+    pair = pair.select(*keep, text("old").alias("old"), text("new").alias("new"))
+    none = F.lit(None).cast("array<struct<i1: bigint, i2: bigint, j1: bigint, j2: bigint>>").alias("edits")
+    long = F.length("old") + F.length("new") > LONG
+    if pair.where(long).isEmpty():
+        return pair.select("*", none).mapInArrow(compared, schema)
+    split = lambda c: F.regexp_extract_all(F.regexp_replace(c, "\r\n?", "\n"), F.lit("[^\n]*\n|[^\n]+"), F.lit(0)).alias(c)
+    both = kept(pair.where(long).select(release, "path", split("old"), split("new")), "long-pairs")
+    edits = pair.where(long).join(large_edits(both, [release, "path"]), [release, "path"]).select(*pair.columns, "edits")
+    return pair.where(~long).select("*", none).unionByName(edits).mapInArrow(compared, schema)
 
 
 def diff_stats(old_files: DataFrame, new_files: DataFrame, release: str = "release_id") -> DataFrame:

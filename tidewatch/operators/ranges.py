@@ -47,11 +47,18 @@ def last_before(rows: DataFrame, by: tuple[str, ...], value: str, name: str) ->
     return joined.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(own), "_border")).drop("_border")
 
 
-def running_sum(rows: DataFrame, by: tuple[str, ...], value: str, name: str) -> DataFrame:
-    """rows of in_order() with `name`: the sum of value up to and with this row, of its key."""
+def running(rows: DataFrame, by: tuple[str, ...], value: str, name: str, over=F.sum) -> DataFrame:
+    """rows of in_order() with `name`: the sum (or `over`: F.max, F.min) of value up to and with this row, of its key."""
     own = Window.partitionBy(*by, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = rows.join(_borders(rows, by, F.sum(value), F.sum), [*by, "_range"], "left")
-    return joined.withColumn(name, F.sum(value).over(own) + F.coalesce("_border", F.lit(0))).drop("_border")
+    joined = rows.join(_borders(rows, by, over(value), over), [*by, "_range"], "left")
+    here, past = over(value).over(own), F.col("_border")
+    joined = joined.withColumn("_here", here)
+    both = F.col("_here") + F.coalesce(past, F.lit(0)) if over is F.sum else F.greatest("_here", past) if over is F.max else F.least("_here", past)
+    return joined.withColumn(name, both).drop("_border", "_here")
+
+
+def running_sum(rows: DataFrame, by: tuple[str, ...], value: str, name: str) -> DataFrame:
+    return running(rows, by, value, name)
 
 
 def split_by_size(df: DataFrame, by: tuple[str, ...], few: int = FEW) -> tuple[DataFrame, DataFrame | None]:

@@ -10,6 +10,7 @@ from .decode import decoded_payloads
 from .imports import import_signals
 from .lines import added_files, likely_benign
 from .manifests import new_dependencies, to_watch
+from .ranges import kept
 from .rules import chain_matches, merge_matches, text_matches
 from .signals import judged_reputation
 from .syntax import syntax_findings
@@ -27,7 +28,7 @@ def scanner_matches(diffs: DataFrame, known_bad: DataFrame, metrics: DataFrame,
     Only CRITICAL payloads and syntax findings and CRITICAL and HIGH imports become matches. Every new dependency is looked up.
     """
     files = diffs.where(~F.col("is_binary") & (F.coalesce("content", F.lit("")) != "")).select(F.concat_ws(_MARK, "release_id", "path").alias("file_id"), "path", "content")
-    added = added_files(files)
+    added = kept(added_files(files), "added")  # six scanners read it
     lines = added.select("file_id", F.inline("added"))
     columns = ["file_id", "phase", "rule_id", "category", "severity", "line_number", "evidence"]
 

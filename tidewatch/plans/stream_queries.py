@@ -73,3 +73,56 @@ def q_stream_versions(spark, sf_dir):
     q.processAllAvailable()
     q.stop()
     return spark.read.schema(made.schema).parquet(f"{root}/out")
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_orderkey % 7 = 0 AS late, o_orderkey % 11 = 0 AS never, o_orderkey % 13 = 0 AS gone FROM orders WHERE o_orderpriority = '1-URGENT'),
+    s AS (SELECT o_orderkey, 'chat' AS backend, 'sent' AS state, CASE WHEN late THEN 2 ELSE 1 END AS tries FROM a UNION ALL
+          SELECT o_orderkey, 'mail', CASE WHEN never AND gone THEN 'removed' WHEN never THEN 'failed' ELSE 'sent' END, CASE WHEN never THEN 2 ELSE 1 END FROM a)
+    SELECT backend, state, count(*) AS n, sum(tries)::BIGINT AS tries, count(*) FILTER (state = 'sent' OR backend = 'mail') AS n_alerted FROM s GROUP BY ALL""")
+def q_alert_ledger(spark, sf_dir):
+    """Urgent orders as alerts to two receivers, one of which fails at first and one for good for some; sent twice, then part of the dead letters is taken out."""
+    from ..streaming import delivery as D
+
+    root = f"{shared_folder(spark)}/ledger-{uuid4().hex}"
+    alerts = B.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("alert_id"), F.lit("MALICIOUS").alias("verdict"))
+    for batch in range(2):
+
+        def chat(rows, batch=batch):
+            return ((r["alert_id"], "busy" if batch == 0 and int(r["alert_id"]) % 7 == 0 else None) for r in rows)
+
+        def mail(rows):
+            return ((r["alert_id"], "no such address" if int(r["alert_id"]) % 11 == 0 else None) for r in rows)
+
+        D.route(alerts, {"chat": chat, "mail": mail}, root, batch)
+    D.take_out(D.dead_letters(D.events(spark, root)).where("cast(alert_id AS long) % 13 = 0"), root)
+    log = D.events(spark, root)
+    known = D.state_of(log).join(D.alerted(log).withColumn("alerted", F.lit(True)), "alert_id", "left")
+    return known.groupBy("backend", "state").agg(F.count("*").alias("n"), F.sum("tries").alias("tries"), F.count_if("alerted").alias("n_alerted"))
+
+
+@query(f"""WITH {SQL_ECO_LOG}, m AS (SELECT ((max(n) + {BATCHES - 1}) // {BATCHES})::BIGINT AS part FROM (SELECT count(*) AS n FROM log WHERE action = 'new release' GROUP BY ecosystem)),
+    c AS (SELECT *, sum((action = 'new release')::INT) OVER (PARTITION BY ecosystem ORDER BY serial)::BIGINT AS upto FROM log),
+    b AS (SELECT *, CASE WHEN action = 'new release' THEN (upto - 1) // part ELSE upto // part END AS batch FROM c, m)
+    SELECT batch, (CASE WHEN batch < 2 THEN 1 ELSE 2 END)::BIGINT AS version, count(*) AS n FROM b WHERE action = 'new release' AND name::BIGINT % 2 = CASE WHEN batch < 2 THEN 0 ELSE 1 END GROUP BY ALL""")
+def q_stream_watchlist(spark, sf_dir):
+    """Watched releases by batch, with a watch-list that is replaced while the stream runs: each batch keeps the list it began with."""
+    from ..operators import snapshots
+
+    root, limit = _landed(spark, sf_dir)
+    names = event_log(spark, sf_dir).select("name").distinct()
+    part = lambda k: names.where(F.col("name").cast("long") % 2 == k)
+    snapshots.save(part(0), f"{root}/watch", 1)
+
+    def keep(df: DataFrame, number: int) -> None:
+        if number == 2 and not replaced:
+            snapshots.save(part(1), f"{root}/watch", 2)
+            replaced.append(number)
+        watch, version = snapshots.of_batch(spark, f"{root}/watch", f"{root}/chosen", number, "name string")
+        mine = df.where("action = 'new release'").join(watch, "name", "left_semi")
+        mine.agg(F.count("*").alias("n")).select(F.lit(version).cast("long").alias("version"), "n").where("n > 0").write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    replaced: list[int] = []
+    q = release_stream(spark, f"{root}/log", f"{root}/cursor/at.json", limit).writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/state").start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.schema("version long, n long, batch long").parquet(f"{root}/out")
