@@ -32,6 +32,11 @@ def land(log: DataFrame, path: str, files: int) -> None:
     log.select(*COLUMNS).repartitionByRange(files, "serial").sortWithinPartitions("serial").write.mode("overwrite").parquet(path)
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
 @dataclass
 class Ranges(InputPartition):
     """A row group of a file, and the serials (after, up to) of each ecosystem that are of the batch."""
@@ -52,12 +57,9 @@ class LogReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {}
 
-    def _fs(self, path: str):
-        return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
     def _ranges(self) -> list[tuple[int, int, str, int]]:
         """(least serial, greatest, file, row group), in order. Files do not change, so each is opened once for its statistics."""
-        fs, root = self._fs(self.path)
+        fs, root = file_system(self.path)
         for info in fs.get_file_info(pafs.FileSelector(root, recursive=True)):
             if info.type == pafs.FileType.File and info.base_name.endswith(".parquet") and not info.base_name.startswith(("_", ".")) and info.path not in self.groups:
                 with fs.open_input_file(info.path) as f:
@@ -69,7 +71,7 @@ class LogReader(DataSourceStreamReader):
 
     def _here(self) -> dict[str, int]:
         if self.at is None:
-            fs, file = self._fs(self.cursor)
+            fs, file = file_system(self.cursor)
             if fs.get_file_info(file).type == pafs.FileType.File:
                 with fs.open_input_stream(file) as f:
                     self.at = json.loads(f.read())
@@ -83,7 +85,7 @@ class LogReader(DataSourceStreamReader):
         Only row groups after the least of all cursors are read, `ahead` of them at most, so an ecosystem without events costs no more than that; its
         cursor goes on to where the search ended. One that is met for the first time starts after `since`.
         """
-        start, fs = self._here(), self._fs(self.path)[0]
+        start, fs = self._here(), file_system(self.path)[0]
         found, left, behind = {}, {}, min(start.values(), default=self.since)
         ahead = [x for x in self._ranges() if x[1] > behind or not start][: self.ahead]
         waiting, end = set(start), behind  # ecosystems that may still get something
@@ -107,7 +109,7 @@ class LogReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         self.at = dict(end)
-        fs, file = self._fs(self.cursor)
+        fs, file = file_system(self.cursor)
         fs.create_dir(file.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(file) as f:
             f.write(json.dumps(end).encode())
@@ -115,7 +117,7 @@ class LogReader(DataSourceStreamReader):
         return [Ranges(file, g, mine) for lo, hi, file, g in self._ranges() if (mine := {e: (a, b) for e, (a, b) in spans.items() if hi > a and lo <= b})]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        fs = self._fs(self.path)[0]
+        fs = file_system(self.path)[0]
         with fs.open_input_file(partition.file) as f:
             for batch in pq.ParquetFile(f).iter_batches(row_groups=[partition.group], columns=COLUMNS):
                 table = pa.Table.from_batches([batch])

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from ..sources.release_log import file_system
 from .monitor import payload, shared_folder
 
 EVENTS = "alert_id string, backend string, state string, error string, body string, at timestamp, batch long"
@@ -83,15 +84,19 @@ def take_out(letters: DataFrame, ledger: str) -> None:
 
 
 class StatusListener(StreamingQueryListener):
-    """Keeps one row about a stream (status, updated_at, batch, rows, error) as a JSON file under `path`, for monitor.health."""
+    """Keeps one row about a stream (status, updated_at, batch, rows, error) as the JSON file `path`, for monitor.health. The file is replaced as a whole."""
 
-    def __init__(self, spark: SparkSession, path: str, name: str | None = None):
-        self.spark, self.path, self.name, self.batch, self.rows = spark, path, name, -1, 0
+    def __init__(self, path: str, name: str | None = None):
+        self.path, self.name, self.batch, self.rows = path, name, -1, 0
 
     def _write(self, status: str, error: str | None = None) -> None:
         now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
         row = json.dumps({"status": status, "updated_at": now, "batch": self.batch, "rows": self.rows, "error": error})
-        self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(self.path)
+        fs, file = file_system(self.path)
+        fs.create_dir(file.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(f"{file}.new") as f:
+            f.write(row.encode())
+        fs.move(f"{file}.new", file)
 
     def onQueryStarted(self, event) -> None:
         if self.name is None or event.name == self.name:
@@ -110,7 +115,7 @@ class StatusListener(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         if getattr(self, "id", None) == event.id:
-            self._write("failed" if event.exception else "stopped", event.exception and event.exception[:500])
+            self._write("failed" if event.exception else "stopped", event.exception)
 
 
 def status(spark: SparkSession, path: str) -> DataFrame:
