@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set (tests, one machine)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tidewatch.scratch.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors on other machines could not read what is written")
         found = tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set("tidewatch.scratch.dir", found)
     return found
