@@ -49,7 +49,7 @@ class Shingles:
     def _hash(self, word: bytes) -> int:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 400_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             found = self.known[word] = xxhash.xxh64_intdigest(word)
         return found

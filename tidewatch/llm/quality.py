@@ -25,7 +25,7 @@ class _Hashes(dict):
     """word -> 64-bit hash; forgets all when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -35,7 +35,7 @@ class _Forms(dict):
     """word -> 64-bit hash of its form: kinds of characters, runs as one, and whether it is long."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         kinds = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c for c in word.decode("utf-8", "replace"))
         runs = "".join(c for i, c in enumerate(kinds) if not i or kinds[i - 1] != c)
