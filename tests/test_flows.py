@@ -178,3 +178,14 @@ def test_ready_made_diffs(spark, tmp_path):
     assert (got["a.diff"].path, got["b.diff"].path) == ("pkg/x.py", "b.diff")
     found = rules.text_matches(lines.added_files(files.read_diffs(spark, str(tmp_path))), ("file_id",)).collect()
     assert [(r.file_id, r.rule_id, r.line_number) for r in found] == [("a.diff", "OS_SYSTEM", 1)]
+
+
+def test_latest_tag_and_its_predecessor(spark):
+    import json
+
+    from tidewatch.sources.metadata import npm_latest
+
+    doc = lambda latest, *versions: json.dumps({"dist-tags": {"latest": latest} if latest else {}, "versions": {v: {} for v in versions}})
+    rows = [("a", doc("1.10.0", "1.9.0", "1.10.0", "2.0.0-rc.1", "1.10.0-beta.2", "1.10.0-beta.11")), ("b", doc("1.0.0", "1.0.0", "2.0.0")), ("c", doc("3.0.0", "1.0.0")), ("d", doc(None, "1.0.0")), ("e", None), ("f", "{")]
+    got = {r.name: (r.version, r.previous_version) for r in npm_latest(spark.createDataFrame(rows, "name string, body string")).collect()}
+    assert got == {"a": ("1.10.0", "1.10.0-beta.11"), "b": ("1.0.0", None)}

@@ -237,3 +237,15 @@ def q_triage_flow(spark, sf_dir):
 def q_tenant_flow(spark, sf_dir):
     alerts = _known_bad(spark, sf_dir).select(c("name").alias("release_id"), "ecosystem", "name", "version", "verdict", "severity", F.lit(0.88).alias("confidence"), F.lit("s").alias("summary"))
     return tenants.tenant_findings(alerts, _tenant_packages(spark, sf_dir).select("tenant_id", "ecosystem", "name", "version"), _depends_on(spark, sf_dir))
+
+
+@query(f"""WITH {SQL_RELEASED}, v AS (SELECT DISTINCT name, version, split_part(version, '.', 1)::BIGINT AS a, split_part(version, '.', 2)::BIGINT AS b, max(published) OVER (PARTITION BY name, version) AS published FROM rel),
+    r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY published DESC, version DESC) AS place, lag(version) OVER (PARTITION BY name ORDER BY a, b) AS previous_version FROM v)
+    SELECT name::VARCHAR AS name, version, previous_version FROM r WHERE place = 1""")
+def q_npm_latest(spark, sf_dir):
+    """Documents whose tag names the version published last, which is seldom the greatest: its predecessor by precedence."""
+    r = _released(spark, sf_dir)
+    none = F.struct(F.array().cast("array<struct<name: string>>").alias("maintainers"))
+    tag = F.create_map(F.lit("latest"), F.max_by("version", F.struct("day", "version")))
+    docs = r.groupBy(c("name").cast("string").alias("name")).agg(F.to_json(F.struct(tag.alias("dist-tags"), F.map_from_entries(F.collect_list(F.struct("version", none))).alias("versions"))).alias("body"))
+    return metadata.npm_latest(docs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import semver_key
 from ..operators.ranges import with_previous_row
 
 PYPI = "struct<info: struct<author: string, version: string>, releases: map<string, array<struct<upload_time_iso_8601: string, upload_time: string, filename: string>>>>"
@@ -48,6 +49,17 @@ def npm_metrics(docs: DataFrame, downloads: DataFrame) -> DataFrame:
         "name", F.lit("npm").alias("ecosystem"), timestamp(F.try_element_at("d.time", F.lit("created"))).alias("first_published"), "weekly_downloads", F.size("d.versions").cast("long").alias("total_versions"))
 
 
+def npm_latest(docs: DataFrame) -> DataFrame:
+    """name, version, previous_version of each document: the version that the tag `latest` names and its predecessor by precedence among all versions (null if it is the least).
+
+    Documents without the tag, and those whose tag names a version that they don't have, give no row. Versions of one precedence are ordered by their text.
+    """
+    d = docs.select("name", F.from_json("body", NPM).alias("d")).select("name", F.map_keys("d.versions").alias("versions"), F.try_element_at(F.col("d")["dist-tags"], F.lit("latest")).alias("version"))
+    key = lambda v: F.struct(semver_key(v).alias("key"), v.alias("version"))
+    before = F.array_max(F.filter(F.transform("versions", key), lambda x: x < key(F.col("version"))))["version"]
+    return d.where(F.array_contains("versions", F.col("version"))).select("name", "version", before.alias("previous_version"))
+
+
 def go_versions(docs: DataFrame) -> DataFrame:
     """name, version, published, origin. docs: name, body (one version's info)."""
     return docs.select("name", F.from_json("body", GO).alias("d")).select("name", F.col("d.Version").alias("version"), timestamp(F.col("d.Time")).alias("published"), F.col("d.Origin.URL").alias("origin"))
