@@ -635,7 +635,7 @@ def _streamed(spark, sf_dir, make, mode="append"):
     base = shared_folder(spark)
     root = f"{base}/stream-{uuid4().hex}"
     events = B.table(spark, sf_dir, "events")
-    raw = spark.readStream.schema(events.schema).option("maxBytesPerTrigger", "1g").parquet(f"{sf_dir}/events.parquet*")
+    raw = spark.readStream.schema(events.schema).option("maxBytesPerTrigger", str(1 << 30)).parquet(f"{sf_dir}/events.parquet*")
     feed = raw.select(F.lit("pypi").alias("ecosystem"), F.col("user_id").cast("string").alias("name"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("version"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("latest"),
                       F.col("event_type").alias("kind"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
     made = make(feed)
