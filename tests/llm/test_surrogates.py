@@ -1,6 +1,7 @@
 """Surrogates keep type and form, are distinct and consistent, and leave everything else alone."""
 
 import hmac
+import ipaddress
 import re
 
 import pytest
@@ -125,6 +126,56 @@ def test_forms_of_one_person(spark, tmp_path):
     assert not any(x in r.text for r in got.values() for x in ("Smith", "Anna", "Schmidt", "Петров", "1234567", "hunter2", "9233A8EC"))
 
 
+def test_scripts_stay(spark, tmp_path):
+    names = {"Greek": "Dr. Γιώργος Παπαδόπουλος", "Arabic": "السيد محمد العلي", "Hebrew": "Dr. דוד כהן", "Han": "Dr. 王小明", "Hangul": "Dr. 김민준", "Cyrillic": "Доктор Владимир Кузнецов", "Devanagari": "Dr. राजेश कुमार", "Latin": "Frau Jürgensen"}
+    got = {r.doc_id: r for r in replaced(spark, tmp_path, [(k, f"({v}), 2 items") for k, v in names.items()], "doc_id string, text string").collect()}
+    for script, name in names.items():
+        (e,) = got[script].entities
+        assert e.kind == "name" and e.entity == name and got[script].text == f"({e.surrogate}), 2 items"
+        title, words = name.split(" ")[0], name.split(" ")[1:]
+        new = e.surrogate.split(" ")
+        assert new[0] == title and len(new) == len(words) + 1
+        for old, word in zip(words, new[1:]):
+            assert old != word and regex.fullmatch(rf"[\p{{Is{script}}}\p{{M}}]+", word) and len(word) == len(old) and word[0].isupper() == old[0].isupper()
+
+
+def test_names_end_at_the_surname(spark, tmp_path):
+    texts = {"Mr. John Smith Left Berlin Early": "Mr. John Smith", "Dr. J. R. Brown Visited Rome": "Dr. J. R. Brown", "Frau Anna Maria von der Leyden Spoke": "Frau Anna Maria von der Leyden", "Señor Carlos García López went": "Señor Carlos García López", "Mr. Smith left Berlin": "Mr. Smith", "Dr. 王小明和他的朋友们在说话": None}
+    got = {r.text_: r for r in replaced(spark, tmp_path, [(t, t) for t in texts], "text string, text_ string").collect()}
+    for text, name in texts.items():
+        assert [e.entity for e in got[text].entities] == ([name] if name else [])
+        assert not name or got[text].text.endswith(text[len(name) :])
+
+
+def test_addresses_of_version_6(spark, tmp_path):
+    texts = ["from 2001:db8::1 and 2001:0DB8:0:0:0:0:0:1.", "fe80::1, fd12:3456:789a::42 ff02::fb", "::1 and :: stay, std::dead x[1::2] fe80:: 12:30:45 too", "::ffff:10.1.2.3", "2001:db8:1:2:3:4:5:6"]
+    got = {r.doc_id: r for r in replaced(spark, tmp_path, list(enumerate(texts)), "doc_id long, text string").collect()}
+    short, full = (e.surrogate for e in got[0].entities)
+    assert ipaddress.ip_address(short) == ipaddress.ip_address(full) and short != "2001:db8::1" and re.fullmatch("2001:[0-9a-f]{3}::[0-9a-f]", short) and full.startswith("2001:0") and got[0].text.endswith(".")
+    local, unique, multi = (ipaddress.ip_address(e.surrogate) for e in got[1].entities)
+    assert local.is_link_local and unique.is_private and str(unique)[:2] == "fd" and str(unique)[:4] != "fd12" and multi.is_multicast
+    assert got[2].text == texts[2] and got[2].n_entities == 0
+    assert [e.kind for e in got[3].entities] == ["address"] and got[3].text.startswith("::ffff:10.")
+    assert len(got[4].entities[0].surrogate) == len(texts[4])
+
+
+def test_crowded_addresses_of_version_6(spark):
+    rows = [("address6", f"fe80:0:0:0:0:0:0:{i:x}") for i in range(1, 400)]
+    made = sg.mapping(spark.createDataFrame(rows, "kind string, norm string"), b"key").collect()
+    assert len({r.surrogate for r in made}) == len(rows) and not {(r.kind, r.surrogate) for r in made} & set(rows)
+    assert all(ipaddress.ip_address(r.surrogate).is_link_local for r in made)
+
+
+def test_mail_of_any_script_secrets_and_countries(spark, tmp_path):
+    texts = ["müller@example.com, ivan@пример.рф; γιώργος@παράδειγμα.ελ", "password: hunter2hunter2, Token=abcd1234efgh and password: required here", "+353 86 123 4567 and +351 21 123 4567, +44 20 7946 0958, +1 212 555 0100"]
+    got = {r.doc_id: r for r in replaced(spark, tmp_path, list(enumerate(texts)), "doc_id long, text string").collect()}
+    latin, mixed, greek = (e.surrogate for e in got[0].entities)
+    assert re.fullmatch(r"[a-z]{6}@[a-z]{7}\.com", latin) and regex.fullmatch(r"[a-z]{4}@\p{IsCyrillic}{6}\.рф", mixed) and regex.fullmatch(r"\p{IsGreek}{7}@\p{IsGreek}{10}\.ελ", greek)
+    assert not any(x in got[0].text for x in ("müller", "ivan", "пример", "γιώργος"))
+    assert [e.entity for e in got[1].entities] == ["hunter2hunter2", "abcd1234efgh"] and got[1].text.startswith("password: ") and got[1].text.endswith(" and password: required here")
+    assert [e.surrogate.split(" ")[0] for e in got[2].entities] == ["+353", "+351", "+44", "+1"] and [len(e.surrogate) for e in got[2].entities] == [len(e.entity) for e in got[2].entities]
+
+
 def test_keys_matter_and_are_needed(spark, tmp_path):
     df = replaced(spark, tmp_path, [(1, "a.b.c.d@example.com")], "doc_id long, text string", "one")
     other = sg.replace_entities(spark.read.parquet(str(tmp_path / "d")), "two")

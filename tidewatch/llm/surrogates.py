@@ -11,9 +11,16 @@ digits, letters letters of the same script, so lengths and forms do not change.
 a kind is kept or made right again: a card's network and checksum, an account number's country and
 check digits, an address's class, a phone number's country, the prefix of an access key, a mail
 address's labels and top-level domain. A given name that is listed gets one of the same gender and script; any
-other word of a name keeps its pattern of vowels and consonants and its ending, which shows gender.
+other word of a name keeps its pattern of vowels and consonants and (in alphabets, not in syllables or Han) its
+ending, which shows gender. Words of a script without letters in SCRIPTS become Latin.
 Each occurrence gets its own case and separators back.
 
+A name is a title and what follows: a surname after listed given names and initials, else up to two
+words (one more after a Spanish title, and particles), so that capitalised running text stays. In scripts without
+case it is a Han run of two to four characters or up to two other words. IPv6 addresses are one entity
+however they are written, and zeros stay zeros where there is room; those that begin with :: and bare prefixes of one
+group stay, as they name nobody. A value after one of the words of _SAID is a secret if it is quoted, or has a digit.
+
 Surrogates that two units share, or that are themselves a unit of the corpus, are looked for; all
 but one of them get the next attempt, until there is none. The number of attempts is not limited:
 words, keys, mail addresses, phone and social security numbers grow by a character when their form is
@@ -41,33 +48,70 @@ NAMES = {
 }
 #: Titles before names.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Mx", "Dr", "Prof", "Herr", "Herrn", "Frau", "Monsieur", "Madame", "Mademoiselle", "Mme", "Mlle", "Señor", "Señora", "Señorita", "Sr", "Sra", "Srta",
-          "Господин", "Госпожа", "Доктор", "г-н", "г-жа")
-_TITLE = rf"(?=[MDPHFSГДг])(?:(?:{'|'.join(sorted(TITLES, reverse=True))})\.? ){{1,3}}"
-_WORD = r"\p{Lu}[\p{L}\p{M}'’-]*\.?"
+          "Господин", "Госпожа", "Доктор", "г-н", "г-жа", "Κύριος", "Κυρία", "Δρ", "السيد", "السيدة", "الدكتور", "الدكتورة")
+#: Titles before names with two surnames, and words inside surnames.
+TWO_SURNAMES = ("Señor", "Señora", "Señorita", "Sr", "Sra", "Srta")
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "zu", "bin", "al")
+
+
+def _one_of(words) -> str:
+    return f"(?:{'|'.join(sorted(words, reverse=True))})"
+
+
+_TITLE = rf"(?=[MDPHFSГДгΚΔا])(?:{_one_of(TITLES)}\.? ){{1,3}}"
+_GIVEN = rf"(?:(?:{_one_of(n for names in NAMES.values() for n in names)}(?:-\p{{Lu}}[\p{{L}}\p{{M}}]*+)?|\p{{Lu}}\.) )"
+_CASED = rf"(?:{_one_of(PARTICLES)} ){{0,3}}\p{{Lu}}[\p{{L}}\p{{M}}'’-]*\.?"
+_UNCASED = r"(?!\p{IsHan})\p{Lo}[\p{Lo}\p{M}]*"
+
+
+def _name(surnames: int) -> str:
+    return rf"(?:{_GIVEN}{{1,3}}{_CASED}(?: {_CASED}){{0,{surnames - 1}}}|{_CASED}(?: {_CASED}){{0,{surnames}}}|\p{{IsHan}}{{2,4}}|{_UNCASED}(?: {_UNCASED})?)"
+
+
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: How well-known access keys begin.
 _KEY_HEAD = "(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza)"
 _SAID = r"(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)"
+#: A group of an IPv6 address; first groups of the ranges that are in use (global, unique local, link-local, multicast).
+_GROUP, _FIRST = "[0-9A-Fa-f]{1,4}", "(?:[23][0-9A-Fa-f]{3}|[Ff][CDFcdf][0-9A-Fa-f]{2}|[Ff][Ee][89ABab][0-9A-Fa-f])"
 #: (kind, what must stand before, expression, what must stand after), asked in this order; all start after no letter or digit.
 KINDS = (
-    ("mail", "(?<![._%+-])", r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++\.[A-Za-z0-9.-]*[A-Za-z0-9]", ""),
+    ("mail", "(?<![._%+-])", r"[\p{L}0-9][\p{L}\p{M}0-9._%+-]*+@[\p{L}\p{M}0-9-]++\.[\p{L}\p{M}0-9.-]*[\p{L}\p{M}0-9]", ""),
     ("secret", "", f"(?:[0-9a-fA-F]{{32,}}+|{_KEY_HEAD}[0-9A-Za-z_-]{{16,}}+|eyJ[0-9A-Za-z_-]{{8,}}+\\.[0-9A-Za-z_-]++\\.[0-9A-Za-z_-]++)", "(?![0-9A-Za-z])"),
     ("secret", rf"(?<=[\"'])(?<={_SAID}[\"']? ?[=:] ?[\"'])", r"[0-9A-Za-z][^\s\"']{7,}+", r"(?=[\"'])"),
+    ("secret", rf"(?<=[=:] ?)(?<={_SAID}[\"']? ?[=:] ?)(?=[^\s\"'<>,;]*[0-9])", r"[0-9A-Za-z][^\s\"'<>,;]{7,}+", ""),
     ("address", r"(?<!\.)", rf"{_OCTET}(?:\.{_OCTET}){{3}}", r"(?![0-9]|\.[0-9])"),
-    ("address6", "(?<!:)", "(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}", "(?![0-9A-Za-z:])"),
+    ("address6", "(?<!:)", rf"(?:(?:{_GROUP}:){{7}}{_GROUP}|{_FIRST}(?=[:0]*[1-9A-Fa-f])(?::{_GROUP}){{0,6}}::(?:{_GROUP}(?::{_GROUP}){{0,5}})?)", r"(?![0-9A-Za-z:]|\.[0-9])"),
     ("card", "", "(?:[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})", "(?![0-9])"),
     ("ssn", "(?<!-)", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "(?![0-9-])"),
     ("phone", "", r"(?:\+(?=(?:[ ()./-]{0,2}[0-9]){8})[0-9]{1,3}(?:[ ./-]?(?:\([0-9]{1,4}\)|[0-9]{1,5})){2,5}|(?:\([0-9]{2,5}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|0[1-9][0-9]{0,3}[ /-][0-9]{5,9})", "(?![0-9])"),
     ("iban", "", "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "(?![0-9A-Za-z])"),
-    ("name", "", rf"{_TITLE}{_WORD}(?: {_WORD}){{0,3}}", r"(?![\p{L}0-9])"),
+    ("name", "", rf"(?:(?={_one_of(TWO_SURNAMES)}\.? ){_TITLE}{_name(2)}|{_TITLE}{_name(1)})", r"(?![\p{L}0-9])"),
 )
 #: The tests at the front fail at once inside words.
-ANY = r"(?<![0-9\p{L}])(?=[0-9A-Za-z+(\p{IsCyrillic}])(?:" + "|".join(f"{before}{core}{after}" for _, before, core, after in KINDS) + ")"
+ANY = r"(?<![0-9\p{L}\p{M}])(?=[0-9+(\p{L}])(?:" + "|".join(f"{before}{core}{after}" for _, before, core, after in KINDS) + ")"
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYR_LOWER, _CYR_UPPER = "абвгдежзиклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"
-_VOWELS, _OTHERS = {"latin": "aeiou", "cyrillic": "аеиоуюя"}, {"latin": "bcdfghklmnprstvz", "cyrillic": "бвгдзклмнпрстфхч"}
+#: Per script (as regular expressions name it), vowels and other letters that surrogates are made of, more letters that count as vowels, and whether endings stay.
+SCRIPTS = {
+    "Latin": ("aeiou", "bcdfghklmnprstvz", "yéèêáàâäëïíóöôúüùë", True),
+    "Cyrillic": ("аеиоуюя", "бвгдзклмнпрстфхч", "ыэё", True),
+    "Greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώϊϋΐΰ", True),
+    "Arabic": ("اوي", "بتجحدرسشصعفقكلمنه", "أإآىئؤ", True),
+    "Hebrew": ("אוי", "בגדהזחטכלמנסעפצקרשת", "", True),
+    "Armenian": ("աեիոու", "բգդզթլխկհմնպռստր", "էըօ", True),
+    "Georgian": ("აეიოუ", "ბგდვზთკლმნპრსტფქ", "", True),
+    "Devanagari": ("अआइईउएओ", "कखगचजटडतदनपबमरलवशसह", "", False),
+    "Thai": ("อ", "กขคงจชดตถทนบปพมยรลวสห", "", False),
+    "Hangul": ("아이우오", "가강경김나남동마문민박서성신영윤재정조진최하한현", "", False),
+    "Hiragana": ("あいうえお", "かきくけさしすせたちつてなにのはひまみもやゆよらりるわ", "", False),
+    "Katakana": ("アイウエオ", "カキクケサシスセタチツテナニノハヒマミモヤユヨラリルワ", "", False),
+    "Han": ("", "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹伟芳娜敏静丽强磊军洋勇艳杰娟涛明超兰霞平", "", False),
+}
 #: Attempts after which a surrogate grows by a character (words, keys and mail addresses; then numbers), and after which an address may be one that occurs.
 GROW, GROW_NUMBER, LIFT = 8, 64, 64
+#: How country codes begin (fixed values): all that have one or two digits; the others have three.
+_COUNTRY = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 #: First octets whose class depends on the second one.
 _TWO = ("100", "169", "172", "192", "198", "203")
 
@@ -81,9 +125,23 @@ def kind_of(entity: Column) -> Column:
     return found
 
 
+def _sides(address: Column) -> tuple[Column, Column]:
+    """The groups before and after the :: of an IPv6 address; without one, all are before."""
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    return groups(F.substring_index(address, "::", 1)), F.when(address.contains("::"), groups(F.substring_index(address, "::", -1))).otherwise(F.array().cast("array<string>"))
+
+
+def _expanded(address: Column) -> Column:
+    """All groups of an IPv6 address, without zeros before them."""
+    before, after = _sides(address)
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(before) - F.size(after), F.lit(0)))
+    return F.array_join(F.transform(F.concat(before, zeros, after), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+
 def normal(unit: Column, kind: Column) -> Column:
     """Forms of one unit that only differ in case (mail, names, hexadecimal) or separators (numbers) are one: coreference."""
-    return (F.when(kind.isin("mail", "name", "address6") | (kind == "secret") & unit.rlike(r"\A[0-9a-fA-F]+\z"), F.lower(unit))
+    return (F.when(kind == "address6", _expanded(F.lower(unit)))
+            .when(kind.isin("mail", "name") | (kind == "secret") & unit.rlike(r"\A[0-9a-fA-F]+\z"), F.lower(unit))
             .when(kind.isin("card", "phone", "iban", "ssn"), F.regexp_replace(unit, "[^0-9A-Za-z+]", "")).otherwise(unit))
 
 
@@ -120,10 +178,14 @@ def _letters(text: Column, numbers: Column, hexadecimal: Column) -> Column:
 
     def one(c, i):
         b = _number(numbers, i)
-        return (F.when(c.between("0", "9"), _pick(_DIGITS, b)).when(c.between("a", "z"), _pick(_LOWER, b)).when(c.between("A", "Z"), _pick(_UPPER, b))
-                .when(c.between("а", "я") | (c == "ё"), _pick(_CYR_LOWER, b)).when(c.between("А", "Я") | (c == "Ё"), _pick(_CYR_UPPER, b)).otherwise(c))
-
-    digit = lambda c, i: F.when(c == ":", c).otherwise(_pick("0123456789abcdef", _number(numbers, i)))
+        made = (F.when(c.between("0", "9"), _pick(_DIGITS, b)).when(c.between("a", "z"), _pick(_LOWER, b)).when(c.between("A", "Z"), _pick(_UPPER, b)).when(c < "\x80", c)
+                .when(c.between("а", "я") | (c == "ё"), _pick(_CYR_LOWER, b)).when(c.between("А", "Я") | (c == "Ё"), _pick(_CYR_UPPER, b))
+                .when(~c.rlike(r"\p{L}"), c))
+        for script, (vowels, others, _, _) in SCRIPTS.items():
+            made = made.when(c.rlike(rf"\p{{Is{script}}}"), _pick(vowels + others, b))
+        return made.otherwise(_pick(_LOWER, b))
+
+    digit = lambda c, i: _pick("0123456789abcdef", _number(numbers, i))
     return F.array_join(F.when(hexadecimal, F.transform(_chars(text), digit)).otherwise(F.transform(_chars(text), one)), "")
 
 
@@ -131,14 +193,22 @@ def _word(norm: Column, numbers: Column, attempt: Column) -> Column:
     """A word of a name: one of the list that has it, or vowels for vowels and consonants for consonants, with its last letter."""
 
     def built(script: str) -> Column:
-        grown = F.concat(norm, F.repeat(F.lit("ar" if script == "latin" else "ар"), F.floor(attempt / GROW).cast("int")))
-        ending = F.when(F.length(norm) > 2, F.substring(norm, -1, 1)).otherwise("")
+        vowels, others, like_vowels, ends = SCRIPTS[script]
+        grown = F.concat(norm, F.repeat(F.lit((vowels or others)[0] + others[0]), F.floor(attempt / GROW).cast("int")))
+        ending = F.when(F.length(norm) > 2, F.substring(norm, -1, 1)).otherwise("") if ends else F.lit("")
         body = F.substring(grown, F.lit(1), F.length(grown) - F.length(ending))
-        vowel = lambda c: c.isin(*(_VOWELS[script] + "yéèêáàâäëïíóöôúüùëыэё"))
-        one = lambda c, i: F.when(vowel(c), _pick(_VOWELS[script], _number(numbers, i))).otherwise(_pick(_OTHERS[script], _number(numbers, i)))
+
+        def one(c, i):
+            b = _number(numbers, i)
+            mark = F.when(c.rlike(r"\p{M}"), c)  # the signs of a syllable stay with it
+            return (mark.when(c.isin(*(vowels + like_vowels)), _pick(vowels, b)) if vowels else mark).otherwise(_pick(others, b))
+
         return F.concat(F.array_join(F.transform(_chars(body), one), ""), ending)
 
-    word = F.when(norm.rlike(r"\p{IsCyrillic}"), built("cyrillic")).otherwise(built("latin"))
+    word = F.when(norm.rlike(r"\p{IsLatin}"), built("Latin"))
+    for script in list(SCRIPTS)[1:]:
+        word = word.when(norm.rlike(rf"\p{{Is{script}}}"), built(script))
+    word = word.otherwise(built("Latin"))
     for names in NAMES.values():
         listed = [n.lower() for n in names]
         other = F.element_at(F.array(*map(F.lit, listed)), (_number(numbers, F.lit(0)) % len(listed) + 1).cast("int"))
@@ -177,19 +247,42 @@ def _address(norm: Column, numbers: Column, attempt: Column) -> Column:
     return F.concat_ws(".", head, n(6, 0, 255), n(7, 1, 254))
 
 
+def _address6(norm: Column, numbers: Column, attempt: Column) -> Column:
+    """An IPv6 address of the same range: the first group stays (of a unique local one, which is drawn, two digits), groups keep their lengths and zeros; after GROW attempts groups get four digits, after twice as many zeros are filled too."""
+
+    def one(g, i):
+        low = F.when(attempt >= GROW, 4096).otherwise(F.pow(F.lit(16), F.length(g) - 1).cast("int"))
+        new = lambda low: F.lower(F.hex(low + _number(numbers, i + 8) % (low * 15)))
+        return F.when((i == 0) & g.rlike("^f[cd]..$"), F.concat(F.substring(g, 1, 2), new(F.lit(16)))).when((i == 0) | (g == "0") & (attempt < 2 * GROW), g).otherwise(new(low))
+
+    return F.array_join(F.transform(F.split(norm, ":"), one), ":")
+
+
+def _like_address6(unit: Column, made: Column) -> Column:
+    """made with the ::, leading zeros and case of unit; in full where made has no zeros for the ::."""
+    before, after = _sides(unit)
+    groups = F.split(made, ":")
+    padded = lambda new, old: F.zip_with(new, old, lambda n, o: F.lpad(n, F.greatest(F.length(n), F.length(o)), "0"))
+    left, right = F.slice(groups, F.lit(1), F.size(before)), F.slice(groups, F.size(groups) - F.size(after) + 1, F.size(after))
+    between = F.slice(groups, F.size(before) + 1, F.greatest(F.size(groups) - F.size(before) - F.size(after), F.lit(0)))
+    short = F.concat(F.array_join(padded(left, before), ":"), F.lit("::"), F.array_join(padded(right, after), ":"))
+    text = F.when(~unit.contains("::"), F.array_join(padded(groups, before), ":")).when(F.forall(between, lambda g: g == "0"), short).otherwise(made)
+    return F.when((unit == F.upper(unit)) & (unit != F.lower(unit)), F.upper(text)).otherwise(text)
+
+
 def surrogate(kind: Column, norm: Column, attempt: Column, numbers: Column) -> Column:
     """The surrogate of a normal form; numbers: its stream."""
     more = F.repeat(F.lit("0"), F.greatest(F.floor(attempt / GROW_NUMBER).cast("int"), F.lit(0)))
     grown = F.when(kind == "secret", F.concat(norm, F.repeat(F.lit("0"), F.floor(attempt / GROW).cast("int")))).when(kind == "mail", F.concat(F.repeat(F.lit("x"), F.floor(attempt / GROW).cast("int")), norm)).when(kind.isin("phone", "ssn"), F.concat(norm, more)).otherwise(norm)
-    mixed = _letters(grown, numbers, kind.isin("secret", "address6") & norm.rlike(r"\A[0-9a-f:]+\z"))
+    mixed = _letters(grown, numbers, (kind == "secret") & norm.rlike(r"\A[0-9a-f]+\z"))
     # what a number or key begins with tells its network, country or issuer
-    head = F.when(kind == "phone", F.regexp_extract(norm, r"^\+(?:[17]|[2-9][0-9])|^0", 0)).when(kind == "card", F.substring(norm, 1, 1)).when(kind == "secret", F.regexp_extract(norm, "^" + _KEY_HEAD, 0)).otherwise("")
+    head = F.when(kind == "phone", F.regexp_extract(norm, rf"^\+{_COUNTRY}|^0", 0)).when(kind == "card", F.substring(norm, 1, 1)).when(kind == "secret", F.regexp_extract(norm, "^" + _KEY_HEAD, 0)).otherwise("")
     kept = F.concat(head, F.substring(mixed, F.length(head) + 1, F.length(grown)))
     ssn = F.concat(_pick("12345", _number(numbers, F.lit(9))), F.substring(mixed, F.lit(2), F.lit(3)), _pick("123456789", _number(numbers, F.lit(10))), F.substring(mixed, F.lit(6), F.length(grown)))
     domain = F.substring_index(norm, ".", -1)
     mail = F.concat(F.substring(mixed, F.lit(1), F.length(grown) - F.length(domain)), domain)
     iban = _iban(F.substring(norm, 1, 2), F.substring(mixed, F.lit(5), F.length(norm)))
-    return (F.when(kind == "mail", mail).when(kind == "address", _address(norm, numbers, attempt)).when(kind == "card", _luhn(kept)).when(kind == "iban", iban)
+    return (F.when(kind == "mail", mail).when(kind == "address", _address(norm, numbers, attempt)).when(kind == "address6", _address6(norm, numbers, attempt)).when(kind == "card", _luhn(kept)).when(kind == "iban", iban)
             .when(kind == "name", _word(norm, numbers, attempt)).when(kind == "ssn", ssn).otherwise(kept))
 
 
@@ -204,7 +297,7 @@ def formatted(unit: Column, made: Column, kind: Column) -> Column:
     )
     by_place = F.array_join(F.zip_with(_chars(unit), _chars(made), lambda c, s: F.when(c.isNotNull() & (c != F.lower(c)), F.upper(s)).otherwise(F.coalesce(s, F.lit("")))), "")
     cased = F.when(unit == F.lower(unit), made).when((unit == F.upper(unit)) & (F.length(unit) > 1), F.upper(made)).when(kind == "name", F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, F.lit(2), F.length(made)))).otherwise(by_place)
-    return F.when(kind.isin("card", "phone", "iban", "ssn"), F.when(plain != unit, shaped).otherwise(made)).when(kind.isin("mail", "name", "address6") | (kind == "secret") & unit.rlike(r"\A[0-9a-fA-F]+\z"), cased).otherwise(made)
+    return F.when(kind.isin("card", "phone", "iban", "ssn"), F.when(plain != unit, shaped).otherwise(made)).when(kind == "address6", _like_address6(unit, made)).when(kind.isin("mail", "name") | (kind == "secret") & unit.rlike(r"\A[0-9a-fA-F]+\z"), cased).otherwise(made)
 
 
 def mapping(found: DataFrame, key: bytes) -> DataFrame:
