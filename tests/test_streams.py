@@ -64,6 +64,21 @@ def test_a_quiet_ecosystem_does_not_hold_the_search_up(spark, tmp_path):
     assert sum(len(r) for _, r in got) == 100 and got[-1][0]["cargo"] > 50
 
 
+def test_shares_are_full_however_many_row_groups_the_log_has(spark, tmp_path):
+    """What a batch admits does not depend on how finely the log was written, nor on an ecosystem with few events or one that comes late."""
+    rows = [("pypi", "b", str(i), "new release" if i % 3 else "other", i) for i in range(0, 300, 2)] + [("cargo", "a", "1", "new release", i) for i in range(1, 300, 30)] + [("npm", "c", "1", "new release", i) for i in range(201, 300, 4)]
+    want = []
+    for files in (1, 150):
+        path = tmp_path / str(files)
+        path.mkdir()
+        landed(spark, str(path / "log"), rows, files)
+        got = offsets(str(path / "log"), path, limit=50)
+        assert sorted(s for _, read in got for s in read) == sorted((r[0], r[4]) for r in rows)
+        want.append([[sum(r[0] == e and r[3] == "new release" and (e, r[4]) in set(read) for r in rows) for e in ("pypi", "cargo", "npm")] for _, read in got])
+    assert len(list((tmp_path / "150" / "log").glob("*.parquet"))) > 100
+    assert [[n[0] for n in x] for x in want] == [[50, 50]] * 2 and all(max(n) <= 50 for x in want for n in x) and all(sum(n[2] for n in x) == 25 for x in want)
+
+
 def test_a_new_reader_goes_on_where_the_last_planned_batch_ended(spark, tmp_path):
     landed(spark, str(tmp_path / "log"), some_rows())
     options = {"path": str(tmp_path / "log"), "cursor": str(tmp_path / "c.json"), "limit": "5"}

@@ -50,9 +50,10 @@ class LogReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.cursor = options["path"], options["cursor"]
         self.limit, self.counted, self.since = int(options.get("limit", 0)), options.get("counted", "new release"), int(options.get("since", -1))
-        self.ahead = int(options.get("ahead", 64))
+        self.ahead = int(options.get("ahead", 0))
         self.at: dict[str, int] | None = None
         self.groups: dict[str, list[tuple[int, int, str, int]]] = {}
+        self.known: dict[tuple[str, int], dict[str, tuple[int, int]]] = {}
 
     def initialOffset(self) -> dict:
         return {}
@@ -79,32 +80,56 @@ class LogReader(DataSourceStreamReader):
                 self.at = {}
         return self.at
 
+    def _rows(self, file: str, group: int) -> pa.Table:
+        with file_system(self.path)[0].open_input_file(file) as f:
+            return pq.ParquetFile(f).read_row_group(group, columns=["ecosystem", "action", "serial"]).sort_by("serial")
+
+    def _summary(self, file: str, group: int) -> dict[str, tuple[int, int]]:
+        """Of each ecosystem in a row group: how many events the limit counts, and the last serial. Row groups do not change, so each is read once for this."""
+        if (file, group) not in self.known:
+            rows = self._rows(file, group)
+            hit = pc.fill_null(pc.equal(rows["action"], self.counted), False).cast(pa.int64())
+            found = pa.table({"ecosystem": rows["ecosystem"], "hit": hit, "serial": rows["serial"]}).group_by("ecosystem").aggregate([("hit", "sum"), ("serial", "max")])
+            self.known[file, group] = {r["ecosystem"]: (r["hit_sum"], r["serial_max"]) for r in found.to_pylist() if r["ecosystem"] is not None and r["serial_max"] is not None}
+        return self.known[file, group]
+
     def latestOffset(self) -> dict:
-        """Reads serials, ecosystems and actions in order, until every ecosystem that still has events has its share.
+        """Goes through the row groups in order until every ecosystem has its share, or has no more events; the cursor of the latter goes on to where the search ended.
 
-        Only row groups after the least of all cursors are read, `ahead` of them at most, so an ecosystem without events costs no more than that; its
-        cursor goes on to where the search ended. One that is met for the first time starts after `since`.
+        A row group is looked at only if an ecosystem without its share has not gone past it, so one without events costs a look at each new row group. Rows are
+        read only where a share may end. One that is met for the first time starts after `since`; behind a row group that was passed over it has to wait for a
+        later search, which will look at all of them.
         """
-        start, fs = self._here(), file_system(self.path)[0]
+        start = self._here()
         found, left, behind = {}, {}, min(start.values(), default=self.since)
-        ahead = [x for x in self._ranges() if x[1] > behind or not start][: self.ahead]
-        waiting, end = set(start), behind  # ecosystems that may still get something
-        for _, most, file, group in ahead:
-            end = max(end, most)
-            with fs.open_input_file(file) as f:
-                rows = pq.ParquetFile(f).read_row_group(group, columns=["ecosystem", "action", "serial"]).sort_by("serial")
-            for eco in pc.unique(rows["ecosystem"]).drop_null().to_pylist():
+        waiting, end, looked, passed = set(start), behind, 0, False  # waiting: ecosystems that may still get something
+        for least, most, file, group in self._ranges():
+            if start and most <= behind:
+                continue
+            short = [e for e in waiting if left.get(e) != 0]
+            if waiting and not short or self.ahead and looked == self.ahead:
+                break
+            if waiting and all(start.get(e, self.since) >= most for e in short):
+                passed = True
+                continue
+            end, looked, rows = max(end, most), looked + 1, None
+            for eco, (n, last) in self._summary(file, group).items():
+                at = start.get(eco, self.since)
+                if passed and eco not in waiting:
+                    continue
                 waiting.add(eco)
-                mine = rows.filter(pc.and_(pc.equal(rows["ecosystem"], eco), pc.greater(rows["serial"], start.get(eco, self.since))))
-                if not mine.num_rows or left.get(eco) == 0:
+                if last <= at or left.get(eco) == 0:
+                    continue
+                room = left.get(eco, self.limit) if self.limit else n + 1
+                if least > at and n < room:
+                    found[eco], left[eco] = last, room - n
                     continue
+                rows = self._rows(file, group) if rows is None else rows
+                mine = rows.filter(pc.and_(pc.equal(rows["ecosystem"], eco), pc.greater(rows["serial"], at)))
                 counted = mine.filter(pc.fill_null(pc.equal(mine["action"], self.counted), False))["serial"]
-                room = left.get(eco, self.limit) if self.limit else counted.length() + 1
                 full = counted.length() >= room
                 found[eco] = counted[room - 1].as_py() if full else mine["serial"][-1].as_py()
                 left[eco] = 0 if full else room - counted.length()
-            if all(left.get(e) == 0 for e in waiting):
-                break
         return {**start, **found, **{e: end for e in waiting if left.get(e) != 0 and end > start.get(e, self.since)}}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
@@ -131,7 +156,7 @@ class LogReader(DataSourceStreamReader):
 
 
 class ReleaseLog(DataSource):
-    """Options: path, cursor (a file of this query's own), limit (0: none), counted (the action that the limit counts), since (a serial to start after), ahead (row groups that one search may read)."""
+    """Options: path, cursor (a file of this query's own), limit (0: none), counted (the action that the limit counts), since (a serial to start after), ahead (row groups that one search may look at, though shares are not full then; 0: no bound)."""
 
     @classmethod
     def name(cls) -> str:
