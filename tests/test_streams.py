@@ -118,11 +118,11 @@ def test_a_killed_driver_loses_and_repeats_nothing(spark, tmp_path):
     assert sorted(r.serial for r in got.collect()) == [r[4] for r in rows] and got.select("batch").distinct().count() > 4
 
 
-def stateful(spark, tmp_path, rows, run, live_ms=None, limit=50):
+def stateful(spark, tmp_path, rows, run, live_ms=None, limit=50, **options):
     landed(spark, str(tmp_path / f"log{run}"), rows)
     keep_state_on_disk(spark)
     feed = release_stream(spark, str(tmp_path / f"log{run}"), str(tmp_path / f"cursor{run}.json"), limit).select("ecosystem", "name", F.col("version").alias("latest"), F.col("serial").alias("seq"))
-    q = version_state(feed, live_ms).writeStream.format("parquet").option("path", str(tmp_path / f"out{run}")).option("checkpointLocation", str(tmp_path / f"state{run}")).start()
+    q = version_state(feed, live_ms, **options).writeStream.format("parquet").option("path", str(tmp_path / f"out{run}")).option("checkpointLocation", str(tmp_path / f"state{run}")).start()
     return q
 
 
@@ -136,6 +136,21 @@ def test_state_drops_what_it_has_gone_past(spark, tmp_path):
     assert got == [("", "2", 5, True), ("1", "", 4, False), ("1", "2", 1, False), ("2", "1", 3, False)]
 
 
+def test_state_of_many_reported_versions(spark, tmp_path):
+    """What was reported is known in the list and behind it, over batches. A batch's work does not ask the state for each version of a package."""
+    rows = [("npm", f"p{s % 2}", str(s * s % 23), "new release", s) for s in range(150)]
+    q = stateful(spark, tmp_path, rows, 2, limit=20, few=3)
+    q.processAllAvailable()
+    q.stop()
+    want, seen, reported = [], {}, set()
+    for _, name, version, _, s in rows:
+        if name in seen and seen[name] != version:
+            want.append((name, seen[name], version, s, (name, version) in reported))
+            reported.add((name, version))
+        seen[name] = version
+    assert sorted(tuple(r)[1:] for r in spark.read.parquet(str(tmp_path / "out2")).collect()) == sorted(want) and any(w[4] for w in want)
+
+
 def test_state_expires(spark, tmp_path):
     """A package that was silent for longer than its state lives is seen for the first time again."""
     rows = [("npm", "a", str(i), "new release", i) for i in range(4)]
