@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import semver_key
-from ..operators.ranges import with_previous_row
+from ..operators.ranges import kept, with_previous_row
 
 PYPI = "struct<info: struct<author: string, version: string>, releases: map<string, array<struct<upload_time_iso_8601: string, upload_time: string, filename: string>>>>"
 NPM = "struct<`dist-tags`: map<string, string>, time: map<string, string>, versions: map<string, struct<maintainers: array<struct<name: string>>, dependencies: map<string, string>, scripts: map<string, string>>>>"
@@ -71,6 +71,6 @@ def crate_versions(docs: DataFrame) -> DataFrame:
 
 
 def transitions(versions: DataFrame, *columns: str) -> DataFrame:
-    """versions with prev_version, prev_published and prev_<column> of the version published before; the first of a package has none and is left out."""
-    seen = with_previous_row(versions, ("name",), ["published", "version"], {f"prev_{c}": c for c in ("version", "published", *columns)})
+    """versions with prev_version, prev_published and prev_<column> of the version published before; the first of a package has none and is left out. Documents are read once: versions are written and read again."""
+    seen = with_previous_row(kept(versions, "versions"), ("name",), ["published", "version"], {f"prev_{c}": c for c in ("version", "published", *columns)})
     return seen.where("prev_version is not null")
