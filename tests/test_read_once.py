@@ -1,6 +1,9 @@
 """Documents and bills are read by their parsers once, whatever is asked of them afterwards."""
 
+from pyspark.sql import functions as F
+
 from tidewatch.sources import metadata
+from tidewatch.sources.boms import bom_components
 
 
 def plan(df):
@@ -12,3 +15,14 @@ def test_transitions_do_not_parse_documents_again(spark):
     got = metadata.transitions(metadata.go_versions(docs), "origin")
     assert "from_json" not in plan(got)
     assert [(r.version, r.prev_version, r.prev_origin) for r in got.collect()] == [("2", "1", "x")]
+
+
+def test_bills_are_gone_through_once(spark):
+    texts = [("bom.json", '{"bomFormat": "CycloneDX", "components": [{"type": "library", "name": "a", "version": "1"}, {"purl": "pkg:maven/g/b@2"}, null]}'), ("bom.json", '{"SPDXID": "x", "packages": [{"name": "c", "versionInfo": "NOASSERTION"}, {"name": "NOASSERTION"}]}'),
+             ("bom.xml", "<SpdxDocument><packages><package><name>d</name><versionInfo>4</versionInfo></package></packages></SpdxDocument>"), ("bom.xml", '<bom><components><component type="library"><name>e</name><version>5</version></component></components></bom>'),
+             ("bom.json", "{"), ("bom.json", None), (None, '{"components": []}')]
+    boms = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "sbom_id int, file_name string, text string")
+    got = bom_components(boms)
+    assert "Union" not in plan(got)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, "maven", "g:b", "2"), (0, "unknown", "a", "1"), (1, "unknown", "c", ""), (2, "unknown", "d", "4"), (3, "unknown", "e", "5")]
+    assert bom_components(boms, format=F.lit("cyclonedx-json")).where("sbom_id = 0").count() == 2

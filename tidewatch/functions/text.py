@@ -102,18 +102,30 @@ def from_base64(text: Column) -> Column:
     return F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
 
 
-def purl(url: Column) -> dict[str, Column]:
-    """ecosystem, name and version of a package url; null if it is none. Qualifiers and subpaths are left out."""
-    decoded = F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def purl_parts(url: Column) -> Column:
+    """ecosystem, name and version of a package url as a struct; null if it is none. Qualifiers and subpaths are left out."""
     pattern = r"^pkg:([A-Za-z0-9.+-]+)/(?:(.+)/)?([^/@?#]+)(?:@([^?#]*))?"
-    part = lambda i: F.regexp_extract(decoded, pattern, i)
-    kind, space, name = F.lower(part(1)), part(2), part(3)
-    eco = F.lit(None).cast("string")
-    for k, v in C.PURL_ECOSYSTEMS.items():
-        eco = F.when(kind == k, v).otherwise(eco)
-    full = F.when((space != "") & (eco == "maven"), F.concat_ws(":", space, name)).when(space != "", F.concat_ws("/", space, name)).otherwise(name)
-    is_one = (name != "") & eco.isNotNull()
-    return {"ecosystem": F.when(is_one, eco), "name": F.when(is_one, full), "version": F.when(is_one, part(4))}
+
+    def made(p: Column) -> Column:
+        eco = F.lit(None).cast("string")
+        for k, v in C.PURL_ECOSYSTEMS.items():
+            eco = F.when(p["kind"] == k, v).otherwise(eco)
+        full = F.when((p["space"] != "") & (p["kind"].isin([k for k, v in C.PURL_ECOSYSTEMS.items() if v == "maven"])), F.concat_ws(":", p["space"], p["name"])).when(p["space"] != "", F.concat_ws("/", p["space"], p["name"])).otherwise(p["name"])
+        return F.when((p["name"] != "") & p["kind"].isin(list(C.PURL_ECOSYSTEMS)), F.struct(eco.alias("ecosystem"), full.alias("name"), p["version"].alias("version")))
+
+    part = lambda d, i: F.regexp_extract(d, pattern, i)
+    parts = let(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), lambda d: F.struct(F.lower(part(d, 1)).alias("kind"), part(d, 2).alias("space"), part(d, 3).alias("name"), part(d, 4).alias("version")))
+    return F.when(url.isNotNull(), let(parts, made))
+
+
+def purl(url: Column) -> dict[str, Column]:
+    """The fields of purl_parts."""
+    return {k: purl_parts(url)[k] for k in ("ecosystem", "name", "version")}
 
 
 def semver_key(version: Column) -> Column:

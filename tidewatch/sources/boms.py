@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import purl
+from ..functions.text import let, purl, purl_parts
 
 _REF = "array<struct<referenceType: string, referenceLocator: string>>"
 CYCLONE = "struct<bomFormat: string, components: array<struct<type: string, name: string, version: string, `group`: string, purl: string, `bom-ref`: string>>>"
@@ -30,32 +30,41 @@ def guessed(name: Column, group: Column, ref: Column) -> dict[str, Column]:
     return {"ecosystem": eco, "name": F.when(grouped, F.concat_ws(":", group, name)).otherwise(name)}
 
 
-def _cyclone(rows: DataFrame, key: str, list_: Column, ref: str) -> DataFrame:
-    each = rows.select(key, F.explode(list_).alias("c"))
-    p, g = purl(F.col("c.purl")), guessed(F.col("c.name"), F.col("c.group"), F.col(f"c.`{ref}`"))
-    kind = F.col("c.type") if ref == "bom-ref" else F.col("c._type")
-    has = p["name"].isNotNull()
-    return each.where(has | (kind == "library") & (F.coalesce(F.col("c.name"), F.lit("")) != "")).select(
-        key, F.coalesce(p["ecosystem"], g["ecosystem"]).alias("ecosystem"), F.when(has, p["name"]).otherwise(g["name"]).alias("name"), F.coalesce(F.when(has, p["version"]), F.col("c.version"), F.lit("")).alias("version"))
+def _component(keep: Column, ecosystem: Column, name: Column, version: Column) -> Column:
+    return F.when(keep, F.struct(ecosystem.alias("ecosystem"), name.alias("name"), version.alias("version")))
 
 
-def _spdx(rows: DataFrame, key: str, list_: Column, refs: str) -> DataFrame:
-    each = rows.select(key, F.explode(list_).alias("p"))
-    found = F.filter(F.transform(F.filter(F.col(f"p.{refs}"), lambda r: F.lower(r["referenceType"]).contains("purl")), lambda r: F.struct(*(v.alias(k) for k, v in purl(r["referenceLocator"]).items()))), lambda x: x["name"].isNotNull())
-    first = F.get(found, F.lit(0))
-    named = F.coalesce(F.col("p.name"), F.lit(""))
-    keep = first.isNotNull() | ~named.isin("", "NOASSERTION") & ~F.coalesce(F.col("p.SPDXID"), F.lit("")).isin("SPDXRef-DOCUMENT", "SPDXRef-ROOT")
-    return each.where(keep).select(key, F.coalesce(first["ecosystem"], F.lit("unknown")).alias("ecosystem"), F.coalesce(first["name"], named).alias("name"), F.coalesce(first["version"], F.nullif(F.col("p.versionInfo"), F.lit("NOASSERTION")), F.lit("")).alias("version"))
+def _cyclone(list_: Column, ref: str) -> Column:
+    def one(c: Column, p: Column) -> Column:
+        g, has = guessed(c["name"], c["group"], c[ref]), p["name"].isNotNull()
+        kind = c["type"] if ref == "bom-ref" else c["_type"]
+        return _component(has | (kind == "library") & (F.coalesce(c["name"], F.lit("")) != ""), F.coalesce(p["ecosystem"], g["ecosystem"]), F.when(has, p["name"]).otherwise(g["name"]), F.coalesce(F.when(has, p["version"]), c["version"], F.lit("")))
+
+    return F.transform(list_, lambda c: let(purl_parts(c["purl"]), lambda p: one(c, p)))
+
+
+def _spdx(list_: Column, refs: str) -> Column:
+    def first(p: Column) -> Column:
+        return F.get(F.filter(F.transform(F.filter(p[refs], lambda r: F.lower(r["referenceType"]).contains("purl")), lambda r: purl_parts(r["referenceLocator"])), lambda x: x["name"].isNotNull()), F.lit(0))
+
+    def one(p: Column, first: Column) -> Column:
+        named = F.coalesce(p["name"], F.lit(""))
+        keep = first.isNotNull() | ~named.isin("", "NOASSERTION") & ~F.coalesce(p["SPDXID"], F.lit("")).isin("SPDXRef-DOCUMENT", "SPDXRef-ROOT")
+        return _component(keep, F.coalesce(first["ecosystem"], F.lit("unknown")), F.coalesce(first["name"], named), F.coalesce(first["version"], F.nullif(p["versionInfo"], F.lit("NOASSERTION")), F.lit("")))
+
+    return F.transform(list_, lambda p: let(first(p), lambda f: one(p, f)))
 
 
 def bom_components(boms: DataFrame, key: str = "sbom_id", format: Column | None = None) -> DataFrame:
-    """key, ecosystem, name, version of each component. boms: key, file_name, text; format: a stated format, guessed where null. Texts that cannot be parsed have no components."""
-    guess = bom_format(F.col("file_name"), F.col("text"))
-    f = boms.withColumn("format", guess if format is None else F.coalesce(format, guess))
-    of = lambda kind: f.where(F.col("format") == kind)
-    cj = of("cyclonedx-json").select(key, F.from_json("text", CYCLONE).alias("d"))
-    sj = of("spdx-json").select(key, F.from_json("text", SPDX).alias("d"))
-    cx = of("cyclonedx-xml").select(key, F.from_xml("text", CYCLONE_XML, {"ignoreNamespace": "true"}).alias("d"))
-    sx = of("spdx-xml").select(key, F.from_xml("text", SPDX_XML, {"ignoreNamespace": "true"}).alias("d"))
-    return (_cyclone(cj, key, F.col("d.components"), "bom-ref").unionByName(_spdx(sj, key, F.col("d.packages"), "externalRefs"))
-            .unionByName(_cyclone(cx, key, F.col("d.components.component"), "_bom-ref")).unionByName(_spdx(sx, key, F.coalesce(F.col("d.packages.package"), F.col("d.package")), "externalRef")))
+    """key, ecosystem, name, version of each component. boms: key, file_name, text; format: a stated format, guessed where null. Texts that cannot be parsed have no components.
+
+    The bills are gone through once: each is read by the parser of its format within the row.
+    """
+    guess, text = bom_format(F.col("file_name"), F.col("text")), F.col("text")
+    xml = lambda schema: F.from_xml(text, schema, {"ignoreNamespace": "true"})
+    sx = let(xml(SPDX_XML), lambda d: F.coalesce(d["packages"]["package"], d["package"]))
+    found = {"cyclonedx-json": _cyclone(F.from_json(text, CYCLONE)["components"], "bom-ref"), "spdx-json": _spdx(F.from_json(text, SPDX)["packages"], "externalRefs"),
+             "cyclonedx-xml": _cyclone(xml(CYCLONE_XML)["components"]["component"], "_bom-ref"), "spdx-xml": _spdx(sx, "externalRef")}
+    by = lambda kind: F.coalesce(*(F.when(kind == k, v) for k, v in found.items()))
+    each = boms.select(key, F.explode(let(guess if format is None else F.coalesce(format, guess), by)).alias("c"))
+    return each.where("c IS NOT NULL").select(key, "c.*")
