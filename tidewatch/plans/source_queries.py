@@ -207,19 +207,19 @@ KINDS = (("y = 1  # {w}", None), ("# comment {w}", "likely benign"), ("exec(base
     coalesce(found, CASE WHEN said = 0 THEN 'triage failed' WHEN said = 1 THEN 'analyzer' WHEN odd THEN 'binary or new files' ELSE 'nothing found' END) AS reason FROM r""")
 def q_triage_flow(spark, sf_dir):
     """Releases whose diffs go through every scanner; the flags of the decision come from what these find."""
-    word = F.coalesce(F.nullif(F.regexp_extract("line", "[a-z]+", 0), F.lit("")), F.lit("x"))
-    kind, made = c("doc_id") % 8, F.concat(F.lit('p = "'), F.base64(F.encode(F.concat(F.lit("import os; exec("), word, F.lit(")")), "utf-8")), F.lit('"'))
+    kind, words = c("doc_id") % 8, F.transform(B.lines_of(c("text")), lambda line: F.coalesce(F.nullif(F.regexp_extract(line, "[a-z]+", 0), F.lit("")), F.lit("x")))
+    code = lambda made: F.array_join(F.transform(words, lambda w: F.concat(F.lit("+"), made(w))), "\n")
+    body = code(lambda w: F.concat(F.lit('p = "'), F.base64(F.encode(F.concat(F.lit("import os; exec("), w, F.lit(")")), "utf-8")), F.lit('"')))
     for i, (text, _) in enumerate(KINDS):
         if text:
             parts = text.split("{w}")
-            made = F.when(kind == i, F.concat(F.lit(parts[0]), *(x for p in parts[1:] for x in (word, F.lit(p))))).otherwise(made)
-    docs = B.documents(spark, sf_dir).select("doc_id")
-    code = B.doc_lines(spark, sf_dir).where(kind < 7).groupBy("doc_id").agg(_listed("line_no", F.concat(F.lit("+"), made)).alias("body"))
-    body = F.when(kind == 7, _text('   "dependencies": {\n+    "dep', c("doc_id") % 100, '": "^1.0"')).otherwise(F.coalesce("body", F.lit("")))
-    release, plain = c("doc_id").cast("string").alias("release_id"), docs.join(code, "doc_id", "left").where("doc_id % 16 <> 15")
+            body = F.when(kind == i, code(lambda w, p=parts: F.concat(F.lit(p[0]), *(x for y in p[1:] for x in (w, F.lit(y)))))).otherwise(body)
+    body = F.when(kind == 7, _text('   "dependencies": {\n+    "dep', c("doc_id") % 100, '": "^1.0"')).otherwise(body)
+    docs = B.documents(spark, sf_dir).select("doc_id", "text")
+    release, plain = c("doc_id").cast("string").alias("release_id"), docs.where("doc_id % 16 <> 15")
     diffs = plain.select(release, F.when(kind == 7, "package.json").otherwise("m.py").alias("path"), F.concat(F.lit("--- a\n+++ b\n@@ -1,1 +1,1 @@\n"), body).alias("content"), F.lit(False).alias("is_binary"), F.lit(False).alias("is_new"), F.lit(0).alias("chunk_index"))
     odd = docs.where("doc_id % 4 = 0").select(release, F.lit("b.so").alias("path"), F.lit("").alias("content"), F.lit(True).alias("is_binary"), F.lit(False).alias("is_new"), F.lit(1).alias("chunk_index"))
-    diffs = diffs.unionByName(odd)
+    diffs = triage.parsed_diffs(diffs.unionByName(odd))
     dep = docs.select((c("doc_id") % 100).alias("d")).distinct()
     name = _text("dep", c("d")).alias("name")
     bad = dep.where("d < 30").select(name, F.lit("1.0").alias("version"), F.lit("npm").alias("ecosystem"), F.lit("MALICIOUS").alias("verdict"), F.lit("CRITICAL").alias("severity"))
